@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from surveyloom.functions.text import strip
+from surveyloom.functions.text import let, strip
 
 # The canonical card and its prefix up to the household number.
 CARD_FORMAT = "MH-DD-BBB-GGG-NNN/NNNNNN"
@@ -14,28 +14,24 @@ _CANONICAL = "^" + _HOUSEHOLD + r"/[0-9]{6}$"
 _MEMBER = "^(" + _HOUSEHOLD + r")([-/])([0-9]{1,6})$"
 
 
-def _repair(card: Column) -> tuple[Column, Column]:
-    """(repaired card or null, which repair)."""
+def _repair(card: Column) -> Column:
+    """struct(fixed, how); both null when no repair applies."""
     digits = F.regexp_replace(card, "[^0-9]", "")
-    bare = ~card.rlike("[A-Z]") & (F.length(digits) == 17)
-    rebuilt = F.regexp_replace(
-        digits, r"^(.{2})(.{3})(.{3})(.{3})(.{6})$", r"MH-$1-$2-$3-$4/$5"
-    )
     tight = F.regexp_replace(F.regexp_replace(card, r"\s*-\s*", "-"), r"\s*/\s*", "/")
+
+    def repair(value: Column, how: Column | str) -> Column:
+        return F.struct(value.alias("fixed"), (F.lit(how) if isinstance(how, str) else how).alias("how"))
+
+    rebuilt = F.regexp_replace(digits, r"^(.{2})(.{3})(.{3})(.{3})(.{6})$", r"MH-$1-$2-$3-$4/$5")
     padded = F.concat(
         F.regexp_extract(card, _MEMBER, 1), F.lit("/"), F.lpad(F.regexp_extract(card, _MEMBER, 3), 6, "0")
     )
-    how = (
-        F.when(bare, "separators_inserted")
-        .when(card.rlike(_MEMBER), F.when(F.regexp_extract(card, _MEMBER, 2) == "-", "dash_to_slash").otherwise("zero_padded"))
-        .when(tight.rlike(_CANONICAL), "spaces_removed")
-    )
-    fixed = (
-        F.when(how == "separators_inserted", rebuilt)
-        .when(how.isin("dash_to_slash", "zero_padded"), padded)
-        .when(how == "spaces_removed", tight)
+    separator = F.when(F.regexp_extract(card, _MEMBER, 2) == "-", "dash_to_slash").otherwise("zero_padded")
+    return (
+        F.when(~card.rlike("[A-Z]") & (F.length(digits) == 17), repair(rebuilt, "separators_inserted"))
+        .when(card.rlike(_MEMBER), repair(padded, separator))
+        .when(tight.rlike(_CANONICAL), repair(tight, "spaces_removed"))
     )
-    return fixed, how
 
 
 def diagnose(card: Column) -> Column:
@@ -61,25 +57,32 @@ def diagnose(card: Column) -> Column:
 
 def validate_card(c: Column) -> Column:
     """struct(original, corrected, is_valid, was_changed, reason); a blank card is allowed."""
-    original = F.coalesce(strip(c), F.lit(""))
-    card = F.upper(original)
-    blank, canonical = original == "", card.rlike(_CANONICAL)
-    fixed, how = _repair(card)
-    corrected = F.when(canonical, card).when(~blank & fixed.isNotNull(), fixed).otherwise(original)
-    valid = blank | canonical | fixed.isNotNull()
-    reason = (
-        F.when(blank, "blank")
-        .when(canonical, F.when(card == original, "valid").otherwise("uppercased"))
-        .when(fixed.isNotNull(), how)
-        .otherwise(diagnose(card))
-    )
-    return F.struct(
-        original.alias("original"),
-        corrected.alias("corrected"),
-        valid.alias("is_valid"),
-        (valid & ~blank & (corrected != original)).alias("was_changed"),
-        reason.alias("reason"),
-    )
+
+    def judged(original: Column) -> Column:
+        card = F.upper(original)
+
+        def outcome(corrected: Column, valid: bool, reason: Column | str) -> Column:
+            return F.struct(
+                original.alias("original"),
+                corrected.alias("corrected"),
+                F.lit(valid).alias("is_valid"),
+                (F.lit(valid) & (corrected != original)).alias("was_changed"),
+                (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"),
+            )
+
+        repaired = let(
+            _repair(card),
+            lambda r: F.when(r.isNotNull(), outcome(r["fixed"], True, r["how"])).otherwise(
+                outcome(original, False, diagnose(card))
+            ),
+        )
+        return (
+            F.when(original == "", outcome(original, True, "blank"))
+            .when(card.rlike(_CANONICAL), outcome(card, True, F.when(card == original, "valid").otherwise("uppercased")))
+            .otherwise(repaired)
+        )
+
+    return let(F.coalesce(strip(c), F.lit("")), judged)
 
 
 def check_card(c: Column) -> Column:

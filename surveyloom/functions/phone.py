@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from surveyloom.functions.text import is_blank, strip
+from surveyloom.functions.text import let, strip
 
+_MOBILE = "^[6-9]"
 _SCIENTIFIC = r"^[0-9](\.[0-9]+)?[eE]\+?[0-9]{1,2}$"
 
 
@@ -30,32 +31,43 @@ def validate_contact(c: Column, quick: bool = False) -> Column:
     The full variant accepts one separator after the country prefix and, of more than
     ten digits, prefers the first ten; the quick variant prefers the last ten.
     """
-    raw = _plain_digits(F.coalesce(strip(c), F.lit("")))
     separator = "" if quick else r"[\s\-]?"
-    body = raw
-    for prefix in (r"^\+91" + separator, "^91" + separator, "^0+"):
-        body = F.regexp_replace(body, prefix, "")
-    digits = F.regexp_replace(body, "[^0-9]", "")
-    size = F.length(digits)
-    head, tail = F.substring(digits, 1, 10), F.substring(digits, -10, 10)
-    mobile = "^[6-9]"
-    windows = [(tail, "last_10"), (head, "first_10")] if quick else [(head, "first_10"), (tail, "last_10")]
-
-    reason = (
-        F.when(is_blank(c), "blank")
-        .when(size == 0, "no_digits")
-        .when(size < 10, "too_short")
-        .when(size == 10, F.when(digits.rlike(mobile), "valid").otherwise("bad_start"))
-        .when(windows[0][0].rlike(mobile), windows[0][1])
-        .when(windows[1][0].rlike(mobile), windows[1][1])
-        .otherwise("too_long")
-    )
-    corrected = F.when(reason == "first_10", head).when(reason == "last_10", tail).otherwise(digits)
-    valid = reason.isin("valid", "first_10", "last_10")
-    return F.struct(
-        F.coalesce(strip(c), F.lit("")).alias("original"),
-        corrected.alias("corrected"),
-        valid.alias("is_valid"),
-        (valid & (corrected != F.coalesce(strip(c), F.lit("")))).alias("was_changed"),
-        reason.alias("reason"),
-    )
+
+    def digits_of(raw: Column) -> Column:
+        body = _plain_digits(raw)
+        for prefix in (r"^\+91" + separator, "^91" + separator, "^0+"):
+            body = F.regexp_replace(body, prefix, "")
+        return F.regexp_replace(body, "[^0-9]", "")
+
+    def judged(n: Column) -> Column:
+        digits, size = n["digits"], F.length(n["digits"])
+        head, tail = F.substring(digits, 1, 10), F.substring(digits, -10, 10)
+        windows = [(tail, "last_10"), (head, "first_10")] if quick else [(head, "first_10"), (tail, "last_10")]
+        reason = (
+            F.when(n["raw"] == "", "blank")
+            .when(size == 0, "no_digits")
+            .when(size < 10, "too_short")
+            .when(size == 10, F.when(digits.rlike(_MOBILE), "valid").otherwise("bad_start"))
+            .when(windows[0][0].rlike(_MOBILE), windows[0][1])
+            .when(windows[1][0].rlike(_MOBILE), windows[1][1])
+            .otherwise("too_long")
+        )
+        return F.struct(n["raw"].alias("raw"), digits.alias("digits"), reason.alias("reason"))
+
+    def result(n: Column) -> Column:
+        corrected = (
+            F.when(n["reason"] == "first_10", F.substring(n["digits"], 1, 10))
+            .when(n["reason"] == "last_10", F.substring(n["digits"], -10, 10))
+            .otherwise(n["digits"])
+        )
+        valid = n["reason"].isin("valid", "first_10", "last_10")
+        return F.struct(
+            n["raw"].alias("original"),
+            corrected.alias("corrected"),
+            valid.alias("is_valid"),
+            (valid & (corrected != n["raw"])).alias("was_changed"),
+            n["reason"].alias("reason"),
+        )
+
+    cleaned = let(F.coalesce(strip(c), F.lit("")), lambda raw: F.struct(raw.alias("raw"), digits_of(raw).alias("digits")))
+    return let(let(cleaned, judged), result)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from surveyloom.functions.text import strip
+from surveyloom.functions.text import let, strip
 
 _ISO = r"^[0-9]{4}([-/][0-9]{1,2}([-/][0-9]{1,2}([ T][0-9]{1,2}:[0-9]{2}.*)?)?)?$"
 _PARTS = r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})(.*)$"
@@ -39,9 +39,7 @@ def format_ddmmyyyy(c: Column) -> Column:
 
 def date_issue(c: Column, as_of: Column) -> Column:
     """'invalid_format', 'future_date' or null; missing dates are accepted."""
-    ts = parse_date(c)
-    return (
-        F.when(c.isNull(), F.lit(None))
-        .when(ts.isNull(), "invalid_format")
-        .when(ts > as_of, "future_date")
+    return let(
+        parse_date(c),
+        lambda ts: F.when(c.isNull(), F.lit(None)).when(ts.isNull(), "invalid_format").when(ts > as_of, "future_date"),
     )

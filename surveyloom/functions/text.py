@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,11 @@ PII_PATTERNS = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to ``value``, which is computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
@@ -142,10 +149,13 @@ def name_format(c: Column, quick: bool = False) -> Column:
     """struct(original, formatted, was_changed); null and blank give ''."""
     original = F.coalesce(strip(c), F.lit(""))
     formatted = F.when(original == "", F.lit("")).otherwise(proper_case(c, quick))
-    return F.struct(
-        original.alias("original"),
-        formatted.alias("formatted"),
-        (formatted != original).alias("was_changed"),
+    return let(
+        F.struct(original.alias("original"), formatted.alias("formatted")),
+        lambda n: F.struct(
+            n["original"].alias("original"),
+            n["formatted"].alias("formatted"),
+            (n["formatted"] != n["original"]).alias("was_changed"),
+        ),
     )
 
 

@@ -17,7 +17,7 @@ from surveyloom.functions.codes import (
     review_id,
 )
 from surveyloom.functions.similarity import may_reach, sequence_ratio
-from surveyloom.functions.text import clean_val, extract_first, first_token, last_token, strip, tokens
+from surveyloom.functions.text import clean_val, extract_first, first_token, last_token, let, strip, tokens
 from surveyloom.operators.keyed import lookup
 from surveyloom.operators.lexicons import (
     QUICK_FEMALE_NAMES,
@@ -93,15 +93,17 @@ def with_gender(df: DataFrame, name: str, lexicons: Lexicons, out: str = "gender
 
 def quick_gender(name: Column, guardian: Column) -> Column:
     """struct(value, confidence, tier) of the quick engine; its lists are short enough for IN sets."""
-    first, other = first_token(name), first_token(guardian)
-    suffix = gender_by_suffix(first, QUICK_FEMALE_SUFFIXES, QUICK_MALE_SUFFIXES)
-    return F.coalesce(
-        F.when(first.isin(*QUICK_FEMALE_NAMES), _result("female", EXACT_NAME, 1)),
-        F.when(first.isin(*QUICK_MALE_NAMES), _result("male", EXACT_NAME, 1)),
-        F.when(other.isin(*QUICK_FEMALE_NAMES), _result("male", QUICK_GUARDIAN, 2)),
-        F.when(suffix.isNotNull(), _result(suffix["gender"], QUICK_SUFFIX, 3)),
-        _result("", 0, 0),
-    )
+    def tiers(t: Column) -> Column:
+        suffix = gender_by_suffix(t["first"], QUICK_FEMALE_SUFFIXES, QUICK_MALE_SUFFIXES)
+        return F.coalesce(
+            F.when(t["first"].isin(*QUICK_FEMALE_NAMES), _result("female", EXACT_NAME, 1)),
+            F.when(t["first"].isin(*QUICK_MALE_NAMES), _result("male", EXACT_NAME, 1)),
+            F.when(t["other"].isin(*QUICK_FEMALE_NAMES), _result("male", QUICK_GUARDIAN, 2)),
+            let(suffix, lambda s: F.when(s.isNotNull(), _result(s["gender"], QUICK_SUFFIX, 3))),
+            _result("", 0, 0),
+        )
+
+    return let(F.struct(first_token(name).alias("first"), first_token(guardian).alias("other")), tiers)
 
 
 def fill_gender_quick(df: DataFrame, name: str, guardian: str, gender: str, min_confidence: int = 75) -> DataFrame:

@@ -46,12 +46,14 @@ def _result(value, confidence, tier) -> Column:
 
 
 def _labelled(best: Column) -> Column:
-    result = F.coalesce(best, _result("", 0, 0))
-    return F.struct(
-        result["value"].alias("value"),
-        result["confidence"].alias("confidence"),
-        result["tier"].alias("tier"),
-        confidence_label(result["confidence"]).alias("label"),
+    return let(
+        F.coalesce(best, _result("", 0, 0)),
+        lambda r: F.struct(
+            r["value"].alias("value"),
+            r["confidence"].alias("confidence"),
+            r["tier"].alias("tier"),
+            confidence_label(r["confidence"]).alias("label"),
+        ),
     )
 
 
@@ -220,16 +222,25 @@ def with_category_single_tier(df: DataFrame, name: str, lexicons: Lexicons, out:
 
 def gender_resolution(gender: Column, guess: Column, min_confidence: int = 75) -> Column:
     """struct(value, confidence, method): what the gender cell becomes; null method means no logged change."""
-    raw = F.coalesce(strip(gender), F.lit(""))
-    norm = normalise_gender(gender)
-    predicted = (guess["value"] != "") & (guess["confidence"] >= min_confidence) & (guess["value"] != norm)
-    standardised = norm.isin(*VALID_GENDERS) & (norm != raw)
-    value = F.when(predicted, guess["value"]).otherwise(norm)
-    logged = (predicted | standardised) & (value != raw)
+
+    def decide(n: Column) -> Column:
+        raw, norm, guessed = n["raw"], n["norm"], n["guess"]
+        predicted = (guessed["value"] != "") & (guessed["confidence"] >= min_confidence) & (guessed["value"] != norm)
+        standardised = norm.isin(*VALID_GENDERS) & (norm != raw)
+        value = F.when(predicted, guessed["value"]).otherwise(norm)
+        logged = (predicted | standardised) & (value != raw)
+        return F.struct(
+            F.when((value != "") & (value != raw), value).otherwise(n["cell"]).alias("value"),
+            F.when(logged, F.when(predicted, guessed["confidence"]).otherwise(F.lit(NORMALISATION))).alias("confidence"),
+            F.when(logged, F.when(predicted, "Name Analysis").otherwise("Normalisation")).alias("method"),
+        )
+
+    return let(_facts(gender, normalise_gender(gender), guess), decide)
+
+
+def _facts(cell: Column, norm: Column, guess: Column) -> Column:
     return F.struct(
-        F.when((value != "") & (value != raw), value).otherwise(gender).alias("value"),
-        F.when(logged, F.when(predicted, guess["confidence"]).otherwise(F.lit(NORMALISATION))).alias("confidence"),
-        F.when(logged, F.when(predicted, "Name Analysis").otherwise("Normalisation")).alias("method"),
+        cell.alias("cell"), F.coalesce(strip(cell), F.lit("")).alias("raw"), norm.alias("norm"), guess.alias("guess")
     )
 
 
@@ -238,16 +249,23 @@ def needs_category(category: Column) -> Column:
 
 
 def category_resolution(category: Column, guess: Column) -> Column:
-    raw = F.coalesce(strip(category), F.lit(""))
-    norm = normalise_category(category)
-    valid = norm.isin(*VALID_CATEGORIES)
-    standardised = valid & (norm != raw)
-    inferred = ~valid & (guess["value"] != "") & (guess["confidence"] >= CATEGORY_MIN_CONFIDENCE) & (guess["value"] != raw)
-    return F.struct(
-        F.when(standardised, norm).when(inferred, guess["value"]).otherwise(category).alias("value"),
-        F.when(standardised, F.lit(NORMALISATION)).when(inferred, guess["confidence"]).alias("confidence"),
-        F.when(standardised, "Normalisation").when(inferred, "Surname Heuristic").alias("method"),
-    )
+    def decide(n: Column) -> Column:
+        raw, norm, guessed = n["raw"], n["norm"], n["guess"]
+        valid = norm.isin(*VALID_CATEGORIES)
+        standardised = valid & (norm != raw)
+        inferred = (
+            ~valid
+            & (guessed["value"] != "")
+            & (guessed["confidence"] >= CATEGORY_MIN_CONFIDENCE)
+            & (guessed["value"] != raw)
+        )
+        return F.struct(
+            F.when(standardised, norm).when(inferred, guessed["value"]).otherwise(n["cell"]).alias("value"),
+            F.when(standardised, F.lit(NORMALISATION)).when(inferred, guessed["confidence"]).alias("confidence"),
+            F.when(standardised, "Normalisation").when(inferred, "Surname Heuristic").alias("method"),
+        )
+
+    return let(_facts(category, normalise_category(category), guess), decide)
 
 
 CHANGE_COLUMNS = ("row_id", "name", "guardian", "field", "old_value", "new_value", "confidence", "method")

@@ -367,8 +367,8 @@ def export_summary(spark, sf_dir):
 # ---- file lifecycle ------------------------------------------------------------------------
 
 EVENTS = f"RECURSIVE {derived('file_events')}, {S.file_states()}"
-_REGISTRY = """reg AS (SELECT file_name, arg_max(to_status, seq) AS status, min(seq) AS uploaded_seq, min(at) AS uploaded_at,
- CASE WHEN arg_max(action, seq) <> 'upload' THEN arg_max(actor, seq) END AS reviewed_by, CASE WHEN arg_max(action, seq) <> 'upload' THEN arg_max(at, seq) END AS reviewed_at,
+_REGISTRY = """reg AS (SELECT file_name, arg_max(to_status, seq) AS status, min(seq) AS uploaded_seq, min("at") AS uploaded_at,
+ CASE WHEN arg_max(action, seq) <> 'upload' THEN arg_max(actor, seq) END AS reviewed_by, CASE WHEN arg_max(action, seq) <> 'upload' THEN arg_max("at", seq) END AS reviewed_at,
  count(*) AS n_events FROM states WHERE is_legal GROUP BY file_name)"""
 
 
@@ -409,9 +409,16 @@ def full_registry(spark, sf_dir):
     )
 
 
-@check("flt_6_pending_files", f"WITH {EVENTS}, {_REGISTRY} SELECT file_name, status FROM reg WHERE status IN ('pending', 'held')")
-def pending_files(spark, sf_dir):
-    return lifecycle.pending(registry(spark, sf_dir), include_held=True).select("file_name", "status")
+@check(
+    "flt_6_files_by_status",
+    f"""WITH {EVENTS}, {_REGISTRY} SELECT 'waiting' AS list, file_name, status FROM reg WHERE status IN ('pending', 'held')
+ UNION ALL SELECT 'rejected', file_name, status FROM reg WHERE status = 'rejected'""",
+)
+def files_by_status(spark, sf_dir):
+    registered = registry(spark, sf_dir).select("file_name", "status")
+    waiting = lifecycle.pending(registered, include_held=True)
+    rejected = lifecycle.with_status(registered, "rejected")
+    return waiting.select(F.lit("waiting").alias("list"), "*").unionByName(rejected.select(F.lit("rejected").alias("list"), "*"))
 
 
 @check("ord_3_oldest_first", f"WITH {EVENTS}, {_REGISTRY} SELECT file_name, {_AT.format(c='uploaded_at')} FROM reg ORDER BY reg.uploaded_at, file_name")

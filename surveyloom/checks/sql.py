@@ -427,7 +427,7 @@ def file_states() -> str:
  event_walk AS (SELECT file_name, seq, n, 'none' AS from_status, {nxt("'none'", 'action')} AS to_status FROM event_rank WHERE n = 1
    UNION ALL SELECT r.file_name, r.seq, r.n, w.to_status, {nxt('w.to_status', 'r.action')} FROM event_walk w JOIN event_rank r
      ON r.file_name = w.file_name AND r.n = w.n + 1),
- states AS (SELECT e.file_name, e.seq, e.action, e.actor, e.at, w.from_status, w.to_status, w.from_status <> w.to_status AS is_legal
+ states AS (SELECT e.file_name, e.seq, e.action, e.actor, e."at", w.from_status, w.to_status, w.from_status <> w.to_status AS is_legal
    FROM event_walk w JOIN file_events e ON e.file_name = w.file_name AND e.seq = w.seq)"""
 
 

@@ -118,6 +118,8 @@ def compliance_issues(df: DataFrame, mapping: Sequence[FieldMapping]) -> DataFra
         checks.append(("uid", "invalid_format", _bad_uid()))
     if "gender" in df.columns:
         checks.append(("gender", "invalid_format", _bad_gender()))
+    if not checks:
+        return missing_columns(df, mapping)
     counts = df.agg(F.count(F.lit(1)).alias("_all"), *[F.count_if(c).alias(f"_{i}") for i, (_, _, c) in enumerate(checks)])
 
     def severity(field: str, kind: str, n: Column) -> Column:

@@ -15,7 +15,15 @@ def write_table(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt in ("csv", "tsv"):
-        writer.option("header", True).option("sep", "," if fmt == "csv" else "\t").option("escape", '"').csv(path)
+        (
+            writer.option("header", True)
+            .option("sep", "," if fmt == "csv" else "\t")
+            .option("extension", fmt)
+            .option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+            .csv(path)
+        )
     elif fmt == "json":
         writer.json(path)
     else:

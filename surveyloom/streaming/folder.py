@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,16 +17,17 @@ from surveyloom.sources.manifest import checksum
 from surveyloom.sources.sinks import write_table
 from surveyloom.sources.tables import string_schema, with_row_ids
 
+FILES_PER_BATCH = 1000
+
 
 def folder_stream(
-    spark: SparkSession, path: str, columns: Sequence[str], archive: str | None = None, files_per_batch: int | None = None, sep: str = ","
+    spark: SparkSession, path: str, columns: Sequence[str], archive: str | None = None, files_per_batch: int = FILES_PER_BATCH, sep: str = ","
 ) -> DataFrame:
     """New delimited files of a folder as they arrive, tagged by file; processed files can be archived."""
     reader = spark.readStream.schema(string_schema(columns)).option("header", True).option("sep", sep).option("escape", '"')
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.csv(path).withColumn("source_file", F.col("_metadata.file_name")).withColumn(
         "source_path", F.col("_metadata.file_path")
     )
@@ -36,10 +38,10 @@ def _trigger(every: str | None) -> dict[str, object]:
 
 
 def _content_hashes(spark: SparkSession, paths: DataFrame) -> DataFrame:
-    """(source_path, checksum) of the files of a batch; the list is one row per file."""
-    listed = [r[0] for r in paths.select("source_path").distinct().collect()]
+    """(source_path, checksum) of the files of a batch; at most ``files_per_batch`` paths reach the driver."""
+    listed = [unquote(r[0]) for r in paths.select("source_path").distinct().collect()]
     files = spark.read.format("binaryFile").load(listed)
-    return files.select(F.col("path").alias("source_path"), checksum(F.col("content")).alias("checksum"))
+    return files.select(F.col("_metadata.file_path").alias("source_path"), checksum(F.col("content")).alias("checksum"))
 
 
 def process_folder(

@@ -580,7 +580,7 @@ def _process(spark, sf_dir, twice: bool):
     path = scratch_path(spark, "stream-in")
     sinks.write_table(survey(spark, sf_dir).select(*_TEXT[1:]).repartition(2), path, "csv")
     out, checkpoint = scratch_path(spark, "folder-out"), scratch_path(spark, "folder-checkpoint")
-    config = SurveyConfig(key=KEY, name=NAME, guardian=GUARDIAN, date=DATE, district="district", spell_enabled=False, correct_fields=("gender",), scope=("source_file",))
+    config = SurveyConfig(key="no_key", name=NAME, guardian=GUARDIAN, date=DATE, district="district", spell_enabled=False, correct_fields=("gender",), scope=("source_file",))
     for _ in range(2 if twice else 1):
         stream = folder.folder_stream(spark, path, _TEXT[1:])
         folder.process_folder(stream, config, out, checkpoint, context=Context.selective(["gender"], ["auto_correct", "auto_correct_gender"])).awaitTermination()

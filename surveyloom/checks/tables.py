@@ -181,8 +181,12 @@ def exact_name(spark, sf_dir):
 )
 def name_suffix(spark, sf_dir):
     rows = survey(spark, sf_dir).withColumn("tok", first_token(F.col(NAME)))
-    hit = infer.gender_by_suffix(F.col("tok"), LEX.female_suffixes, LEX.male_suffixes)
-    return rows.withColumn("h", hit).select("row_id", "h.gender", "h.suffix")
+    female, male = LEX.female_suffixes, LEX.male_suffixes
+    return rows.select(
+        "row_id",
+        infer.gender_by_suffix(F.col("tok"), female, male).alias("gender"),
+        F.coalesce(infer.first_suffix(F.col("tok"), female), infer.first_suffix(F.col("tok"), male)).alias("suffix"),
+    )
 
 
 _QUICK = {p: S.quick_gender(NAME, GUARDIAN, p) for p in ("value", "confidence", "tier")}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -57,15 +59,19 @@ def _labelled(best: Column) -> Column:
     )
 
 
-def gender_by_suffix(token: Column, female: list[str], male: list[str]) -> Column:
-    """struct(gender, suffix) of the first ending in list order that leaves a stem; else null."""
-    chain = None
-    for gender, endings in (("female", female), ("male", male)):
-        for ending in endings:
-            hit = token.endswith(ending) & (F.length(token) > len(ending))
-            value = F.struct(F.lit(gender).alias("gender"), F.lit(ending).alias("suffix"))
-            chain = F.when(hit, value) if chain is None else chain.when(hit, value)
-    return chain
+def gender_by_suffix(token: Column, female: Sequence[str], male: Sequence[str]) -> Column:
+    """Gender of a name by its ending; the ending must leave a stem, female endings come first."""
+
+    def ends(endings: Sequence[str]) -> Column:
+        return token.rlike(".(" + "|".join(re.escape(e) for e in endings) + ")$")
+
+    return F.when(ends(female), "female").when(ends(male), "male")
+
+
+def first_suffix(token: Column, endings: Sequence[str]) -> Column:
+    """The first ending in list order that leaves a stem."""
+    hits = [F.when(token.endswith(e) & (F.length(token) > len(e)), e) for e in endings]
+    return F.coalesce(*hits)
 
 
 def with_gender(df: DataFrame, name: str, lexicons: Lexicons, out: str = "gender_guess", library: DataFrame | None = None) -> DataFrame:
@@ -88,8 +94,8 @@ def with_gender(df: DataFrame, name: str, lexicons: Lexicons, out: str = "gender
         rows = lookup(rows, learned, ["_first"])
         tiers.append(F.when(F.col("_lib").isNotNull(), _result(F.col("_lib"), F.col("_lib_conf"), 3)))
         extra += ["_lib", "_lib_conf"]
-    suffix = gender_by_suffix(F.col("_first"), list(lexicons.female_suffixes), list(lexicons.male_suffixes))
-    tiers.append(F.when(suffix.isNotNull(), _result(suffix["gender"], NAME_SUFFIX, 2)))
+    suffix = gender_by_suffix(F.col("_first"), lexicons.female_suffixes, lexicons.male_suffixes)
+    tiers.append(F.when(suffix.isNotNull(), _result(suffix, NAME_SUFFIX, 2)))
     return rows.withColumn(out, _labelled(F.coalesce(*tiers))).drop(*extra)
 
 
@@ -101,7 +107,7 @@ def quick_gender(name: Column, guardian: Column) -> Column:
             F.when(t["first"].isin(*QUICK_FEMALE_NAMES), _result("female", EXACT_NAME, 1)),
             F.when(t["first"].isin(*QUICK_MALE_NAMES), _result("male", EXACT_NAME, 1)),
             F.when(t["other"].isin(*QUICK_FEMALE_NAMES), _result("male", QUICK_GUARDIAN, 2)),
-            let(suffix, lambda s: F.when(s.isNotNull(), _result(s["gender"], QUICK_SUFFIX, 3))),
+            F.when(suffix.isNotNull(), _result(suffix, QUICK_SUFFIX, 3)),
             _result("", 0, 0),
         )
 
@@ -164,16 +170,17 @@ def with_category(
     out: str = "category_guess",
     fuzzy: bool = True,
     wanted: Column | None = None,
+    names_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add struct(value, confidence, tier, label) by surname, fuzzy surname, any token, district.
 
-    ``wanted`` restricts the costly tiers to rows whose result will be used.
+    ``wanted`` restricts the fuzzy tier to rows whose result will be used. The distinct
+    surnames for it are read from ``names_from`` (any table holding at least the same
+    names, such as the stored input), so that only those columns are scanned for them.
     """
     spark = df.sparkSession
-    names = df.withColumn("_words", tokens(clean_val(F.col(name)))).withColumn(
-        "_surname", F.try_element_at("_words", F.lit(-1))
-    )
-    rows = names.join(
+    names = df.withColumn("_words", tokens(clean_val(F.col(name))))
+    rows = names.withColumn("_surname", F.try_element_at("_words", F.lit(-1))).join(
         F.broadcast(lexicons.surname_table(spark, "_t1_").withColumnRenamed("_t1_surname", "_surname")), "_surname", "left"
     )
     exact = F.when(
@@ -186,9 +193,11 @@ def with_category(
 
     open_row = F.col("_t1_category").isNull()
     if fuzzy:
-        unresolved = rows.where(open_row & F.col("_surname").isNotNull() & (wanted if wanted is not None else F.lit(True)))
-        distinct = unresolved.select(F.col("_surname").alias("token")).distinct()
-        near = stage(nearest_surnames(distinct, lexicons), "nearest-surnames").select(
+        source = names_from if names_from is not None else df
+        surnames = (source if wanted is None else source.where(wanted)).select(last_token(F.col(name)).alias("token"))
+        known = lexicons.surname_table(spark).select(F.col("surname").alias("token"))
+        unresolved = surnames.distinct().join(F.broadcast(known), "token", "left_anti")
+        near = stage(nearest_surnames(unresolved, lexicons), "nearest-surnames").select(
             F.col("token").alias("_surname"), F.col("category").alias("_t2_category")
         )
         rows = lookup(rows, near, ["_surname"])
@@ -197,9 +206,8 @@ def with_category(
         open_row = open_row & F.col("_t2_category").isNull()
 
     # Leftmost known token before the last one; a hit is found inside the row, without exploding it.
-    known = list(lexicons.surname_categories())
-    front = F.slice("_words", F.lit(1), F.greatest(F.size("_words") - 1, F.lit(0)))
-    hit = F.get(F.filter(front, lambda t: t.isin(*known)), F.lit(0))
+    vocabulary = ", ".join("'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'" for s in lexicons.surname_categories())
+    hit = F.expr(f"get(filter(slice(_words, 1, greatest(size(_words) - 1, 0)), t -> t IN ({vocabulary})), 0)")
     rows = rows.withColumn("_t3_surname", F.when(open_row, hit)).join(
         F.broadcast(lexicons.surname_table(spark, "_t3_").drop("_t3_is_ambiguous")), "_t3_surname", "left"
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from surveyloom.functions.similarity import edit_distance, may_reach, sequence_ratio
 from surveyloom.functions.text import capitalize, phonetic_key, tokens
 from surveyloom.operators.keyed import lookup
-from surveyloom.operators.lexicons import Lexicons, by_length
+from surveyloom.operators.lexicons import Lexicons, by_length, local_table
 from surveyloom.session import stage
 
 FUZZY_CUTOFF = 0.75
@@ -39,11 +39,13 @@ def unknown_tokens(checked: DataFrame, lexicons: Lexicons) -> DataFrame:
     """Distinct (vocab, token) that are neither in their vocabulary nor protected."""
     spark = checked.sparkSession
     known = lexicons.spelling_vocabulary(spark).withColumnRenamed("word", "token")
+    protected = local_table(spark, {"token": list(lexicons.protected_names)}, "token string")
     return (
         checked.select("vocab", "token")
         .distinct()
         .join(F.broadcast(known), ["vocab", "token"], "left_anti")
-        .where(~F.col("token").isin(*lexicons.protected_names))
+        .join(F.broadcast(protected), "token", "left_anti")
+        .select("vocab", "token")
     )
 
 

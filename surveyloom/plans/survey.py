@@ -141,7 +141,7 @@ def run_survey(df: DataFrame, config: SurveyConfig, context: Context = Context()
         resolved.append(("gender", c.gender, "_g"))
     if corrects("category", c.category):
         rows = with_category(
-            rows, c.name, lex, _optional(df, c.district), "_guess", wanted=needs_category(F.col(c.category))
+            rows, c.name, lex, _optional(df, c.district), "_guess", wanted=needs_category(F.col(c.category)), names_from=df
         )
         rows = rows.withColumn("_c", category_resolution(F.col(c.category), F.col("_guess"))).drop("_guess")
         resolved.append(("category", c.category, "_c"))

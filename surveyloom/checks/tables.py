@@ -135,7 +135,7 @@ def majorities(spark, sf_dir):
     return vote.majorities(survey(spark, sf_dir), KEY, "vote_gender")
 
 
-@check("w_6_vote_shares", f"WITH {SURVEY}, {_VOTE} SELECT key AS unique_key, value, votes, total, place::INTEGER AS place, round(votes / total, 6) AS share FROM ballot")
+@check("w_6_vote_shares", f"WITH {SURVEY}, {_VOTE} SELECT key AS unique_key, value, votes, total, round(votes / total, 6) AS share, row_number() OVER (PARTITION BY key ORDER BY votes DESC, value DESC) = 1 AS leads FROM ballot")
 def vote_shares(spark, sf_dir):
     return vote.vote_shares(survey(spark, sf_dir), KEY, "vote_gender")
 

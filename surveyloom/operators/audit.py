@@ -126,9 +126,7 @@ def review_flags(
     gender and category to column names; roles without a column are skipped.
     """
     def ranked(df: DataFrame, column, flag: str) -> DataFrame:
-        return df.select(
-            F.col("row_id"), column.alias("column"), F.lit(flag).alias("flag"), F.lit(FLAG_ORDER.index(flag)).alias("_order")
-        )
+        return df.select(F.col("row_id"), column.alias("column"), F.lit(FLAG_ORDER.index(flag)).alias("_order"))
 
     have = {role: c for role, c in columns.items() if c in cleaned.columns}
     parts = [
@@ -154,7 +152,8 @@ def review_flags(
     cells = (
         union_all(parts)
         .groupBy("row_id", "column")
-        .agg(F.max_by("flag", "_order").alias("flag"))
+        .agg(F.max("_order").alias("_order"))
+        .select("row_id", "column", F.get(F.lit(list(FLAG_ORDER)), F.col("_order")).alias("flag"))
     )
     if "key" not in have:
         return cells

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.functions.codes import is_placeholder_key, surrogate_key
 from surveyloom.functions.temporal import parse_date
-from surveyloom.operators.keyed import attach_per_key
+from surveyloom.operators.keyed import ROWS_PER_SPLIT, attach_per_key
 
 
 class Split(NamedTuple):
@@ -75,14 +75,18 @@ def key_counts(df: DataFrame, key: str, scope: list[str] | None = None) -> DataF
     return df.groupBy(*(scope or []), key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def duplicate_members(df: DataFrame, key: str, row_id: str = "row_id") -> DataFrame:
+def duplicate_members(
+    df: DataFrame, key: str, row_id: str = "row_id", rows_per_split: int = ROWS_PER_SPLIT
+) -> DataFrame:
     """All rows whose (real) key occurs more than once."""
     real = split_placeholders(df, key).real
     repeated = key_counts(real, key).where(F.col("n") > 1)
-    return attach_per_key(real, repeated, [key], "n", row_id, how="inner").drop("n")
+    return attach_per_key(real, repeated, [key], "n", row_id, "inner", rows_per_split).drop("n")
 
 
-def later_occurrences(df: DataFrame, key: str, row_id: str = "row_id") -> DataFrame:
+def later_occurrences(
+    df: DataFrame, key: str, row_id: str = "row_id", rows_per_split: int = ROWS_PER_SPLIT
+) -> DataFrame:
     """Second and later rows of each value in row order; null and '' values are ignored.
 
     A row is a later one when a lower row id holds the same value, so the first row id
@@ -95,7 +99,7 @@ def later_occurrences(df: DataFrame, key: str, row_id: str = "row_id") -> DataFr
         .where(F.col("_n") > 1)
     )
     return (
-        attach_per_key(filled, first, [key], "_n", row_id, how="inner")
+        attach_per_key(filled, first, [key], "_n", row_id, "inner", rows_per_split)
         .where(F.col(row_id) > F.col("_first"))
         .drop("_first", "_n")
     )

@@ -19,15 +19,19 @@ def attach_per_key(
     spread_by: str,
     how: str = "left",
     rows_per_split: int = ROWS_PER_SPLIT,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Join ``facts`` (one row per key, with its row count) to ``df``.
+    """Join ``facts`` (one row per key, with the row count of the key) to ``df``.
 
     Keys with more than ``rows_per_split`` rows are cut into that many salted parts on
     both sides. There are at most rows / rows_per_split such keys, so the list of them
-    is small by construction and is broadcast; all other keys keep one part.
+    is small by construction and is broadcast; all other keys keep one part. Where
+    ``df`` may hold hot keys that are not in ``facts``, ``sizes`` (key, count) names the
+    counts of all keys.
     """
     parts = F.ceil(F.col(count_col) / F.lit(rows_per_split)).cast("int")
-    hot = facts.where(F.col(count_col) > rows_per_split).select(*key, parts.alias("_parts"))
+    counted = facts if sizes is None else sizes
+    hot = counted.where(F.col(count_col) > rows_per_split).select(*key, parts.alias("_parts"))
     salted = (
         df.join(F.broadcast(hot), key, "left")
         .withColumn(
@@ -42,6 +46,11 @@ def attach_per_key(
     return salted.join(spread, [*key, "_salt"], how).drop("_salt")
 
 
+def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a stored lookup table is small enough to broadcast; reads footers only."""
+    return table.limit(max_rows + 1).count() <= max_rows
+
+
 def lookup(
     df: DataFrame, table: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
@@ -50,6 +59,6 @@ def lookup(
     ``table`` should be a stored table (the count then reads footers only). Beyond
     ``max_rows`` the join is left to Catalyst, where AQE splits skewed partitions.
     """
-    if table.limit(max_rows + 1).count() <= max_rows:
+    if fits_broadcast(table, max_rows):
         table = F.broadcast(table)
     return df.join(table, on, how)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.functions.similarity import edit_distance, may_reach, sequence_ratio
 from surveyloom.functions.text import capitalize, phonetic_key, tokens
-from surveyloom.operators.keyed import lookup
+from surveyloom.operators.keyed import fits_broadcast, lookup
 from surveyloom.operators.lexicons import Lexicons, by_length, local_table
 from surveyloom.session import stage
 
@@ -128,6 +128,67 @@ class SpellCheck(NamedTuple):
     changes: DataFrame
 
 
+# Token places corrected by broadcast joins inside the row: first, two middle ones, last.
+# Names with more tokens take the exploded path.
+INLINE_TOKENS = 4
+_LOG = ("role", "original_token", "corrected_token", "confidence", "method", "status")
+
+
+def _inline_path(rows: DataFrame, fixes: DataFrame) -> DataFrame:
+    """``_fixed`` (array of corrections) by one broadcast join per token place; no row is shuffled."""
+    n, words = F.size("_words"), F.col("_words")
+    places = (
+        ("first", "given", n > 0, F.lit(0)),
+        ("middle", "given", n > 2, F.lit(1)),
+        ("middle", "given", n > 3, F.lit(2)),
+        ("surname", "surname", n > 1, n - 1),
+    )
+    found = []
+    for i, (role, vocab, exists, position) in enumerate(places):
+        token = F.when(exists, F.get(words, position))
+        table = fixes.where(F.col("vocab") == vocab).select(
+            F.col("token").alias(f"_token{i}"),
+            F.struct("corrected", "confidence", "method", "status").alias(f"_fix{i}"),
+        )
+        rows = rows.withColumn(f"_token{i}", F.lower(token)).join(F.broadcast(table), f"_token{i}", "left")
+        fix = F.col(f"_fix{i}")
+        found.append(
+            F.when(
+                fix.isNotNull(),
+                F.struct(
+                    position.cast("int").alias("pos"),
+                    F.lit(role).alias("role"),
+                    F.get(words, position).alias("original_token"),
+                    fix["corrected"].alias("corrected_token"),
+                    fix["confidence"].alias("confidence"),
+                    fix["method"].alias("method"),
+                    fix["status"].alias("status"),
+                ),
+            )
+        )
+    drop = [f"_token{i}" for i in range(len(places))] + [f"_fix{i}" for i in range(len(places))]
+    return rows.withColumn("_fixed", F.filter(F.array(*found), lambda x: x.isNotNull())).drop(*drop)
+
+
+def _exploded_path(rows: DataFrame, checked: DataFrame, fixes: DataFrame, row_id: str) -> DataFrame:
+    """``_fixed`` for names of any length: corrected tokens are gathered per row id and joined back."""
+    per_row = (
+        lookup(checked, fixes, ["vocab", "token"], how="inner")
+        .groupBy(row_id)
+        .agg(
+            F.sort_array(
+                F.collect_list(
+                    F.struct(
+                        "pos", "role", F.col("original").alias("original_token"), F.col("corrected").alias("corrected_token"),
+                        "confidence", "method", "status",
+                    )
+                )
+            ).alias("_fixed")
+        )
+    )
+    return rows.join(per_row, row_id, "left")
+
+
 def spell_check(
     df: DataFrame,
     name: str,
@@ -137,45 +198,45 @@ def spell_check(
     high_confidence: int = 80,
     max_distance: int = 2,
     apply: bool = True,
+    inline: bool | None = None,
 ) -> SpellCheck:
     """Correct the tokens of one name column.
 
-    Only distinct unknown tokens are compared with the vocabulary. Their corrections are
-    looked up per token, and only rows with a corrected token are rebuilt; those come
-    back by row id, which is unique and therefore never skewed.
+    Only distinct unknown tokens are compared with the vocabulary. The accepted
+    corrections form a small table; while it fits a broadcast, names of up to
+    INLINE_TOKENS tokens are corrected in place and only longer names are exploded.
     """
     checked = name_tokens(df, name, row_id)
     fixes = stage(
         token_corrections(unknown_tokens(checked, lexicons), lexicons, min_confidence, high_confidence, max_distance),
         "token-corrections",
     )
-    corrected = lookup(checked, fixes, ["vocab", "token"], how="inner")
-    per_row = corrected.groupBy(row_id).agg(
-        F.map_from_entries(F.collect_list(F.struct("pos", "corrected"))).alias("_fixes")
-    )
-    words = tokens(F.col(name))
-    rebuilt = F.array_join(
-        F.transform(words, lambda t, i: F.coalesce(F.try_element_at(F.col("_fixes"), i), t)), " "
-    )
-    joined = df.join(per_row, row_id, "left").withColumn(
-        "_after", F.when(F.size(words) == 0, F.col(name)).otherwise(F.when(F.col("_fixes").isNull(), F.array_join(words, " ")).otherwise(rebuilt))
+    rows = df.withColumn("_words", tokens(F.col(name)))
+    if inline if inline is not None else fits_broadcast(fixes):
+        longer = F.size("_words") > INLINE_TOKENS
+        long_names = df.where(F.size(tokens(F.col(name))) > INLINE_TOKENS)
+        fixed = _inline_path(rows.where(~longer), fixes).unionByName(
+            _exploded_path(rows.where(longer), name_tokens(long_names, name, row_id), fixes, row_id)
+        )
+    else:
+        fixed = _exploded_path(rows, checked, fixes, row_id)
+
+    # Rebuild the name from its tokens with the corrected ones put in place.
+    by_place = F.map_from_entries(F.transform("_fixed", lambda f: F.struct(f["pos"], f["corrected_token"])))
+    rebuilt = F.transform("_words", lambda t, i: F.coalesce(F.try_element_at(by_place, i), t))
+    untouched = F.col("_fixed").isNull() | (F.size("_fixed") == 0)
+    after = (
+        F.when(F.size("_words") == 0, F.col(name))
+        .when(untouched, F.array_join("_words", " "))
+        .otherwise(F.array_join(rebuilt, " "))
     )
-    log = corrected.join(
-        joined.where(F.col("_fixes").isNotNull()).select(
-            row_id, F.col(name).alias("name_before"), F.col("_after").alias("name_after")
-        ),
-        row_id,
-    ).select(
+    fixed = fixed.withColumn("_after", after)
+    log = fixed.where(~untouched).select(
         F.col(row_id).alias("row_id"),
         F.lit(name).alias("column"),
-        "name_before",
-        "name_after",
-        "role",
-        F.col("original").alias("original_token"),
-        F.col("corrected").alias("corrected_token"),
-        "confidence",
-        "method",
-        "status",
-    )
-    data = joined.withColumn(name, F.col("_after")).drop("_after", "_fixes") if apply else df
-    return SpellCheck(data.select(*df.columns), log)
+        F.col(name).alias("name_before"),
+        F.col("_after").alias("name_after"),
+        F.inline("_fixed"),
+    ).select("row_id", "column", "name_before", "name_after", *_LOG)
+    data = fixed.withColumn(name, F.col("_after")).select(*df.columns) if apply else df
+    return SpellCheck(data, log)

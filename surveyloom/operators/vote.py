@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.functions.text import clean_val, strip
 from surveyloom.operators.dedup import split_placeholders
-from surveyloom.operators.keyed import attach_per_key
+from surveyloom.operators.keyed import ROWS_PER_SPLIT, attach_per_key
+from surveyloom.session import stage
 
 MIN_SHARE, STRONG_SHARE = 0.60, 0.80
 WEAK_CONFIDENCE, STRONG_CONFIDENCE = 74, 82
@@ -17,61 +18,95 @@ WEAK_CONFIDENCE, STRONG_CONFIDENCE = 74, 82
 
 def ballots(df: DataFrame, key: str, field: str) -> DataFrame:
     """(key, value, votes) of real keys; null cells do not vote, blank ones do."""
+    return _tally(df, key, field).where(F.col("value").isNotNull())
+
+
+def _tally(df: DataFrame, key: str, field: str) -> DataFrame:
     return (
         split_placeholders(df, key)
-        .real.where(F.col(field).isNotNull())
-        .groupBy(key, F.lower(strip(F.col(field))).alias("value"))
+        .real.groupBy(key, F.lower(strip(F.col(field))).alias("value"))
         .agg(F.count(F.lit(1)).alias("votes"))
     )
 
 
-def vote_shares(df: DataFrame, key: str, field: str) -> DataFrame:
-    """Each value with its share of the votes of its key and its place among them."""
-    group = Window.partitionBy(key)
-    order = group.orderBy(F.desc("votes"), F.asc("value"))
-    return (
-        ballots(df, key, field)
-        .withColumn("total", F.sum("votes").over(group))
-        .withColumn("place", F.row_number().over(order))
-        .withColumn("share", F.round(F.col("votes") / F.col("total"), 6))
-    )
-
-
-def majorities(df: DataFrame, key: str, field: str) -> DataFrame:
-    """Keys with more than one value and a top share of at least MIN_SHARE.
+def key_results(df: DataFrame, key: str, field: str) -> DataFrame:
+    """One row per real key: its row count, the leading value, its votes, all votes, number of values.
 
     Two partial aggregations (per key and value, then per key) instead of a window: a key
     with very many rows or values is reduced on the map side and never gathered.
     """
-    share = F.col("votes") / F.col("total")
+    voted = F.col("value").isNotNull()
+    top = F.max(F.when(voted, F.struct("votes", "value")))
     return (
-        ballots(df, key, field)
+        _tally(df, key, field)
         .groupBy(key)
         .agg(
-            F.max(F.struct("votes", "value")).alias("_top"),
-            F.sum("votes").alias("total"),
-            F.count(F.lit(1)).alias("distinct_values"),
+            F.sum("votes").alias("key_rows"),
+            top.alias("_top"),
+            F.coalesce(F.sum(F.when(voted, F.col("votes"))), F.lit(0)).alias("total"),
+            F.count("value").alias("distinct_values"),
         )
-        .select(key, F.col("_top.value").alias("majority"), F.col("_top.votes").alias("votes"), "total", "distinct_values")
-        .where((F.col("distinct_values") > 1) & (share >= MIN_SHARE))
-        .withColumn("confidence", F.when(share < STRONG_SHARE, WEAK_CONFIDENCE).otherwise(STRONG_CONFIDENCE))
+        .select(key, "key_rows", F.col("_top.value").alias("majority"), F.col("_top.votes").alias("votes"), "total", "distinct_values")
+    )
+
+
+def vote_shares(df: DataFrame, key: str, field: str, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
+    """Each value with its share of the votes of its key, and whether it leads."""
+    counted = ballots(df, key, field)
+    leading = F.max(F.struct("votes", "value"))
+    totals = counted.groupBy(key).agg(
+        F.sum("votes").alias("total"), F.count(F.lit(1)).alias("_values"), leading.alias("_top")
+    )
+    joined = attach_per_key(counted, totals, [key], "_values", "value", "inner", rows_per_split)
+    return joined.select(
+        key,
+        "value",
+        "votes",
+        "total",
+        F.round(F.col("votes") / F.col("total"), 6).alias("share"),
+        (F.col("value") == F.col("_top.value")).alias("leads"),
+    )
+
+
+def _winners(results: DataFrame) -> DataFrame:
+    share = F.col("votes") / F.col("total")
+    return results.where((F.col("distinct_values") > 1) & (share >= MIN_SHARE)).withColumn(
+        "confidence", F.when(share < STRONG_SHARE, WEAK_CONFIDENCE).otherwise(STRONG_CONFIDENCE)
     )
 
 
+def majorities(df: DataFrame, key: str, field: str) -> DataFrame:
+    """Keys with more than one value and a top share of at least MIN_SHARE."""
+    return _winners(key_results(df, key, field)).drop("key_rows")
+
+
 class Vote(NamedTuple):
     data: DataFrame
     changes: DataFrame
 
 
 def majority_vote(
-    df: DataFrame, key: str, field: str, name: str, guardian: str | None = None, row_id: str = "row_id", apply: bool = True
+    df: DataFrame,
+    key: str,
+    field: str,
+    name: str,
+    guardian: str | None = None,
+    row_id: str = "row_id",
+    apply: bool = True,
+    rows_per_split: int = ROWS_PER_SPLIT,
 ) -> Vote:
-    """Overwrite minority cells with the majority value of their key and log them."""
-    sizes = split_placeholders(df, key).real.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    winners = majorities(df, key, field).join(sizes, key).select(
-        key, F.col("majority").alias("_majority"), F.col("confidence").alias("_confidence"), "_rows"
+    """Overwrite minority cells with the majority value of their key and log them.
+
+    Placeholder rows take no part and do not pass through the join. Every real key that
+    is hot is split there, whether or not it has a majority.
+    """
+    real, placeholders = split_placeholders(df, key)
+    results = stage(key_results(df, key, field), "vote")
+    sizes = results.select(key, F.col("key_rows").alias("_rows"))
+    winners = _winners(results).select(
+        key, F.col("majority").alias("_majority"), F.col("confidence").alias("_confidence"), F.col("key_rows").alias("_rows")
     )
-    rows = attach_per_key(df, winners, [key], "_rows", row_id).withColumn(
+    rows = attach_per_key(real, winners, [key], "_rows", row_id, rows_per_split=rows_per_split, sizes=sizes).withColumn(
         "_minority", F.col("_majority").isNotNull() & (clean_val(F.col(field)) != F.col("_majority"))
     )
     changes = rows.where("_minority").select(
@@ -84,9 +119,7 @@ def majority_vote(
         F.col("_confidence").cast("int").alias("confidence"),
         F.lit("Majority Vote").alias("method"),
     )
-    data = (
-        rows.withColumn(field, F.when(F.col("_minority"), F.col("_majority")).otherwise(F.col(field)))
-        if apply
-        else rows
-    )
-    return Vote(data.select(*df.columns), changes)
+    if not apply:
+        return Vote(df, changes)
+    voted = rows.withColumn(field, F.when(F.col("_minority"), F.col("_majority")).otherwise(F.col(field)))
+    return Vote(voted.select(*df.columns).unionByName(placeholders), changes)

@@ -29,6 +29,19 @@ def build_session(app: str = "surveyloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def scale_settings(input_bytes: int, partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Shuffle settings for an input of a given size: about one partition per ``partition_bytes``.
+
+    AQE merges small partitions afterwards, so the number errs on the high side.
+    """
+    partitions = max(8, min(200_000, -(-input_bytes // partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+    }
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for tables that cut lineage.
 

@@ -35,6 +35,8 @@ def name_columns(df: DataFrame) -> list[str]:
 
 def melt(df: DataFrame, row_id: str, columns: Sequence[str], value: str = "value") -> DataFrame:
     """(row_id, column, value): the listed columns in long form, in one pass."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], f"row_id long, column string, {value} string")
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias(value)) for c in columns])
     return df.select(F.col(row_id).alias("row_id"), F.inline(cells))
 
@@ -246,6 +248,8 @@ def card_stats_quick(df: DataFrame, column: str) -> DataFrame:
 
 def _issue_rows(df: DataFrame, row_id: str, checks: Sequence[tuple[str, Column]]) -> DataFrame:
     """(row_id, column, value, issue_type) of the cells with an issue, all columns in one pass."""
+    if not checks:
+        return df.sparkSession.createDataFrame([], "row_id long, column string, value string, issue_type string")
     found = F.array(
         *[
             F.when(
@@ -278,6 +282,8 @@ def check_issues(df: DataFrame, checks: Sequence[tuple[str, Column]], row_id: st
 
 def check_stats(df: DataFrame, checks: Sequence[tuple[str, Column]]) -> DataFrame:
     """Cells by outcome ('valid' or the issue type) over all checked columns."""
+    if not checks:
+        return df.sparkSession.createDataFrame([], "issue_type string, n long")
     outcome = F.explode(F.array(*[F.coalesce(issue, F.lit("valid")) for _, issue in checks]))
     return df.select(outcome.alias("issue_type")).groupBy("issue_type").agg(F.count(F.lit(1)).alias("n"))
 

@@ -166,6 +166,10 @@ def issue_counts(df: DataFrame, rules: Sequence[RowRule]) -> DataFrame:
 
 def violations(df: DataFrame, rules: Sequence[RowRule], row_id: str) -> DataFrame:
     """(type, field, row_id, value): one row per broken rule and row."""
+    if not rules:
+        return df.sparkSession.createDataFrame(
+            [], "row_id long, type string, field string, value string, distinct_values boolean"
+        )
     hits = F.array(
         *[
             F.when(

@@ -14,6 +14,7 @@ from surveyloom.functions import codes, jobcard, numeric, phone, similarity, tem
 from surveyloom.operators import cells
 from surveyloom.operators.rules import SOCIAL_CATEGORIES, nearest_allowed
 from surveyloom.sources.manifest import checksum
+from surveyloom.sources.tables import spread
 
 AS_OF = "2026-01-01 00:00:00"
 Pair = tuple[Callable[[], Column], str]
@@ -224,9 +225,10 @@ scalar(
     + " FROM documents",
 )
 def pii_patterns(spark, sf_dir):
-    flags = [text.contains_pii(_c("text"), k).alias(k) for k in text.PII_PATTERNS]
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     counts = [text.pii_hits(_c("text"), k).cast("long").alias(f"n_{k}") for k in text.PII_PATTERNS]
-    return table(spark, sf_dir, "documents").select("doc_id", *flags, *counts)
+    flags = [(_c(f"n_{k}") > 0).alias(k) for k in text.PII_PATTERNS]
+    return documents.select("doc_id", *counts).select("*", *flags)
 
 
 @check("fn_38_checksum", "SELECT doc_id, 'sha256:' || left(sha256(text), 16) AS checksum FROM documents")

@@ -14,7 +14,7 @@ from surveyloom.functions.jobcard import CARD_FORMAT, check_card, validate_card
 from surveyloom.functions.numeric import age_issue, land_issue
 from surveyloom.functions.phone import validate_contact
 from surveyloom.functions.temporal import date_issue
-from surveyloom.functions.text import change_type, is_blank, is_lower, is_upper, name_format, proper_case, squeeze, strip
+from surveyloom.functions.text import change_type, is_blank, is_lower, is_upper, let, name_format, proper_case, squeeze, strip
 
 # Words that mark land and name columns.
 LAND_KEYWORDS = ("land", "area", "plot", "survey")
@@ -116,8 +116,7 @@ def format_names(df: DataFrame, columns: Sequence[str], quick: bool = False) ->
     """Proper-case the columns; blank and already proper cells keep their value."""
 
     def formatted(c: str) -> Column:
-        result = name_format(F.col(c), quick)
-        return F.when(result["was_changed"], result["formatted"]).otherwise(F.col(c))
+        return let(name_format(F.col(c), quick), lambda n: F.when(n["was_changed"], n["formatted"]).otherwise(F.col(c)))
 
     return df.withColumns({c: formatted(c) for c in columns if c in df.columns})
 

@@ -116,7 +116,8 @@ def quick_gender(name: Column, guardian: Column) -> Column:
 
 def fill_gender_quick(df: DataFrame, name: str, guardian: str, gender: str, min_confidence: int = 75) -> DataFrame:
     """Fill rows without a valid gender; adds ``_outcome`` (already_filled, tier name, cannot_determine)."""
-    guess = quick_gender(F.col(name), F.col(guardian))
+    rows = df.withColumn("_guess", quick_gender(F.col(name), F.col(guardian)))
+    guess = F.col("_guess")
     filled = clean_val(F.col(gender)).isin(*VALID_GENDERS)
     apply = ~filled & (guess["value"] != "") & (guess["confidence"] >= min_confidence)
     outcome = (
@@ -126,13 +127,13 @@ def fill_gender_quick(df: DataFrame, name: str, guardian: str, gender: str, min_
         .when(guess["tier"] == 2, "tier2_guardian")
         .otherwise("tier3_suffix")
     )
-    return df.withColumns(
+    return rows.withColumns(
         {
             "_outcome": outcome,
             "_confidence": F.when(apply, guess["confidence"]),
             gender: F.when(apply, guess["value"]).otherwise(F.col(gender)),
         }
-    )
+    ).drop("_guess")
 
 
 def nearest_surnames(

@@ -53,10 +53,13 @@ def process_records(
         ("validate_contact", contact, validate_contact(F.col(contact))),
         ("validate_mgnrega", card, validate_card(F.col(card))),
     )
-    for rule, column, result in checks:
-        if not allowed(rule, column):
+    active = [(rule, column) for rule, column, _ in checks if allowed(rule, column)]
+    rows = rows.withColumns({f"_{rule}": result for rule, column, result in checks if (rule, column) in active})
+    for rule, column, _ in checks:
+        if (rule, column) not in active:
             details.append(_skipped(column))
             continue
+        result = F.col(f"_{rule}")
         if rule == "format_name":
             fixed, valid, reason = result["formatted"], F.lit(True), F.when(result["was_changed"], "formatted").otherwise("unchanged")
         else:
@@ -95,7 +98,7 @@ def process_records(
             "has_invalid_fields": F.exists("validations", lambda v: ~v["is_valid"]),
             "has_inferences": F.size("inferences") > 0,
         }
-    ).drop("_gender", "_category")
+    ).drop("_gender", "_category", *[f"_{rule}" for rule, _ in active])
 
 
 def record_counters(processed: DataFrame) -> DataFrame:

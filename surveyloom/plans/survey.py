@@ -211,10 +211,14 @@ def merged_table(run: SurveyRun, config: SurveyConfig, context: Context = Contex
     return merged(run.data, config.key, _optional(run.data, config.date), config.row_id, list(config.scope))
 
 
-def review_table(run: SurveyRun, config: SurveyConfig) -> DataFrame:
-    return audit.review_flags(
-        run.original, run.data, run.changes, run.spell_changes, run.date_issues, config.roles(), config.row_id
-    )
+def review_table(run: SurveyRun, config: SurveyConfig, stored: bool = False) -> DataFrame:
+    """Cells and rows to look at. Unless ``run.data`` is a stored table, the columns needed are staged once."""
+    roles = config.roles()
+    data = run.data
+    if not stored:
+        needed = dict.fromkeys([config.row_id, *[c for c in roles.values() if c in data.columns]])
+        data = stage(data.select(*needed), "review")
+    return audit.review_flags(run.original, data, run.changes, run.spell_changes, run.date_issues, roles, config.row_id)
 
 
 def run_summary(run: SurveyRun) -> DataFrame:
@@ -295,7 +299,7 @@ def write_run(
     )
     put("cleaned", run.data)
     put("merged", merged_table(run, config, context))
-    put("review", review_table(run, config))
+    put("review", review_table(run, config, stored=True))
     for label, table in audit_tables(run).items():
         put(f"report/{label}", table)
     put("suggestions/changes", run.changes, "json")

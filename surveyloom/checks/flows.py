@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from surveyloom.checks import sql as S
@@ -605,6 +606,41 @@ def each_file_once(spark, sf_dir):
     return _tally(_process(spark, sf_dir, twice=True))
 
 
+@check("str_3_poll_interval", f"WITH {SURVEY} {S.newest('survey', KEY, DATE, columns='row_id, unique_key, submission_date, person_name')[1:-1]}")
+def poll_interval(spark, sf_dir):
+    """The same state from a query that polls the folder until it is stopped."""
+    stream = _streamed_files(spark, sf_dir, 2).withColumn("row_id", F.col("row_id").try_cast("long"))
+    out, checkpoint = scratch_path(spark, "state"), scratch_path(spark, "state-checkpoint")
+    query = folder.newest_per_key_stream(stream, KEY, DATE, out, checkpoint, every="1 second")
+    query.processAllAvailable()
+    query.stop()
+    return folder.current_state(spark, out, KEY, DATE).select("row_id", KEY, DATE, NAME)
+
+
+@check("str_4_failed_batch_replayed", f"WITH {SURVEY} {S.newest('survey', KEY, DATE, columns='row_id, unique_key, submission_date, person_name')[1:-1]}")
+def failed_batch_replayed(spark, sf_dir):
+    """A batch that fails after writing is replayed on restart and leaves no second copy."""
+    path = scratch_path(spark, "stream-in")
+    sinks.write_table(survey(spark, sf_dir).select(*_TEXT).repartition(3, "row_id"), path, "csv")
+    out, checkpoint = scratch_path(spark, "state"), scratch_path(spark, "state-checkpoint")
+
+    def stream():
+        return folder.folder_stream(spark, path, _TEXT, files_per_batch=1).withColumn("row_id", F.col("row_id").try_cast("long"))
+
+    def failing(batch, batch_id):
+        sinks.write_table(batch.drop("source_path"), f"{out}/batch_id={batch_id}")
+        if batch_id == 1:
+            raise RuntimeError("executor lost")
+
+    broken = stream().writeStream.foreachBatch(failing).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        broken.awaitTermination()
+    except StreamingQueryException:
+        pass
+    folder.newest_per_key_stream(stream().drop("source_path"), KEY, DATE, out, checkpoint).awaitTermination()
+    return folder.current_state(spark, out, KEY, DATE).select("row_id", KEY, DATE, NAME)
+
+
 @check("snk_10_archive", _TEXT_SQL)
 def archive(spark, sf_dir):
     """Processed files move to an archive folder; the rows are complete either way."""

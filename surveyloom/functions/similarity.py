@@ -15,10 +15,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Order matters: ratio(left, right) may differ from ratio(right, left)."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
+def _ratio_udf():
+    # Defined locally, so it travels by value and executors need not have the package installed.
+    @F.pandas_udf(DoubleType())
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
+
+    return ratio
+
+
+# sequence_ratio(left, right): order matters, ratio(a, b) may differ from ratio(b, a).
+sequence_ratio = _ratio_udf()
 
 
 def edit_distance(a: Column, b: Column) -> Column:

@@ -113,13 +113,17 @@ def name_sources(evidence: DataFrame) -> DataFrame:
     return evidence.select("name", "source_file").distinct()
 
 
-def lookup_table(strict: DataFrame, prob: DataFrame, strict_confidence: int = 95) -> DataFrame:
-    """(name, gender, confidence, layer): strict before probable, for ``infer.with_gender(library=...)``."""
+def lookup_table(strict: DataFrame, prob: DataFrame, strict_confidence: int = 95, prob_scale: int = 80) -> DataFrame:
+    """(name, gender, confidence, layer): strict before probable, for ``infer.with_gender(library=...)``.
+
+    A probable name gets its share of sightings times ``prob_scale`` as confidence, so that with
+    the usual thresholds it is suggested rather than written. Store the table before looking up in it.
+    """
     return strict.select(
         "name", "gender", F.lit(strict_confidence).alias("confidence"), F.lit("strict").alias("layer")
     ).unionByName(
         without_strict(prob, strict).select(
-            "name", "gender", F.floor(F.col("confidence") * 80).cast("int").alias("confidence"), F.lit("prob").alias("layer")
+            "name", "gender", F.floor(F.col("confidence") * prob_scale).cast("int").alias("confidence"), F.lit("prob").alias("layer")
         )
     )
 

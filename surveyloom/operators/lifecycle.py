@@ -11,7 +11,7 @@ so a file with any number of events is spread over tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # States, and which action leads from which state to which.
@@ -131,22 +131,25 @@ def _by_position(a: Column, b: Column) -> Column:
 
 
 def new_uploads(uploads: DataFrame, registered: DataFrame) -> DataFrame:
-    """Uploads not yet registered under the same name and checksum.
+    """Uploads not yet registered under the same name and checksum, each content once.
 
-    A name that is taken by other content gets its time stamp appended.
+    A name that is taken by other content, registered or uploaded earlier in this batch,
+    gets its time stamp appended.
     """
     fresh = uploads.join(registered.select("file_name", "checksum"), ["file_name", "checksum"], "left_anti")
+    once = Window.partitionBy("file_name", "checksum").orderBy("uploaded_at")
+    fresh = fresh.withColumn("_rank", F.row_number().over(once)).where(F.col("_rank") == 1).drop("_rank")
     taken = registered.select("file_name").distinct().withColumn("_taken", F.lit(True))
+    earliest = fresh.groupBy("file_name").agg(F.min(F.struct("uploaded_at", "checksum")).alias("_earliest"))
     stamp = F.date_format("uploaded_at", "yyyyMMdd_HHmmss")
     stem = F.regexp_extract("file_name", r"^(.*?)(\.[^.]*)?$", 1)
     suffix = F.regexp_extract("file_name", r"^(.*?)(\.[^.]*)?$", 2)
+    clash = F.col("_taken").isNotNull() | (F.col("_earliest.checksum") != F.col("checksum"))
     return (
         fresh.join(taken, "file_name", "left")
-        .withColumn(
-            "stored_name",
-            F.when(F.col("_taken"), F.concat(stem, F.lit("_"), stamp, suffix)).otherwise(F.col("file_name")),
-        )
-        .drop("_taken")
+        .join(earliest, "file_name")
+        .withColumn("stored_name", F.when(clash, F.concat(stem, F.lit("_"), stamp, suffix)).otherwise(F.col("file_name")))
+        .drop("_taken", "_earliest")
     )
 
 

@@ -117,3 +117,15 @@ def test_lifecycle_equals_a_fold(spark, chunk):
         state[f] = to
     out = lifecycle.apply_events(df, chunk=chunk).collect()
     assert {(r["file_name"], r["seq"]): (r["from_status"], r["to_status"], r["is_legal"]) for r in out} == expected
+
+
+def test_new_uploads(spark):
+    registered = spark.createDataFrame([("a.csv", "1"), ("b.csv", "2")], "file_name string, checksum string")
+    uploads = spark.createDataFrame(
+        [("a.csv", "1", 10), ("a.csv", "9", 20), ("c.csv", "3", 30), ("c.csv", "3", 31), ("c.csv", "4", 40), ("d", "5", 50)],
+        "file_name string, checksum string, s long",
+    ).withColumn("uploaded_at", F.timestamp_seconds("s"))
+    out = sorted((r["file_name"], r["checksum"], r["stored_name"]) for r in lifecycle.new_uploads(uploads, registered).collect())
+    assert out == [
+        ("a.csv", "9", "a_19700101_000020.csv"), ("c.csv", "3", "c.csv"), ("c.csv", "4", "c_19700101_000040.csv"), ("d", "5", "d"),
+    ]

@@ -289,15 +289,22 @@ def write_run(
         out[label] = write_table(df, f"{path}/{label}", f, partition_by=partition_by if label in ("cleaned", "merged") else ())
 
     def stored(label: str, df: DataFrame) -> DataFrame:
-        where = write_table(df, f"{path}/_stored/{label}")
-        return spark.read.schema(df.schema).parquet(where)
+        # A Parquet output is its own stored table; other formats get one beside it.
+        native = fmt == "parquet"
+        where = f"{path}/{label}" if native else f"{path}/_stored/{label}"
+        write_table(df, where, partition_by=partition_by if native and label == "cleaned" else ())
+        table = spark.read.schema(df.schema).parquet(where).select(*df.columns)
+        if native:
+            out[label] = where
+        else:
+            put(label, table)
+        return table
 
     run = run._replace(
         data=stored("cleaned", run.data),
         changes=stored("changes", run.changes),
         spell_changes=stored("spell_changes", run.spell_changes),
     )
-    put("cleaned", run.data)
     put("merged", merged_table(run, config, context))
     put("review", review_table(run, config, stored=True))
     for label, table in audit_tables(run).items():

@@ -87,11 +87,16 @@ def test_majority_vote_runs_only_without_dedup(spark):
 
 
 def test_written_outputs(spark, df, tmp_path):
-    out = write_run(run_survey(df, SurveyConfig()), SurveyConfig(), str(tmp_path / "run"))
+    run = run_survey(df, SurveyConfig())
+    out = write_run(run, SurveyConfig(), str(tmp_path / "run"))
     assert spark.read.parquet(out["cleaned"]).count() == 5
     assert spark.read.parquet(out["merged"]).count() == 5
     assert spark.read.parquet(out["snapshot"]).exceptAll(df).count() == 0
     assert spark.read.json(out["suggestions/changes"]).count() == 4
+    out = write_run(run, SurveyConfig(), str(tmp_path / "csv"), fmt="csv", partition_by=["district"])
+    assert spark.read.option("header", True).csv(out["cleaned"]).count() == 5
+    out = write_run(run, SurveyConfig(), str(tmp_path / "parts"), partition_by=["district"])
+    assert spark.read.parquet(out["merged"]).where("district = 'pune'").count() == 2
 
 
 def test_file_batch_keeps_files_apart(spark, df):

@@ -45,13 +45,16 @@ def scale_settings(input_bytes: int, partition_bytes: int = 128 << 20) -> dict[s
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for tables that cut lineage.
 
-    On a cluster this is the shared folder named in ``spark.checkpoint.dir``. Only
-    where that is unset (tests, laptops) is a folder of our own created and recorded.
+    On a cluster this is the shared folder named in ``spark.checkpoint.dir``. Only in
+    local mode, where that is unset (tests, laptops), is a folder of our own created and
+    recorded: executors elsewhere would not see it.
     """
     path = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

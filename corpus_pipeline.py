@@ -1,5 +1,62 @@
-"""A training-data pipeline: quality, near-duplicates, secrets, mixture and token round trip."""
+"""A training-data pipeline: quality, near-duplicates, secrets, mixture, token round trip.
 
+Each stage takes and returns whole tables; all but the last return the columns of ``documents``:
+
+1. quality rules: documents that fail the base rules or the label model go;
+2. near-duplicates (five-word shingles, similarity of 0.8): of each group the smallest doc_id stays;
+3. secret scan: secrets in the texts are replaced by a mask;
+4. mixture: every document as often as its source's repetition rate says;
+5. tokens: ids of every text, with the digest of what they decode to.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from surveyloom.llm import mixing, near_dedup, quality_rules, secret_scan, tokens
+from surveyloom.session import stage
+
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.filter_documents(docs)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.one_of_each(docs, size=5, percent=80)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redact_documents(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    decoded = tokens.decode_documents(tokens.encode_documents(docs, RANKS, PATTERN), RANKS, PATTERN)
+    return decoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("near-duplicates", keep_one_of_each),
+    ("secret scan", mask_secrets),
+    ("mixture", mix_sources),
+    ("tokens", to_tokens),
+]
+
+#: Shingle hashes and token merges have no SQL form; tests hold the result against plain Python.
 ORACLE_SQL = None
-STAGES = []
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of all stages over ``documents``; each stage's table is stored and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, apply in STAGES[:-1]:
+        docs = stage(apply(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from surveyloom.llm import mixing, quality_rules, secret_scan, url_filter
+from surveyloom.llm import html_extract, licenses, mixing, near_dedup, quality_rules, secret_scan, substring_dedup, tokens, url_filter, vectors
 from surveyloom.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -31,10 +32,18 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find(documents(spark, sf_dir))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), size=3, percent=85)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(documents(spark, sf_dir))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
@@ -44,4 +53,26 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages(spark, sf_dir), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_mix_sources, op7_quality_rules, op9_url_filter)}
+def op4_nearest_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors_ = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vectors.nearest(vectors_, vectors_.where("vec_id % 100 = 0"))
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(pages(spark, sf_dir))
+
+
+def op8_token_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir), spark.createDataFrame(licenses.TEMPLATES, "name string, text string"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_near_dedup, op3_mix_sources, op4_nearest_codes, op5_html_extract, op6_substring_dedup, op7_quality_rules, op8_token_round_trip, op9_url_filter, op10_license_scan,
+    )
+}

@@ -28,9 +28,9 @@ SELECT o.o_orderkey AS row_id,
   CASE o.o_orderkey % 8 WHEN 0 THEN concat('9', lpad(CAST(o.o_orderkey AS VARCHAR(20)), 9, '0')) WHEN 1 THEN concat('+91 8', lpad(CAST(o.o_orderkey AS VARCHAR(20)), 9, '0'))
     WHEN 2 THEN concat('91-7', lpad(CAST(o.o_orderkey AS VARCHAR(20)), 9, '0')) WHEN 3 THEN concat('06', lpad(CAST(o.o_orderkey AS VARCHAR(20)), 9, '0'))
     WHEN 4 THEN '98765' WHEN 5 THEN concat('5', lpad(CAST(o.o_orderkey AS VARCHAR(20)), 9, '0')) WHEN 6 THEN NULL ELSE concat('98765 4', lpad(CAST(o.o_orderkey AS VARCHAR(20)), 9, '0'), '1') END AS contact_number,
-  CASE o.o_orderkey % 8 WHEN 0 THEN concat('MH-07-001-023-045/', lpad(CAST(o.o_orderkey AS VARCHAR(20)), 6, '0')) WHEN 1 THEN concat('mh-07-001-023-045/', lpad(CAST(o.o_orderkey AS VARCHAR(20)), 6, '0'))
-    WHEN 2 THEN concat('MH-07-001-023-045-', CAST(o.o_orderkey AS VARCHAR(20))) WHEN 3 THEN concat('07001023045', lpad(CAST(o.o_orderkey AS VARCHAR(20)), 6, '0'))
-    WHEN 4 THEN 'GJ-07-001-023-045/000012' WHEN 5 THEN 'MH - 07 - 001 - 023 - 045/000012' WHEN 6 THEN NULL ELSE 'MH-7-001-023-045/000012' END AS job_card,
+  CASE o.o_orderkey % 8 WHEN 0 THEN concat('MH-31-114-062-009/', lpad(CAST(o.o_orderkey AS VARCHAR(20)), 6, '0')) WHEN 1 THEN concat('mh-31-114-062-009/', lpad(CAST(o.o_orderkey AS VARCHAR(20)), 6, '0'))
+    WHEN 2 THEN concat('MH-31-114-062-009-', CAST(o.o_orderkey AS VARCHAR(20))) WHEN 3 THEN concat('31114062009', lpad(CAST(o.o_orderkey AS VARCHAR(20)), 6, '0'))
+    WHEN 4 THEN 'GJ-31-114-062-009/000387' WHEN 5 THEN 'MH - 31 - 114 - 062 - 009/000387' WHEN 6 THEN NULL ELSE 'MH-3-114-062-009/000387' END AS job_card,
   CASE o.o_orderkey % 6 WHEN 0 THEN '2024-01-15' WHEN 1 THEN '15/01/2024' WHEN 2 THEN '2030-01-15' WHEN 3 THEN 'invalid' WHEN 4 THEN '' ELSE NULL END AS survey_date,
   CASE o.o_orderkey % 6 WHEN 0 THEN '25' WHEN 1 THEN '15' WHEN 2 THEN '105' WHEN 3 THEN 'abc' WHEN 4 THEN NULL ELSE '18' END AS age,
   CASE o.o_orderkey % 7 WHEN 0 THEN '5.5' WHEN 1 THEN '-2' WHEN 2 THEN '0' WHEN 3 THEN '1500' WHEN 4 THEN 'abc' WHEN 5 THEN NULL ELSE '0.005' END AS land_area,

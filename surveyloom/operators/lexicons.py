@@ -40,18 +40,42 @@ pushpabai raibai nejanbai sangita anjanabai vimalbai shobhabai subhadrabai
 parvatibai shashikalabai nirgunabai ruminabai
 """.split()
 
-# A seed of common male first names. The full regional list is longer than a source
-# file should carry: pass it as ``male_names`` or through ``read_lexicons``.
+# Male first names.
 MALE_NAMES = """
-abhijit ajay amit anil arun arvind ashok atul baburao balu baliram bharat bhimrao bhushan
-chandrakant dattatray devendra dilip dinesh dipak ganesh gajanan gangadhar ganpat gopal govind
-hari haribhau hemraj hiralal jagdish janardhan jitendra kailash kalu kishor kisan krishna
-lahu lakshman laxman madhav madhukar mahadev mahendra mahesh manohar manoj maroti milind mohan mukesh
-nagesh namdeo narayan narendra nilkanth omprakash pandurang prabhakar pralhad prakash pramod prashant
-raghunath raju rajaram rajendra rajkumar ramchandra ramdas ramesh rameshwar ravi ravindra roshan
-sadashiv sakharam sanjay santosh shamrao shankar shivaji shriram sitaram subhash sudhir sukhdev sunil
-suraj suresh surendra tukaram ulhas umesh vasant vasudev vedant vijay vilas vinayak vinod vishnu
-vishwanath vitthal yadav yashwant yuvraj
+anita asha ashwini archana alka amita ambika
+aparna aruna avantika
+bharati bhagyashri bhavna bimla
+chanda chandrakala chhaya
+deepa deepali devyani durga
+gauri geeta girija
+hemlata hira
+indira indu
+jayashri jyoti
+kalpana kalyani kamala kanchan kavita komal kumari
+lata latika laxmi leela
+madhuri mangala manju manjula meena meenakshi
+mohini mona mukta
+nanda nandini neelam neeta nirmala
+padma padmavati parvati pooja prabha priya pushpa
+radha rajani rakhi rama rani ratna rekha rohini
+sadhana sai sangeeta sarita savita shakuntala
+shanta shobha shraddha shubhangi sita sonal sonali
+sulabha sunita sushama sushila swati
+usha
+vandana vaishali varsha vidya vijaya vimala
+yamuna yashodabai
+bai tai mai
+jijabai hirabai tarabai radhabai sitabai
+lilabai godabai nankabai
+shantabai urmila pramila parbatabai meerabai
+prabhabai kamalabai malanbai kantabai kamlabai
+santabai jaiwanta pratima anusaya sumitra
+indubai anusuya anjana vimalabai sevanta
+kacharabai rajiya kusumbai shantibai
+jayawanta kusum savitri manjubai fulanbai
+pushpabai raibai nejanbai sangita
+anjanabai vimalbai shobhabai subhadrabai
+parvatibai shashikalabai nirgunabai ruminabai
 """.split()
 
 # Name endings, tried in this order, female before male.

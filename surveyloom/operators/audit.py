@@ -119,6 +119,7 @@ def review_flags(
     date_issues: DataFrame,
     columns: Mapping[str, str],
     row_id: str = "row_id",
+    scope: Sequence[str] = (),
 ) -> DataFrame:
     """(row_id, column, flag) of every cell to look at, plus duplicate rows with column null.
 
@@ -158,22 +159,22 @@ def review_flags(
     if "key" not in have:
         return cells
     return cells.unionByName(
-        duplicate_rows(cleaned, have["key"], have.get("date"), row_id).select(
+        duplicate_rows(cleaned, have["key"], have.get("date"), row_id, scope).select(
             "row_id", F.lit(None).cast("string").alias("column"), F.lit("duplicate").alias("flag")
         )
     )
 
 
-def duplicate_rows(df: DataFrame, key: str, date: str | None, row_id: str = "row_id") -> DataFrame:
+def duplicate_rows(df: DataFrame, key: str, date: str | None, row_id: str = "row_id", scope: Sequence[str] = ()) -> DataFrame:
     """Rows that do not survive into the merged table, by anti-join with the survivors."""
-    kept = survivors(df, key, date, row_id)
+    kept = survivors(df, key, date, row_id, scope)
     return df.select(F.col(row_id).alias("row_id")).join(kept, "row_id", "left_anti")
 
 
-def survivors(df: DataFrame, key: str, date: str | None, row_id: str = "row_id") -> DataFrame:
-    """Row ids that survive into the merged table; only key and date are read."""
-    slim = df.select(*dict.fromkeys([row_id, key] + ([date] if date else [])))
-    return newest_per_key(slim, key, date, row_id).select(F.col(row_id).alias("row_id"))
+def survivors(df: DataFrame, key: str, date: str | None, row_id: str = "row_id", scope: Sequence[str] = ()) -> DataFrame:
+    """Row ids that survive into the merged table, per ``scope``; only key, date and scope are read."""
+    slim = df.select(*dict.fromkeys([row_id, key, *scope] + ([date] if date else [])))
+    return newest_per_key(slim, [*scope, key], date, row_id).select(F.col(row_id).alias("row_id"))
 
 
 def run_history(runs: DataFrame, order: str = "created_at") -> DataFrame:

@@ -42,40 +42,51 @@ parvatibai shashikalabai nirgunabai ruminabai
 
 # Male first names.
 MALE_NAMES = """
-anita asha ashwini archana alka amita ambika
-aparna aruna avantika
-bharati bhagyashri bhavna bimla
-chanda chandrakala chhaya
-deepa deepali devyani durga
-gauri geeta girija
-hemlata hira
-indira indu
-jayashri jyoti
-kalpana kalyani kamala kanchan kavita komal kumari
-lata latika laxmi leela
-madhuri mangala manju manjula meena meenakshi
-mohini mona mukta
-nanda nandini neelam neeta nirmala
-padma padmavati parvati pooja prabha priya pushpa
-radha rajani rakhi rama rani ratna rekha rohini
-sadhana sai sangeeta sarita savita shakuntala
-shanta shobha shraddha shubhangi sita sonal sonali
-sulabha sunita sushama sushila swati
-usha
-vandana vaishali varsha vidya vijaya vimala
-yamuna yashodabai
-bai tai mai
-jijabai hirabai tarabai radhabai sitabai
-lilabai godabai nankabai
-shantabai urmila pramila parbatabai meerabai
-prabhabai kamalabai malanbai kantabai kamlabai
-santabai jaiwanta pratima anusaya sumitra
-indubai anusuya anjana vimalabai sevanta
-kacharabai rajiya kusumbai shantibai
-jayawanta kusum savitri manjubai fulanbai
-pushpabai raibai nejanbai sangita
-anjanabai vimalbai shobhabai subhadrabai
-parvatibai shashikalabai nirgunabai ruminabai
+abhijit anil arun ashok atul
+baburao balu bapurao bharat bhimrao
+chandrakant chandrabhan
+dagadu dattatray devrao dilip dinesh
+ganesh gangadhar gajanan gajananrao
+govind gulab
+hari haribhau harishchandra
+jagdish janardhan
+kailash kishor krishna krushna
+laxman lahu
+madhav mahendra manoj milind mohan murlidhar
+nagesh namdeo narayan narendra
+pandurang prabhakar prakash pramod prashant
+rajendra ramchandra ramesh ravindra ravi
+sadashiv sanjay santosh shivaji shriram
+sudhir suresh sunil
+trimbak ulhas
+vijay vilas vinayak vishnu vitthal
+wasudeo yadav yashwant
+bhima bhushan chatru dhanu genu
+hiraman janu kalu ramu soma tukaram
+rajkumar maniram tejram ramdas hemraj
+dhanraj premlal kuwarlal gopal hiralal
+devendra dayaram mahesh babulal chaitram
+dhaniram sadaram ramlal bhojraj khemraj
+tarachand omraj nilkanth parasram surendra
+rameshwar mohanlal rupchand mayaram shamlal
+yograj manohar umesh vinod radheshyam
+udaram surajlal vasudev mansaram jageshwar
+chunnilal mayalal youraj sukhram
+bramhadev pandurang
+motiram shankar kisan shalikram harichand ramchand sitaram sundarlal
+sankar mukesh jitendra raju shamrao tulshiram kashiram gyaniram
+ghanshyam omprakash subhash barikram lakhanlal gendlal nandlal mulchand
+maharu yadorao sukhdev atmaram jaipal hivraj dulichand shivlal
+bhaiyalal madhukar pyarelal antaram tulsiram rajaram budharam devidas
+sukhadev brijlal salikram pralhad shivcharan pramlal purushottam ishwar
+ramsing chunilal ankalu sakharam ganeshram shantilal devlal jiyalal
+ratiram madanlal ganpat khushal ramcharan radhelal mahadev vasant
+gangaram kishan budhram jagannath jagan suraj punaram dhondu
+pandhari madan baliram raghunath indrapal nandkishor sukharam umarav
+jairam gopichand bhaulal kuvarlal shamrav lakhan vishwanath dipak
+dhansay roshan gendalal bhaurao kumarsay lakshman motilal maroti
+patiram ramaji ramji insaram devanand baleshwar samaru yuvraj
+jagatram vedant vilas youraj
 """.split()
 
 # Name endings, tried in this order, female before male.

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surveyloom.functions.codes import is_placeholder_key
 from surveyloom.functions.text import clean_val, strip
 from surveyloom.operators.dedup import split_placeholders
 from surveyloom.operators.keyed import ROWS_PER_SPLIT, attach_per_key
@@ -94,12 +96,17 @@ def majority_vote(
     row_id: str = "row_id",
     apply: bool = True,
     rows_per_split: int = ROWS_PER_SPLIT,
+    scope: Sequence[str] = (),
 ) -> Vote:
-    """Overwrite minority cells with the majority value of their key and log them.
+    """Overwrite minority cells with the majority value of their key, per ``scope``, and log them.
 
     Placeholder rows take no part and do not pass through the join. Every real key that
     is hot is split there, whether or not it has a majority.
     """
+    if scope:  # a key then is the scope and the key together
+        joint = F.when(~is_placeholder_key(F.col(key)), F.to_json(F.array(*[F.col(c).cast("string") for c in (*scope, key)]))).otherwise(F.col(key))
+        vote = majority_vote(df.withColumn("_scoped", joint), "_scoped", field, name, guardian, row_id, apply, rows_per_split)
+        return Vote(vote.data.drop("_scoped"), vote.changes)
     real, placeholders = split_placeholders(df, key)
     results = stage(key_results(df, key, field), "vote")
     sizes = results.select(key, F.col("key_rows").alias("_rows"))

@@ -22,9 +22,12 @@ def run_batch(df: DataFrame, config: SurveyConfig, context: Context = Context(),
     return run_survey(df, replace(config, scope=(source_file,)), context)
 
 
-def file_summary(run: SurveyRun, row_id: str = "row_id", source_file: str = "source_file") -> DataFrame:
+def file_summary(run: SurveyRun, row_id: str = "row_id", source_file: str = "source_file", outcomes: DataFrame | None = None) -> DataFrame:
     """One row of metrics per file.
 
+    With the ``outcomes`` (source_file, status, error) of the reader every file has a row with its own
+    status, also empty, missing and unreadable ones; without, all rows are of files that were read.
+
     Log entries find their file by row id (unique, so evenly spread) and are counted
     together with the rows themselves in a single aggregation.
     """
@@ -51,12 +54,15 @@ def file_summary(run: SurveyRun, row_id: str = "row_id", source_file: str = "sou
             )
         ),
     )
-    return (
+    summary = (
         counted.unionByName(kept)
         .groupBy("source_file")
         .agg(*[F.coalesce(F.sum(F.when(F.col("metric") == m, F.col("n"))), F.lit(0)).alias(m) for m in METRICS])
-        .withColumn("status", F.lit("success"))
     )
+    if outcomes is None:
+        return summary.withColumn("status", F.lit("success"))
+    listed = outcomes.join(summary, "source_file", "left")
+    return listed.select("source_file", *[F.coalesce(m, F.lit(0)).cast("long").alias(m) for m in METRICS], "status", "error")
 
 
 def batch_totals(summary: DataFrame) -> DataFrame:

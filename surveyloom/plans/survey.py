@@ -160,7 +160,7 @@ def run_survey(df: DataFrame, config: SurveyConfig, context: Context = Context()
         for name in c.correct_fields:
             column = {"gender": c.gender, "category": c.category}.get(name, name)
             if column in has and context.allow_column(column):
-                vote = majority_vote(rows, c.key, column, c.name, guardian, c.row_id, apply=not context.dry_run)
+                vote = majority_vote(rows, c.key, column, c.name, guardian, c.row_id, apply=not context.dry_run, scope=scope)
                 rows = vote.data
                 logs.append(vote.changes.withColumn("field", F.lit(name)).select(*CHANGE_COLUMNS))
 
@@ -216,9 +216,9 @@ def review_table(run: SurveyRun, config: SurveyConfig, stored: bool = False) ->
     roles = config.roles()
     data = run.data
     if not stored:
-        needed = dict.fromkeys([config.row_id, *[c for c in roles.values() if c in data.columns]])
+        needed = dict.fromkeys([config.row_id, *config.scope, *[c for c in roles.values() if c in data.columns]])
         data = stage(data.select(*needed), "review")
-    return audit.review_flags(run.original, data, run.changes, run.spell_changes, run.date_issues, roles, config.row_id)
+    return audit.review_flags(run.original, data, run.changes, run.spell_changes, run.date_issues, roles, config.row_id, config.scope)
 
 
 def run_summary(run: SurveyRun) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -14,67 +17,182 @@ EXTENSIONS = (".csv", ".tsv")
 RECORD_FIELDS = ("farmer_name", "father_or_spouse", "contact_number", "mgnrega_card", "gender", "category")
 PROFILE_ROWS = 500
 CORRUPT = "_corrupt_record"
+HEADER_READERS = 16
+_SUFFIX = re.compile(r"\.(csv|tsv)(\.(?:gz|bz2|zst|lz4|snappy|deflate))?$", re.I)
 
 
 def string_schema(columns: Sequence[str]) -> StructType:
     return StructType([StructField(c, StringType()) for c in columns])
 
 
-def _delimited(spark: SparkSession, paths: str | list[str], sep: str, columns: Sequence[str] | None, **options: str) -> DataFrame:
-    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').options(**options)
-    if columns is not None:
-        reader = reader.schema(string_schema(columns))
-    return reader.csv(paths)
+class Header(NamedTuple):
+    """First line of a file: its column names, or why there are none."""
 
+    path: str
+    columns: tuple[str, ...]
+    status: str
+    error: str | None
 
-def read_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None, **options: str) -> DataFrame:
-    """Comma-separated text. With ``columns`` given no file is opened before the job runs."""
-    return _delimited(spark, path, ",", columns, **options)
 
-
-def read_tsv(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None, **options: str) -> DataFrame:
-    return _delimited(spark, path, "\t", columns, **options)
+def is_supported(path: str) -> bool:
+    return _SUFFIX.search(path) is not None
 
 
-def is_supported(path: str) -> bool:
-    return path.lower().endswith(EXTENSIONS)
+def _separator(path: str) -> str:
+    return "," if _SUFFIX.search(path)[1].lower() == "csv" else "\t"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+def _header(spark: SparkSession, path: str) -> Header:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    try:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        stream = place.getFileSystem(conf).open(place)
+        try:
+            codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+            plain = codec.createInputStream(stream) if codec else stream
+            line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8")).readLine()
+        finally:
+            stream.close()
+    except Exception as error:  # noqa: BLE001  the reason goes into the table of outcomes
+        missing = "FileNotFound" in str(error) or "does not exist" in str(error)
+        return Header(path, (), "missing" if missing else "failed", str(error).splitlines()[-1][:500])
+    if line is None:
+        return Header(path, (), "empty", None)
+    cells = next(csv.reader([line.removeprefix("\ufeff")], delimiter=_separator(path) if is_supported(path) else ","), [])
+    return Header(path, tuple(c.strip() for c in cells), "success", None)
+
+
+def headers(spark: SparkSession, paths: Sequence[str]) -> list[Header]:
+    """Headers of many files; the first block of each is opened, some at a time."""
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        return list(pool.map(lambda p: _header(spark, p), paths))
+
+
+def _whole(spark: SparkSession, found: list[Header]) -> list[Header]:
+    """Compressed files can end early, which only a full read shows: each one that does is set to failed."""
+    packed = {h.path for h in found if h.status == "success" and _SUFFIX.search(h.path)[2]}
+    errors: dict[str, str] = {}
+    while packed:
+        try:
+            spark.read.text(sorted(packed)).agg(F.count("*")).collect()
+            break
+        except Exception as error:  # noqa: BLE001
+            told = str(error)
+            broken = {p for p in packed if p.rsplit("/", 1)[-1] in told}
+            if not broken:
+                raise
+            errors |= {p: "unreadable: " + next((x for x in told.splitlines() if "xception" in x), told)[:400] for p in broken}
+            packed -= broken
+    return [h._replace(status="failed", error=errors[h.path]) if h.path in errors else h for h in found]
+
+
+def _by_name(spark: SparkSession, paths: list[str], sep: str, layout: tuple[str, ...], columns: Sequence[str], **options: str) -> DataFrame:
+    """Files of one layout: columns are found by their header, missing ones are null, others are not read."""
+    names, seen = [], set()
+    for i, name in enumerate(layout):
+        names.append(name if name and name not in seen else f"_unnamed_{i}")
+        seen.add(name)
+    table = (
+        spark.read.option("header", True).option("sep", sep).option("escape", '"').option("columnNameOfCorruptRecord", CORRUPT)
+        .options(**{"mode": "PERMISSIVE", **options}).schema(string_schema([*names, CORRUPT])).csv(paths)
+    )
+    chosen = [(F.col(f"`{c}`") if c in names else F.lit(None).cast("string")).alias(c) for c in columns]
+    return table.select(*chosen, CORRUPT, F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("source_path"))
 
 
-def read_files(spark: SparkSession, paths: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Many files as one table tagged with ``source_file``.
+def read_headed(spark: SparkSession, found: Sequence[Header], columns: Sequence[str], **options: str) -> DataFrame:
+    """All successful files as one table: ``columns``, ``_corrupt_record``, source_file and source_path.
 
-    Unsupported and missing paths are dropped. Broken lines keep their text in
-    ``_corrupt_record``, unreadable files are skipped, and neither stops the others.
+    One reader per distinct layout; options go to the readers, such as multiLine="true" for line breaks in quoted cells.
     """
-    usable = [p for p in sorted(paths) if is_supported(p) and _exists(spark, p)]
-    frames = []
-    for sep, ending in ((",", ".csv"), ("\t", ".tsv")):
-        chosen = [p for p in usable if p.lower().endswith(ending)]
-        if chosen:
-            frames.append(_tagged(spark, chosen, sep, columns))
+    layouts: dict[tuple, list[str]] = {}
+    for h in found:
+        if h.status == "success":
+            layouts.setdefault((_separator(h.path), h.columns), []).append(h.path)
+    frames = [_by_name(spark, paths, sep, layout, columns, **options) for (sep, layout), paths in sorted(layouts.items())]
     if not frames:
-        return spark.createDataFrame([], string_schema([*columns, CORRUPT, "source_file"]))
-    return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+        return spark.createDataFrame([], string_schema([*columns, CORRUPT, "source_file", "source_path"]))
+    table = frames[0]
+    for frame in frames[1:]:
+        table = table.unionByName(frame)
+    return table
 
 
-def _tagged(spark: SparkSession, paths: str | list[str], sep: str, columns: Sequence[str], **options: str) -> DataFrame:
-    table = _delimited(
-        spark, paths, sep, [*columns, CORRUPT],
-        mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, ignoreCorruptFiles="true", **options,
-    )
-    return table.withColumn("source_file", F.col("_metadata.file_name"))
+def outcomes(spark: SparkSession, found: Sequence[Header]) -> DataFrame:
+    """(source_file, status, error) per file: success, empty, missing or failed."""
+    rows = [(h.path.rsplit("/", 1)[-1], h.status, h.error) for h in found]
+    return spark.createDataFrame(rows, "source_file string, status string, error string")
 
 
-def read_folder(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """All supported files of a folder, tagged by file."""
-    return _tagged(spark, path, ",", columns, pathGlobFilter="*.csv").unionByName(
-        _tagged(spark, path, "\t", columns, pathGlobFilter="*.tsv")
-    )
+class FileSet(NamedTuple):
+    rows: DataFrame
+    outcomes: DataFrame
+
+
+def read_file_set(spark: SparkSession, paths: Sequence[str], columns: Sequence[str], **options: str) -> FileSet:
+    """Rows of all readable files and the outcome of every supported one.
+
+    A broken, empty or missing file stops no other and is never cut short in silence.
+    """
+    found = _whole(spark, headers(spark, [p for p in sorted(paths) if is_supported(p)]))
+    return FileSet(read_headed(spark, found, columns, **options), outcomes(spark, found))
+
+
+def _delimited(spark: SparkSession, paths: str | list[str], sep: str, columns: Sequence[str] | None, **options: str) -> DataFrame:
+    if columns is None:
+        return spark.read.option("header", True).option("sep", sep).option("escape", '"').options(**options).csv(paths)
+    listed = [f for p in ([paths] if isinstance(paths, str) else paths) for f in list_files(spark, p)]
+    found = _headers_as(spark, listed, sep)
+    failed = [h for h in found if h.status in ("failed", "missing")]
+    if failed:
+        raise OSError(f"{failed[0].path}: {failed[0].error}")
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for h in found:
+        if h.status == "success":
+            layouts.setdefault(h.columns, []).append(h.path)
+    frames = [_by_name(spark, files, sep, layout, columns, **options).select(*columns) for layout, files in sorted(layouts.items())]
+    table = frames[0] if frames else spark.createDataFrame([], string_schema(columns))
+    for frame in frames[1:]:
+        table = table.unionByName(frame)
+    return table
+
+
+def _headers_as(spark: SparkSession, paths: Sequence[str], sep: str) -> list[Header]:
+    """Headers of files of one type whatever their names."""
+    found = headers(spark, paths)
+    if sep == ",":
+        return found
+    return [h if len(h.columns) != 1 else h._replace(columns=tuple(c.strip() for c in next(csv.reader([h.columns[0]], delimiter=sep)))) for h in found]
+
+
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Data files of a folder, or the file itself; hidden files and subfolders are left out."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    files = [(f.getPath().getName(), f.getPath().toString()) for f in listed if f.isFile()]
+    return sorted(p for name, p in files if not name.startswith(("_", ".")))
+
+
+def read_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None, **options: str) -> DataFrame:
+    """Comma-separated text. ``columns`` are found by header in every file, whatever its order of columns."""
+    return _delimited(spark, path, ",", columns, **options)
+
+
+def read_tsv(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None, **options: str) -> DataFrame:
+    return _delimited(spark, path, "\t", columns, **options)
+
+
+def read_files(spark: SparkSession, paths: Sequence[str], columns: Sequence[str], **options: str) -> DataFrame:
+    """Many files as one table tagged with ``source_file``; unsupported, missing and broken ones are left out, see ``read_file_set``.
+
+    Broken lines keep their text in ``_corrupt_record``.
+    """
+    return read_file_set(spark, paths, columns, **options).rows.drop("source_path")
+
+
+def read_folder(spark: SparkSession, path: str, columns: Sequence[str], **options: str) -> DataFrame:
+    """All supported files of a folder, tagged by file, whatever the case of their endings."""
+    return read_files(spark, list_files(spark, path), columns, **options)
 
 
 def profile_rows(df: DataFrame, row_id: str = "row_id", rows: int = PROFILE_ROWS) -> DataFrame:
@@ -126,17 +244,16 @@ PROB_SCHEMA = (
 )
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stored table, or an empty one of the same schema where none has been written or it is unreadable."""
-    try:
-        table = spark.read.parquet(path)
-        return table.select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(schema).fields])
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-    except Exception as error:  # corrupt footer
-        if "parquet" not in str(error).lower():
-            raise
+    """A stored table, or an empty one of the same schema where none has been written. A table that can't be read is an error."""
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
+    return spark.read.parquet(path).select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(schema).fields])
 
 
 def load_library(spark: SparkSession, strict_path: str, prob_path: str) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,20 +12,27 @@ from pyspark.sql.streaming import StreamingQuery
 
 from surveyloom.operators.dedup import newest_per_key
 from surveyloom.plans.context import Context
-from surveyloom.plans.survey import SurveyConfig, run_survey
+from surveyloom.plans.survey import SurveyConfig, merged_table, review_table, run_survey
 from surveyloom.session import stage
 from surveyloom.sources.manifest import checksum
 from surveyloom.sources.sinks import write_table
-from surveyloom.sources.tables import string_schema, with_row_ids
+from surveyloom.sources.tables import exists, read_file_set, string_schema, with_row_ids
 
 FILES_PER_BATCH = 1000
+#: Row ids of a batch start at its number shifted by so many bits, so that they differ between batches.
+ROW_BITS = 40
 
 
 def folder_stream(
     spark: SparkSession, path: str, columns: Sequence[str], archive: str | None = None, files_per_batch: int = FILES_PER_BATCH, sep: str = ","
 ) -> DataFrame:
-    """New delimited files of a folder as they arrive, tagged by file; processed files can be archived."""
+    """New delimited files of a folder as they arrive, tagged by file; processed files can be archived.
+
+    A stream has one layout: files with other columns or another order of them fail the query, as
+    their header is checked. ``process_folder`` reads every file by its own header instead.
+    """
     reader = spark.readStream.schema(string_schema(columns)).option("header", True).option("sep", sep).option("escape", '"')
+    reader = reader.option("enforceSchema", False).option("pathGlobFilter", "*.[cCtT][sS][vV]*")
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -37,45 +45,63 @@ def _trigger(every: str | None) -> dict[str, object]:
     return {"processingTime": every} if every else {"availableNow": True}
 
 
-def _content_hashes(spark: SparkSession, paths: DataFrame) -> DataFrame:
-    """(source_path, checksum) of the files of a batch; at most ``files_per_batch`` paths reach the driver."""
-    listed = [unquote(r[0]) for r in paths.select("source_path").distinct().collect()]
+def arrivals(spark: SparkSession, path: str, archive: str | None = None, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """Paths of new delimited files of a folder, whatever their columns: a row per line, only its path is read."""
+    reader = spark.readStream.option("pathGlobFilter", "*.[cCtT][sS][vV]*").option("maxFilesPerTrigger", files_per_batch)
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return reader.text(path).select(F.col("_metadata.file_path").alias("source_path"))
+
+
+def _content_hashes(spark: SparkSession, listed: list[str]) -> DataFrame:
+    """(source_path, checksum) of the files of a batch, of which there are at most ``files_per_batch``."""
     files = spark.read.format("binaryFile").load(listed)
     return files.select(F.col("_metadata.file_path").alias("source_path"), checksum(F.col("content")).alias("checksum"))
 
 
 def process_folder(
-    stream: DataFrame, config: SurveyConfig, out: str, checkpoint: str, every: str | None = None, context: Context = Context()
+    stream: DataFrame, config: SurveyConfig, out: str, checkpoint: str, every: str | None = None, context: Context = Context(),
+    columns: Sequence[str] | None = None,
 ) -> StreamingQuery:
-    """Run the survey plan on every batch of new files.
-
-    The checkpoint makes each file count once; a content manifest also skips copies of a
-    file under another name. Outputs go to one folder per batch id, so a batch replayed
-    after a failure overwrites what it had written. A failing batch stops the query and is
-    replayed on restart.
+    """Run the whole survey plan on every batch of new files, each file on its own.
+
+    ``stream`` has a column source_path, as ``arrivals`` and ``folder_stream`` give; the files are read
+    by their headers, ``columns`` being those wanted (by default the other ones of ``stream``). The
+    checkpoint makes each file count once; a content manifest also skips copies of a file under
+    another name. Outputs go to one folder per batch id, so a batch replayed after a failure
+    overwrites what it had written. An unreadable file is listed in ``outcomes`` and holds up no other
+    one; it is not in the manifest, so it is read when it arrives again. Any other failure stops the query
+    and its batch is replayed on restart.
     """
     spark = stream.sparkSession
+    wanted = list(columns or [c for c in stream.columns if c not in ("source_file", "source_path")])
+    each = replace(config, scope=("source_file",))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
+        listed = sorted(unquote(r[0]) for r in batch.select("source_path").distinct().collect())
+        if not listed:
             return
-        rows = stage(batch, "arrived")
-        hashes = stage(_content_hashes(spark, rows), "hashes")
-        first = hashes.groupBy("checksum").agg(F.min("source_path").alias("source_path"))
-        try:
+        files = read_file_set(spark, listed, wanted)
+        states = stage(files.outcomes, "outcomes")
+        good = states.where("status = 'success'").select("source_file")
+        hashes = stage(_content_hashes(spark, listed), "hashes")
+        named = hashes.withColumn("source_file", F.url_decode(F.element_at(F.split("source_path", "/"), -1))).join(good, "source_file", "left_semi")
+        first = named.groupBy("checksum").agg(F.min("source_path").alias("source_path"))
+        if exists(spark, f"{out}/manifest"):
             seen = spark.read.parquet(f"{out}/manifest").where(F.col("batch_id") != batch_id).select("checksum")
             first = first.join(seen, "checksum", "left_anti")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
         first = stage(first, "new-content")
-        fresh = rows.join(F.broadcast(first.select("source_path")), "source_path", "left_semi").drop("source_path")
-        numbered = stage(with_row_ids(fresh, config.row_id), "numbered")
-        result = run_survey(numbered, config, context)
-        write_table(result.data, f"{out}/cleaned/batch_id={batch_id}")
-        write_table(result.changes, f"{out}/changes/batch_id={batch_id}")
-        write_table(result.spell_changes, f"{out}/spell_changes/batch_id={batch_id}")
-        write_table(first, f"{out}/manifest/batch_id={batch_id}")
+        fresh = files.rows.join(first.select("source_path"), "source_path", "left_semi").select(*wanted, "source_file")
+        numbered = with_row_ids(fresh, each.row_id).withColumn(each.row_id, F.col(each.row_id) + F.lit(batch_id << ROW_BITS))
+        result = run_survey(stage(numbered, "numbered"), each, context)
+        data = stage(result.data, "cleaned")
+        kept = result._replace(data=data)
+        for name, table in (
+            ("cleaned", data), ("merged", merged_table(kept, each, context)), ("review", review_table(kept, each, stored=True)),
+            ("changes", result.changes), ("spell_changes", result.spell_changes), ("date_issues", result.date_issues),
+            ("placeholders", result.placeholders), ("outcomes", states), ("manifest", first),
+        ):
+            write_table(table, f"{out}/{name}/batch_id={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()

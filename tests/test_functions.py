@@ -130,6 +130,12 @@ def test_job_card_quick(spark):
         ("3 Feb 2024", (2024, 2, 3), (2024, 2, 3)),
         ("feb 3, 2024", (2024, 2, 3), (2024, 2, 3)),
         ("2024", (2024, 1, 1), (2024, 1, 1)),
+        ("9 September 2023", (2023, 9, 9), (2023, 9, 9)),
+        ("May 4, 2023 11:05 PM", (2023, 5, 4), (2023, 5, 4)),
+        ("20230504", (2023, 5, 4), (2023, 5, 4)),
+        ("19/11/23", (2023, 11, 19), (2023, 11, 19)),
+        ("03/04/99", (1999, 3, 4), (1999, 4, 3)),
+        ("May 4, 2023 13:05 PM", None, None),
         ("31/31/2024", None, None),
         ("12:30", None, None),
         ("invalid", None, None),
@@ -143,6 +149,11 @@ def test_parse_date(spark, value, month_first, day_first):
         assert (out and (out.year, out.month, out.day)) == expected
 
 
+def test_clock_times(spark):
+    out = apply(spark, ["May 4, 2023 11:05:09 PM", "04/05/2023 12:30 am", "4 June 2023 07:15"], temporal.parse_date)
+    assert [str(t) for t in out] == ["2023-05-04 23:05:09", "2023-04-05 00:30:00", "2023-06-04 07:15:00"]
+
+
 def test_date_age_land_issues(spark):
     as_of = F.lit(datetime.datetime(2026, 1, 1))
     assert apply(spark, ["2024-01-15", "2030-01-15", "invalid", None], lambda c: temporal.date_issue(c, as_of)) == [

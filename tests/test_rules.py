@@ -1,5 +1,8 @@
 """Schema rules, export, sources."""
 
+import gzip
+
+import pytest
 from pyspark.sql import functions as F
 
 from surveyloom.operators import export, rules
@@ -112,10 +115,37 @@ def test_broken_lines_do_not_stop_the_batch(spark, tmp_path):
     assert sorted(r["file_name"] for r in sums.collect()) == ["a.csv", "b.tsv"]
 
 
-def test_corrupt_or_missing_library_is_empty(spark, tmp_path):
-    (tmp_path / "broken.parquet").write_text("not parquet")
-    strict, prob = tables.load_library(spark, str(tmp_path / "none"), str(tmp_path / "broken.parquet"))
+def test_missing_library_is_empty_and_a_broken_one_an_error(spark, tmp_path):
+    strict, prob = tables.load_library(spark, str(tmp_path / "none"), str(tmp_path / "none2"))
     assert strict.count() == 0 and prob.count() == 0
+    (tmp_path / "broken.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        tables.load_library(spark, str(tmp_path / "none"), str(tmp_path / "broken.parquet"))
+
+
+def test_columns_are_found_by_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v\n1,x\n")
+    (tmp_path / "b.CSV").write_text("extra,v,other,k\ne,\"y\nz\",o,2\n")
+    (tmp_path / "c.Tsv").write_text("\ufeffk\tw\n3\tq\n")
+    (tmp_path / "d.txt").write_text("k,v\n9,9\n")
+    (tmp_path / "e.csv").write_text("")
+    rows = tables.read_folder(spark, str(tmp_path), ["k", "v"], multiLine="true")
+    assert sorted((r["k"], r["v"], r["source_file"]) for r in rows.collect()) == [("1", "x", "a.csv"), ("2", "y\nz", "b.CSV"), ("3", None, "c.Tsv")]
+    both = tables.read_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.CSV")], ["v", "k"], multiLine="true")
+    assert sorted((r["k"], r["v"]) for r in both.collect()) == [("1", "x"), ("2", "y\nz")]
+
+
+def test_broken_files_are_reported_and_not_cut_short(spark, tmp_path):
+    packed = gzip.compress(("k,v\n" + "".join(f"{i},{i * 7919 % 10007}\n" for i in range(50_000))).encode())
+    (tmp_path / "cut.csv.gz").write_bytes(packed[: len(packed) // 2])
+    (tmp_path / "whole.csv.gz").write_bytes(gzip.compress(b"k,v\n1,2\n"))
+    (tmp_path / "empty.csv").write_text("")
+    paths = [str(tmp_path / n) for n in ("cut.csv.gz", "whole.csv.gz", "empty.csv", "gone.csv")]
+    files = tables.read_file_set(spark, paths, ["k", "v"])
+    assert [(r["k"], r["source_file"]) for r in files.rows.collect()] == [("1", "whole.csv.gz")]
+    states = {r["source_file"]: r for r in files.outcomes.collect()}
+    assert {k: r["status"] for k, r in states.items()} == {"cut.csv.gz": "failed", "whole.csv.gz": "success", "empty.csv": "empty", "gone.csv": "missing"}
+    assert states["cut.csv.gz"]["error"] and states["whole.csv.gz"]["error"] is None
 
 
 def test_nearest_allowed(spark):

@@ -3,7 +3,8 @@
 Long texts are cut into overlapping chunks that are pre-tokenised by different tasks. Pre-tokens
 depend only on where they start and on the characters up to a little after their end. So where two
 chunks have a boundary in common, they agree from there on: texts are cut at such places and the
-pieces are encoded alone. Where an overlap has no common boundary, its two chunks stay one piece.
+pieces are encoded alone. A text with an overlap that has no common boundary, such as one very long
+word, is cut again into larger chunks.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ CHUNK = 1 << 15
 OVERLAP = 1 << 10
 #: Characters after a pre-token that can change it: a contraction has up to three characters.
 LOOK = 4
+GROWTH = 8
 
 
 @lru_cache(maxsize=4)
@@ -94,32 +96,28 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUN
     common = ends.groupBy("row", "no", "at").agg(F.countDistinct("side").alias("sides")).where("sides = 2")
     cuts = stage(common.groupBy("row", "no").agg(F.min("at").alias("at")), "cuts")
 
-    # a chunk gives what lies between the cuts before and after it; without a cut it is joined to the next one
-    here, after = cuts.select("row", "no", F.col("at").alias("until")), cuts.select("row", (F.col("no") + 1).alias("no"), F.col("at").alias("since"))
-    placed = chunks.join(here, ["row", "no"], "left").join(after, ["row", "no"], "left")
-    begin = F.coalesce(F.col("since"), F.col("start"))
-    stop = F.coalesce(F.col("until"), F.when(F.col("no") < F.col("n") - 1, F.col("start") + step))
-    part = F.when(stop.isNull(), F.expr("substring(text, {b} - start + 1)".format(b="coalesce(since, start)"))).otherwise(
-        F.substring(F.col("text"), begin - F.col("start") + 1, stop - begin)
-    )
-    parts = placed.select("row", "doc_id", "no", part.alias("part"), (F.col("since").isNotNull() | (F.col("no") == 0)).alias("opens"))
-    # pieces: a part that opens at a cut and the parts after it that do not
-    closed = parts.where("opens").select("row", F.col("no").alias("piece"))
-    joined = parts.where("not opens").select("row", "no").join(closed, "row").where("piece < no").groupBy("row", "no").agg(F.max("piece").alias("piece"))
-    pieces = (
-        parts.join(joined, ["row", "no"], "left").withColumn("piece", F.coalesce("piece", "no"))
-        .groupBy("row", "doc_id", "piece")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "part"))), lambda x: x.part), "").alias("text"))
-    )
+    # every chunk is right from the cut before it on only if all cuts of its text are there
+    whole = chunks.select("row", "n").distinct().join(cuts.groupBy("row").agg(F.count("*").alias("cuts")), "row", "left")
+    failed = stage(whole.where(F.coalesce("cuts", F.lit(0)) < F.col("n") - 1).select("row"), "uncut")
+    here, before = cuts.select("row", "no", F.col("at").alias("until")), cuts.select("row", (F.col("no") + 1).alias("no"), F.col("at").alias("since"))
+    placed = chunks.join(failed, "row", "left_anti").join(here, ["row", "no"], "left").join(before, ["row", "no"], "left")
+    begin = F.coalesce(F.col("since"), F.col("start")) - F.col("start")
+    size = F.coalesce(F.col("until") - F.col("start"), F.length("text")) - begin
+    pieces = placed.select("row", "doc_id", "no", F.substring(F.col("text"), begin + 1, size).alias("text"))
 
     def encode_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "piece": b["piece"], "ids": [_ids(t, path, pattern) for t in b["text"]]})
+            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "no": b["no"], "ids": [_ids(t, path, pattern) for t in b["text"]]})
 
-    encoded = pieces.mapInPandas(encode_pieces, "row string, doc_id long, piece int, ids binary")
+    encoded = pieces.mapInPandas(encode_pieces, "row string, doc_id long, no int, ids binary")
     # the ids of a document are one value in the result, so its pieces meet in one row
-    whole = F.aggregate(F.array_sort(F.collect_list(F.struct("piece", "ids"))), F.lit(b""), lambda acc, x: F.concat(acc, x.ids))
-    return direct.unionByName(encoded.groupBy("row", "doc_id").agg(whole.alias("ids")).select("doc_id", "ids"))
+    joined = F.aggregate(F.array_sort(F.collect_list(F.struct("no", "ids"))), F.lit(b""), lambda acc, x: F.concat(acc, x.ids))
+    out = direct.unionByName(encoded.groupBy("row", "doc_id").agg(joined.alias("ids")).select("doc_id", "ids"))
+    if failed.isEmpty():
+        return out
+    parts = F.array_sort(F.collect_list(F.struct("no", F.when(F.col("no") < F.col("n") - 1, F.substring(F.col("text"), F.lit(1), F.lit(step))).otherwise(F.col("text")).alias("text"))))
+    again = chunks.join(failed, "row", "left_semi").groupBy("row", "doc_id").agg(F.array_join(F.transform(parts, lambda x: x.text), "").alias("text"))
+    return out.unionByName(encode_documents(again, path, pattern, GROWTH * chunk, GROWTH * overlap))
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

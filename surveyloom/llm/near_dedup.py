@@ -4,7 +4,7 @@ A table key combines one half key of collection A with one of collection B, each
 All pairs of half keys give SIDE * SIDE tables from 2 * SIDE * ROWS minhashes. Two sets meet in some
 table if they share a half key of either collection, so only those keys are combined.
 
-Texts with equal shingle sets are one class. In every bucket of a table, members are compared with
+Texts with equal shingle sets are one class, known by a 64-bit hash of the set's digest. In every bucket of a table, members are compared with
 the bucket's most typical class only. What is left are buckets whose members lie in different
 components; there the shingles that occur in several components are indexed, rare ones first, and
 only sets that could still reach the threshold by them are compared. So no link between classes that
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from surveyloom.llm.common import stage
 from surveyloom.llm.components import components
 
-ROWS = 3
+ROWS = 4
 MISS = 5e-6
 CACHE = 1 << 20
 COLUMNS = 4096
@@ -101,7 +101,7 @@ def sketches(docs: DataFrame, size: int, side: int) -> DataFrame:
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(digest, n, s): the shingle set of each wanted class (digest, doc_id), from one of its documents' texts."""
+    """(c, n, s): the shingle set of each wanted class (c, doc_id), from one of its documents' texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
@@ -110,8 +110,8 @@ def class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pd.DataFrame({"digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "n": [len(s) for s in sets], "s": [_signed(s) for s in sets]})
 
     texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = texts.mapInPandas(run, "digest binary, n long, s array<long>")
-    return found.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+    found = texts.mapInPandas(run, "digest binary, n long, s array<long>").select(F.xxhash64("digest").alias("c"), "n", "s")
+    return found.join(wanted.select("c"), "c", "left_semi").dropDuplicates(["c"])
 
 
 def _can_link(a: Column, b: Column, percent: int) -> Column:
@@ -120,39 +120,43 @@ def _can_link(a: Column, b: Column, percent: int) -> Column:
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough."""
-    x = sets.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
-    y = sets.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+    x = sets.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
+    y = sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(x, "a").join(y, "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
 def _rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """``classes`` with the root of each digest: itself where it has no link."""
-    roots = components(links).withColumnRenamed("node", "digest")
-    return classes.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    """``classes`` with the root of each c: itself where it has no link."""
+    roots = components(links).withColumnRenamed("node", "c")
+    return classes.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
 
 
 def _left_over(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``members`` (digest, root) with different roots that may be similar enough.
+    """Pairs (a, b) of ``members`` (c, root) with different roots that may be similar enough.
 
-    Only shingles that occur under several roots can be shared by such a pair. A class needs
-    ceil(percent % of its size) of them; and of two linked classes each has one in common with the
-    other among its rarest, as many as it has beyond that number.
+    Only shingles that occur under several roots can be shared by such a pair; each class lists its own,
+    rare ones first. Two sets of na and nb shingles need percent * (na + nb) / (100 + percent) in common,
+    which is at least percent % of either. So a class with fewer goes, a linked pair has one in common
+    among the first that a class has beyond that number, and from their first common one on each
+    needs so many.
     """
-    group = members.withColumn("r", F.xxhash64("root"))
-    held = sets.join(group, "digest").select("digest", "r", "n", F.explode("s").alias("t"))
-    several = held.groupBy("t").agg(F.count("*").alias("df"), F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("t", "df")
+    held = sets.join(members, "c").select("c", "root", F.explode("s").alias("t"))
+    several = held.groupBy("t").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    several = stage(several.select("t", "df"), "several")
+    listed = held.select("c", "t").join(several, "t").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("ts"))
     needed = F.ceil(F.col("n") * percent / 100)
     rare = (
-        held.join(several, "t")
-        .groupBy("digest", "r", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("ts"))
-        .where(F.size("ts") >= needed)
-        .select("digest", "r", "n", F.explode(F.slice("ts", 1, (F.size("ts") - needed + 1).cast("int"))).alias("x"))
-        .select("digest", "r", "n", F.col("x.t").alias("t"))
+        listed.join(sets.select("c", "n"), "c").where(F.size("ts") >= needed).join(members, "c")
+        .select("c", "root", "n", F.size("ts").alias("u"), F.posexplode(F.slice("ts", 1, (F.size("ts") - needed + 1).cast("int"))).alias("i", "x"))
+        .select("c", "root", "n", F.col("x.t").alias("t"), (F.col("u") - F.col("i")).alias("rest"))
     )
-    one = rare.select("t", F.col("digest").alias("a"), F.col("r").alias("ra"), F.col("n").alias("na"))
-    two = rare.select("t", F.col("digest").alias("b"), F.col("r").alias("rb"), F.col("n").alias("nb"))
-    return one.join(two, "t").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _can_link(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+    rare = stage(rare, "rare")
+    one = rare.select("t", *[F.col(c).alias(f"{c}_a") for c in ("c", "root", "n", "rest")])
+    two = rare.select("t", *[F.col(c).alias(f"{c}_b") for c in ("c", "root", "n", "rest")])
+    enough = (100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    met = one.join(two, (one["t"] == two["t"]) & (F.col("c_a") < F.col("c_b")) & (F.col("root_a") != F.col("root_b")) & enough)
+    return met.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -164,40 +168,38 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     component. A null doc_id counts as larger than any other: alone, its component is null, and it is kept.
     """
     side = sides(percent)
-    rows = stage(sketches(docs, size, side), "sketches")
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    half = stage(classes.select("digest", "n", "doc_id", F.posexplode("keys").alias("no", "key")), "half-keys")
-    shared = half.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    collected = lambda first: F.collect_list(F.when((F.col("no") < side) == F.lit(first), F.col("key")))
-    met = stage(
-        half.join(shared, "key").groupBy("digest", "n", "doc_id")
-        .agg(collected(True).alias("a"), collected(False).alias("b"), F.sum("members").alias("weight"))
-        .where((F.size("a") > 0) & (F.size("b") > 0)),
-        "met",
-    )
+    rows = stage(sketches(docs, size, side).withColumn("c", F.xxhash64("digest")), "sketches")
+    known = rows.where("digest is not null")
+    classes = known.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    half = stage(classes.select("c", F.posexplode("keys").alias("no", "key")).select("c", (F.col("no") < side).alias("first"), "key"), "half-keys")
+    # aggregated sides of joins are stored, so that a join can split its hot keys
+    shared = stage(half.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared")
+    collected = lambda first: F.collect_list(F.when(F.col("first") == F.lit(first), F.col("key")))
+    joined = half.join(shared, "key").groupBy("c").agg(collected(True).alias("a"), collected(False).alias("b"), F.sum("members").alias("weight"))
+    sizes = known.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    met = stage(joined.where((F.size("a") > 0) & (F.size("b") > 0)).join(sizes, "c"), "met")
     tensor = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
-    tables = met.select("digest", "n", "weight", F.explode(tensor).alias("key"))
+    tables = met.select("c", "n", "weight", F.explode(tensor).alias("key"))
     # the class whose half keys are the most common ones stands for a bucket
-    buckets = tables.groupBy("key").agg(F.max(F.struct("weight", "digest", "n")).alias("lead"), F.count("*").alias("members")).where("members > 1")
-    meetings = tables.join(buckets, "key")
-    pairs = meetings.where((F.col("digest") != F.col("lead.digest")) & _can_link(F.col("n"), F.col("lead.n"), percent))
-    pairs = stage(pairs.select(F.least("digest", "lead.digest").alias("a"), F.greatest("digest", "lead.digest").alias("b")).distinct(), "pairs")
+    buckets = tables.groupBy("key").agg(F.max(F.struct("weight", "c", "n")).alias("lead"), F.count("*").alias("members")).where("members > 1")
+    buckets = stage(buckets.select("key", F.col("lead.c").alias("lead"), F.col("lead.n").alias("lead_n")), "buckets")
+    pairs = tables.join(buckets, "key").where((F.col("c") != F.col("lead")) & _can_link(F.col("n"), F.col("lead_n"), percent))
+    pairs = stage(pairs.select(F.least("c", "lead").alias("a"), F.greatest("c", "lead").alias("b")).distinct(), "pairs")
     sets = stage(class_sets(docs, met, size), "sets")
     links = stage(verified(pairs, sets, percent), "links")
 
-    rooted = stage(_rooted(met.select("digest"), links), "roots")
-    mixed = tables.join(rooted, "digest").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    members = stage(tables.join(mixed, "key", "left_semi").select("digest").distinct().join(rooted, "digest"), "mixed")
+    rooted = stage(_rooted(met.select("c"), links), "roots")
+    mixed = tables.join(rooted, "c").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    mixed = stage(mixed.select("key"), "mixed")
+    members = stage(tables.join(mixed, "key", "left_semi").select("c").distinct().join(rooted, "c"), "members")
     more = stage(verified(stage(_left_over(members, sets, percent), "pairs"), sets, percent), "links")
 
-    final = _rooted(rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")), links.unionByName(more))
-    final = stage(final, "classes")
+    final = stage(_rooted(known.groupBy("c").agg(F.min("doc_id").alias("doc_id")), links.unionByName(more)), "classes")
     smallest = final.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = stage(final.join(smallest, "root").select("digest", "component_id"), "components")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n", "digest").join(named, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
-    )
+    named = stage(final.join(smallest, "root").select("c", "component_id"), "components")
+    found = rows.select("doc_id", "n", F.when(F.col("digest").isNotNull(), F.col("c")).alias("c")).join(named, "c", "left")
+    component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

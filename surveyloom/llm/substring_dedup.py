@@ -112,6 +112,7 @@ def open_windows(classes: DataFrame, window: int) -> DataFrame:
     """(class, digest, doc_id, starts, ends): the texts with windows to verify, and where they start."""
     keys = classes.where(F.size("names") > 0).select("class", F.explode(F.array_distinct("names")).alias("name"))
     shared = keys.groupBy("name").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("name")
+    shared = stage(shared, "shared")
     own = keys.join(shared, "name").groupBy("class").agg(F.collect_list("name").alias("shared"))
     marked = classes.join(own, "class", "left").select("class", "digest", "doc_id", "n", "names", "since", "until", F.coalesce("shared", F.array().cast("array<long>")).alias("shared"))
 
@@ -180,7 +181,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     asked = stage(open_windows(classes, window), "open")
     texts = stage(identified.join(asked, "doc_id"), "texts")
     checked = stage(_windows(texts, window), "windows")
-    first = checked.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
+    first = checked.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    first = stage(first.select("h1", "h2", "first"), "first")  # stored, so that the join can split windows that many texts have
     repeated = checked.join(first, ["h1", "h2"]).where("first < doc_id").groupBy("class").agg(F.array_sort(F.collect_list("start")).alias("repeated"))
     changed = stage(_kept_words(texts.join(repeated, "class").select("class", "digest", "text", "repeated"), window), "changed").dropDuplicates(["class"])
 

@@ -27,4 +27,28 @@ f AS (SELECT page_id, host, path, first(h || q ORDER BY length(h || q) DESC) FIL
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM f
 """
 
-ORACLES = {"op3_mix_sources": MIX, "op9_url_filter": URLS}
+NEAR = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT links.x, reach.r FROM reach JOIN links ON links.y = reach.doc_id)
+SELECT reach.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r) AS component_id, min(r) = reach.doc_id AS kept
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY reach.doc_id
+"""
+
+REPEATS = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+f AS (SELECT k, min(doc_id) AS m FROM v GROUP BY k),
+c AS (SELECT DISTINCT doc_id, i + j AS place FROM (SELECT doc_id, i, unnest(range(0, 50)) AS j FROM v JOIN f USING (k) WHERE m < doc_id)),
+g AS (SELECT doc_id, list(place) AS gone FROM c GROUP BY doc_id),
+t AS (SELECT doc_id, i, ws[i] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE doc_id IN (SELECT doc_id FROM g))),
+k AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM t ANTI JOIN c ON c.doc_id = t.doc_id AND c.place = t.i GROUP BY t.doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN gone IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+ORACLES = {"op2_near_dedup": NEAR, "op6_substring_dedup": REPEATS, "op3_mix_sources": MIX, "op9_url_filter": URLS}

@@ -14,7 +14,9 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -27,6 +29,8 @@ OVERLAP = 1 << 10
 #: Characters after a pre-token that can change it: a contraction has up to three characters.
 LOOK = 4
 GROWTH = 8
+#: Texts that a worker turns into arrays at a time.
+AT_ONCE = 128
 
 
 @lru_cache(maxsize=4)
@@ -47,8 +51,23 @@ def boundaries(text: str, pattern: str) -> list[int]:
     return [m.end() for m in _compiled(pattern).finditer(text)]
 
 
-def _ids(text: str, path: str, pattern: str) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in encoding(path, pattern).encode_ordinary(text))
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that a worker holds little besides the batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(at, AT_ONCE)
+
+
+def _with_ids(rows: DataFrame, path: str, pattern: str, schema: str) -> DataFrame:
+    """``rows`` with the column ids in the place of the last one, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoding(path, pattern)
+        for b in _slices(batches):
+            ids = [np.array(own.encode_ordinary(t), "<u4").tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.binary())], names=[*b.schema.names[:-1], "ids"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -61,12 +80,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUN
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     short = rows.where(F.length("text") <= chunk)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [_ids(t, path, pattern) for t in b["text"]]})
-
-    schema = "doc_id long, ids binary"
-    direct = short.mapInPandas(encode, schema)
+    direct = _with_ids(short, path, pattern, "doc_id long, ids binary")
 
     step = chunk - overlap
     long = rows.where(F.length("text") > chunk)
@@ -105,11 +119,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUN
     size = F.coalesce(F.col("until") - F.col("start"), F.length("text")) - begin
     pieces = placed.select("row", "doc_id", "no", F.substring(F.col("text"), begin + 1, size).alias("text"))
 
-    def encode_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "no": b["no"], "ids": [_ids(t, path, pattern) for t in b["text"]]})
-
-    encoded = pieces.mapInPandas(encode_pieces, "row string, doc_id long, no int, ids binary")
+    encoded = _with_ids(pieces, path, pattern, "row string, doc_id long, no int, ids binary")
     # the ids of a document are one value in the result, so its pieces meet in one row
     joined = F.aggregate(F.array_sort(F.collect_list(F.struct("no", "ids"))), F.lit(b""), lambda acc, x: F.concat(acc, x.ids))
     out = direct.unionByName(encoded.groupBy("row", "doc_id").agg(joined.alias("ids")).select("doc_id", "ids"))
@@ -121,20 +131,20 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUN
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids, bytes): the raw bytes of the tokens, concatenated."""
+    """(doc_id, ids, bytes): the raw bytes of the tokens, concatenated. ``encoded`` should be stored, else a task runs a worker for each step."""
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoding(path, pattern)
-        for b in batches:
-            raw = [own.decode_bytes(memoryview(i).cast("I").tolist()) if i else b"" for i in b["ids"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": b["ids"], "bytes": raw})
+        for b in _slices(batches):
+            raw = [own.decode_bytes(np.frombuffer(i, "<u4").tolist()) for i in b.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(raw, pa.binary())], names=["doc_id", "ids", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInPandas(decode, "doc_id long, ids binary, bytes binary")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per document."""
-    decoded = decode_documents(encode_documents(docs, path, pattern), path, pattern)
+    decoded = decode_documents(stage(encode_documents(docs, path, pattern), "ids"), path, pattern)
     return decoded.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
     )

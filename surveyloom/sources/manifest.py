@@ -13,7 +13,7 @@ def checksum(content: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.left(F.sha2(content, 256), F.lit(16)))
 
 
-def folder_checksums(spark: SparkSession, path: str, pattern: str = "*.{csv,tsv}") -> DataFrame:
+def folder_checksums(spark: SparkSession, path: str, pattern: str = "*.[cCtT][sS][vV]") -> DataFrame:
     """(file_name, checksum) of the files of a folder, hashed on the executors."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return files.select(

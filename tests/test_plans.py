@@ -183,3 +183,29 @@ def test_failing_tier_is_reported(spark, tmp_path):
     bad = learning.Tier(good.rows.drop("gender"), good.files)
     report = learning.rebuild(spark, str(tmp_path / "p"), bad, good)
     assert report["status"] == "partial" and report["strict_error"] and report["prob_entries"] == 1
+
+
+def test_votes_and_flags_stay_within_a_file(spark):
+    from surveyloom.operators import audit, vote
+
+    rows = [(i, "k1", f, v, "n") for i, (f, v) in enumerate([("a", "female"), ("a", "female"), ("a", "female"), ("a", "male"), ("b", "male"), ("c", None)])]
+    df = spark.createDataFrame(rows, "row_id long, k string, f string, v string, n string")
+    whole, each = vote.majority_vote(df, "k", "v", "n"), vote.majority_vote(df, "k", "v", "n", scope=("f",))
+    assert {r["row_id"] for r in whole.changes.collect()} >= {3, 4}
+    assert {r["row_id"] for r in each.changes.collect()} == {3}
+    assert {r["row_id"]: r["v"] for r in each.data.collect()}[4] == "male"
+    assert each.data.columns == df.columns
+    once = df.where("row_id in (0, 4, 5)")
+    assert audit.duplicate_rows(once, "k", None).count() == 2
+    assert audit.duplicate_rows(once, "k", None, scope=("f",)).count() == 0
+
+
+def test_file_summary_lists_every_file(spark, df):
+    run = batch.run_batch(df.withColumn("source_file", F.lit("a.csv")), SurveyConfig())
+    states = spark.createDataFrame([("a.csv", "success", None), ("b.csv", "failed", "why"), ("c.csv", "empty", None)], "source_file string, status string, error string")
+    summary = batch.file_summary(run, outcomes=states)
+    assert {r["source_file"]: (r["original_records"], r["status"], r["error"]) for r in summary.collect()} == {
+        "a.csv": (6, "success", None), "b.csv": (0, "failed", "why"), "c.csv": (0, "empty", None),
+    }
+    total = batch.batch_totals(summary).where("source_file = 'TOTAL'").first()
+    assert (total["files"], total["original_records"]) == (1, 6)

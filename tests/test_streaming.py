@@ -51,3 +51,26 @@ def test_each_content_once(spark, tmp_path):
     run()
     rows = spark.read.parquet(f"{out}/cleaned").collect()
     assert sorted((r["k"], r["gender"]) for r in rows) == [("1", "male"), ("2", "female"), ("3", "female")]
+
+
+def test_files_are_processed_alone_whatever_the_batch(spark, tmp_path):
+    source = tmp_path / "in"
+    put(source, "a.csv", [("1", "2024-01-01", "Asha", "f"), ("1", "2024-02-01", "Asha", "f")])
+    (source / "b.CSV").write_text("gender,extra,farmer_name,d,k\nfemale,x,Sunita,2024-03-01,1\n")
+    (source / "c.tsv").write_text("k\td\tfarmer_name\tgender\n1\t2024-01-05\tRekha\tf\n")
+    (source / "broken.csv.gz").write_bytes(b"\x1f\x8b\x08\x00no gzip at all")
+    (source / "notes.txt").write_text("k,d\n9,9\n")
+    config = SurveyConfig(key="k", date="d", correct_fields=("gender",))
+    found = {}
+    for n in (1, 1000):
+        out = str(tmp_path / f"out{n}")
+        stream = folder.arrivals(spark, str(source), files_per_batch=n)
+        folder.process_folder(stream, config, out, str(tmp_path / f"point{n}"), columns=COLUMNS).awaitTermination()
+        rows = spark.read.parquet(f"{out}/cleaned").collect()
+        assert len({r["row_id"] for r in rows}) == len(rows)
+        found[n] = sorted((r["source_file"], r["k"], r["farmer_name"], r["gender"]) for r in rows)
+        assert spark.read.parquet(f"{out}/review").where("flag = 'duplicate'").count() == 0
+        states = {r["source_file"]: r["status"] for r in spark.read.parquet(f"{out}/outcomes").collect()}
+        assert states == {"a.csv": "success", "b.CSV": "success", "c.tsv": "success", "broken.csv.gz": "failed"}
+        assert spark.read.parquet(f"{out}/manifest").count() == 3
+    assert found[1] == found[1000] == [("a.csv", "1", "Asha", "female"), ("b.CSV", "1", "Sunita", "female"), ("c.tsv", "1", "Rekha", "female")]

@@ -108,13 +108,15 @@ def _open_windows(n: int, names: np.ndarray, since: np.ndarray, until: np.ndarra
     return np.flatnonzero(step == 1).astype(np.int32), np.flatnonzero(step == -1).astype(np.int32)
 
 
-def open_windows(classes: DataFrame, window: int) -> DataFrame:
-    """(class, digest, doc_id, starts, ends): the texts with windows to verify, and where they start."""
-    keys = classes.where(F.size("names") > 0).select("class", F.explode(F.array_distinct("names")).alias("name"))
+def open_windows(rows: DataFrame, window: int) -> DataFrame:
+    """(class, digest, doc_id, starts, ends): the texts with windows to verify, one of each class, and where these start."""
+    keys = rows.where(F.size("names") > 0).select("class", F.explode(F.array_distinct("names")).alias("name"))
     shared = keys.groupBy("name").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("name")
     shared = stage(shared, "shared")
-    own = keys.join(shared, "name").groupBy("class").agg(F.collect_list("name").alias("shared"))
-    marked = classes.join(own, "class", "left").select("class", "digest", "doc_id", "n", "names", "since", "until", F.coalesce("shared", F.array().cast("array<long>")).alias("shared"))
+    own = keys.join(shared, "name").groupBy("class").agg(F.collect_set("name").alias("shared"))
+    alike = ("digest", "n", "names", "since", "until")
+    classes = rows.groupBy("class").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in alike])
+    marked = classes.join(own, "class", "left").select("class", "doc_id", *alike, F.coalesce("shared", F.array().cast("array<long>")).alias("shared"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -173,12 +175,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     windows have to be verified.
     """
     identified = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
-    rows = stage(symbols(identified, window), "symbols")
-    classes = rows.where(F.col("n") >= window).groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("names").alias("names"), F.first("since").alias("since"), F.first("until").alias("until"),
-    )
-    classes = stage(classes.withColumn("class", F.xxhash64("digest")), "classes")
-    asked = stage(open_windows(classes, window), "open")
+    rows = stage(symbols(identified, window).withColumn("class", F.xxhash64("digest")), "symbols")
+    long = rows.where(F.col("n") >= window)
+    asked = stage(open_windows(long, window), "open")
     texts = stage(identified.join(asked, "doc_id"), "texts")
     checked = stage(_windows(texts, window), "windows")
     first = checked.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
@@ -186,8 +185,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     repeated = checked.join(first, ["h1", "h2"]).where("first < doc_id").groupBy("class").agg(F.array_sort(F.collect_list("start")).alias("repeated"))
     changed = stage(_kept_words(texts.join(repeated, "class").select("class", "digest", "text", "repeated"), window), "changed").dropDuplicates(["class"])
 
-    small = classes.select("digest", "class", F.col("doc_id").alias("least")).join(changed.select("class", "n_removed", "kept_sha"), "class", "left")
-    final = rows.select("doc_id", "digest", "n", "sha").join(small.drop("class"), "digest", "left")
+    small = long.groupBy("class").agg(F.min("doc_id").alias("least")).join(changed.select("class", "n_removed", "kept_sha"), "class", "left")
+    final = rows.select("doc_id", "class", "n", "sha").join(stage(small, "small"), "class", "left")
     copy = F.col("least") < F.col("doc_id")
     return final.select(
         F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), F.col("n").alias("n_words"),

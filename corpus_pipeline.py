@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    decoded = tokens.decode_documents(stage(tokens.encode_documents(docs, RANKS, PATTERN), "ids"), RANKS, PATTERN)
+    decoded = tokens.encode_documents(docs, RANKS, PATTERN, decoded=True)
     return decoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 

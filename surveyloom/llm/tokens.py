@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.llm.common import stage
 
-CHUNK = 1 << 15
+CHUNK = 1 << 16
 OVERLAP = 1 << 10
 #: Characters after a pre-token that can change it: a contraction has up to three characters.
 LOOK = 4
@@ -58,20 +58,23 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, AT_ONCE)
 
 
-def _with_ids(rows: DataFrame, path: str, pattern: str, schema: str) -> DataFrame:
-    """``rows`` with the column ids in the place of the last one, text."""
+def _with_ids(rows: DataFrame, path: str, pattern: str, kept: str, decoded: bool) -> DataFrame:
+    """``rows`` with ids in the place of the last column, text, and with the bytes that they decode to where asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoding(path, pattern)
         for b in _slices(batches):
-            ids = [np.array(own.encode_ordinary(t), "<u4").tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.binary())], names=[*b.schema.names[:-1], "ids"])
+            ids = [own.encode_ordinary(t) for t in b.column("text").to_pylist()]
+            out = [*b.columns[:-1], pa.array([np.array(i, "<u4").tobytes() for i in ids], pa.binary())]
+            if decoded:
+                out.append(pa.array([own.decode_bytes(i) for i in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, names=[*b.schema.names[:-1], "ids", "bytes"][: len(out)])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, f"{kept}, ids binary" + ", bytes binary" * decoded)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, ids): token ids as little-endian unsigned 32-bit integers, one row per document.
+def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids): token ids as little-endian unsigned 32-bit integers, one row per document; with ``decoded`` also the bytes they stand for.
 
     Null texts are empty and have no ids; repeated rows and ids stay separate rows; other columns
     are not read. ``path`` must be readable by every executor. Texts of up to ``chunk`` characters
@@ -80,7 +83,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUN
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     short = rows.where(F.length("text") <= chunk)
 
-    direct = _with_ids(short, path, pattern, "doc_id long, ids binary")
+    direct = _with_ids(short, path, pattern, "doc_id long", decoded)
 
     step = chunk - overlap
     long = rows.where(F.length("text") > chunk)
@@ -119,19 +122,20 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUN
     size = F.coalesce(F.col("until") - F.col("start"), F.length("text")) - begin
     pieces = placed.select("row", "doc_id", "no", F.substring(F.col("text"), begin + 1, size).alias("text"))
 
-    encoded = _with_ids(pieces, path, pattern, "row string, doc_id long, no int, ids binary")
+    encoded = _with_ids(pieces, path, pattern, "row string, doc_id long, no int", decoded)
     # the ids of a document are one value in the result, so its pieces meet in one row
-    joined = F.aggregate(F.array_sort(F.collect_list(F.struct("no", "ids"))), F.lit(b""), lambda acc, x: F.concat(acc, x.ids))
-    out = direct.unionByName(encoded.groupBy("row", "doc_id").agg(joined.alias("ids")).select("doc_id", "ids"))
+    values = ["ids", "bytes"] if decoded else ["ids"]
+    joined = lambda v: F.aggregate(F.array_sort(F.collect_list(F.struct("no", v))), F.lit(b""), lambda acc, x: F.concat(acc, x[v])).alias(v)
+    out = direct.unionByName(encoded.groupBy("row", "doc_id").agg(*[joined(v) for v in values]).select("doc_id", *values))
     if failed.isEmpty():
         return out
     parts = F.array_sort(F.collect_list(F.struct("no", F.when(F.col("no") < F.col("n") - 1, F.substring(F.col("text"), F.lit(1), F.lit(step))).otherwise(F.col("text")).alias("text"))))
     again = chunks.join(failed, "row", "left_semi").groupBy("row", "doc_id").agg(F.array_join(F.transform(parts, lambda x: x.text), "").alias("text"))
-    return out.unionByName(encode_documents(again, path, pattern, GROWTH * chunk, GROWTH * overlap))
+    return out.unionByName(encode_documents(again, path, pattern, GROWTH * chunk, GROWTH * overlap, decoded))
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids, bytes): the raw bytes of the tokens, concatenated. ``encoded`` should be stored, else a task runs a worker for each step."""
+    """(doc_id, ids, bytes): the raw bytes of the tokens, concatenated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoding(path, pattern)
@@ -144,7 +148,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per document."""
-    decoded = decode_documents(stage(encode_documents(docs, path, pattern), "ids"), path, pattern)
+    decoded = encode_documents(docs, path, pattern, decoded=True)
     return decoded.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
     )

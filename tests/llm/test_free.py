@@ -197,6 +197,8 @@ def test_tokens_against_the_library(spark, library, chunk, overlap):
         ids = library.encode_ordinary(t or "")
         assert got[i] == (b"".join(x.to_bytes(4, "little") for x in ids), (t or "").encode()), repr(t)
     assert tokens.round_trip(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+    both = {r.doc_id: (bytes(r.ids), bytes(r.bytes)) for r in tokens.encode_documents(df, RANKS, public_tokenizers.PATTERN, chunk, overlap, decoded=True).collect()}
+    assert both == got
     twice = tokens.round_trip(df.limit(5).union(df.limit(5)), RANKS, public_tokenizers.PATTERN)
     assert twice.count() == 10
 

@@ -46,11 +46,12 @@ def _trigger(every: str | None) -> dict[str, object]:
 
 
 def arrivals(spark: SparkSession, path: str, archive: str | None = None, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
-    """Paths of new delimited files of a folder, whatever their columns: a row per line, only its path is read."""
-    reader = spark.readStream.option("pathGlobFilter", "*.[cCtT][sS][vV]*").option("maxFilesPerTrigger", files_per_batch)
+    """Paths of new delimited files of a folder, whatever their columns: a row per file, whose content is not read."""
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    reader = reader.option("pathGlobFilter", "*.[cCtT][sS][vV]*").option("maxFilesPerTrigger", files_per_batch)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("source_path"))
+    return reader.load(path).select(F.col("_metadata.file_path").alias("source_path"))
 
 
 def _content_hashes(spark: SparkSession, listed: list[str]) -> DataFrame:

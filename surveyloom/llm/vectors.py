@@ -62,7 +62,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS
         masks = F.split(F.lit(",".join(map(str, flips(radius, bits)))), ",").cast("array<int>")
         probes = active.select("width", "q", F.posexplode("q").alias("segment", "own"))
         probes = probes.select("width", "q", "segment", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("value"))
-        met = probes.join(segments, ["width", "segment", "value"]).select("width", "q", "code", "n").distinct()
+        # probes are many more than the planner expects of the few queries, so neither side is broadcast
+        met = probes.join(segments.hint("merge"), ["width", "segment", "value"]).select("width", "q", "code", "n").distinct()
         pool = met.withColumn("distance", distance(F.col("q"), F.col("code")))
         if found is not None:  # a code met in one segment comes again at a larger radius of another
             pool = pool.unionByName(found.join(active, ["width", "q"], "left_semi")).distinct()

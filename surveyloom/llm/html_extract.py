@@ -1,8 +1,8 @@
 """Main text of web pages by paths that a host's pages agree on.
 
-Every page scores its containers and votes for the generalised tag-class path of the best one. The
-votes of a host are counted in Spark; its pages are then read again with the winning path, and by
-their own best container where they don't have it.
+Every page scores its containers, climbs from the best one while a parent adds text, and votes for the
+generalised tag-class path it comes to. The votes of a host are counted in Spark; its pages are then read
+again from the winning path, or from their own best container where they don't have it, and climb likewise.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ BLOCKS = frozenset(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
+#: Plain characters, mostly not links, that a parent must add to be climbed to.
+LEAST_ADDED = 20
 #: Elements that an opening tag closes if they are open within the nearest container.
 _ENDS_P = BLOCKS - {"html", "body"}
 #: Words of a class, id or role that mark what is not the article.
@@ -57,6 +59,10 @@ class Page(NamedTuple):
     blocks: list[Block]
     paths: list[str]
     scores: list[float]
+    parents: list[int]
+    tags: list[str]
+    plain: list[int]
+    titled: list[bool]
 
 
 def _marked(attributes: str) -> bool:
@@ -79,10 +85,11 @@ def parse(source: str) -> Page:
     """Blocks, container paths and scores of a page, markup and dropped elements left out.
 
     A container scores the characters of its text, less those in links, and again half of what lies in
-    containers of its own, so that the innermost element around the whole article wins.
+    containers of its own. ``plain`` counts the characters of its blocks that are mostly not links, and ``titled``
+    says that one of these is an h1; see ``climbed``.
     """
     blocks: list[Block] = []
-    paths, sizes, nested = [], [], []
+    paths, sizes, nested, parents, tags, plain, titled = [], [], [], [], [], [], []
     stack: list[tuple[str, int, bool, bool]] = []  # tag, container or -1, dropped, link
     inside: tuple[int, ...] = ()
     piece: list[str] = []
@@ -96,8 +103,12 @@ def parse(source: str) -> Page:
         if text:
             blocks.append(Block(text, inside))
             worth = max(0, len(text) - linked) + (0 if linked else 1)
+            read = len(text) - linked if 2 * linked < len(text) else 0
+            title = read > 0 and any(s[0] == "h1" for s in stack)
             for depth, c in enumerate(inside):
                 sizes[c] += worth
+                plain[c] += read
+                titled[c] |= title
                 if depth < len(inside) - 1:
                     nested[c] += worth
         linked = 0
@@ -107,7 +118,9 @@ def parse(source: str) -> Page:
         while len(stack) > upto:
             tag, container, drop, link = stack.pop()
             if tag in BLOCKS:
+                stack.append((tag, -1, False, False))  # the block is still in it
                 flush()
+                stack.pop()
             if container >= 0:
                 inside = inside[:-1]
             dropped -= drop
@@ -173,6 +186,10 @@ def parse(source: str) -> Page:
             container = len(paths)
             above = paths[inside[-1]] if inside else ""
             paths.append(f"{above}>{_label(tag, attributes)}")
+            parents.append(inside[-1] if inside else -1)
+            tags.append(tag)
+            plain.append(0)
+            titled.append(False)
             sizes.append(0)
             nested.append(0)
             inside += (container,)
@@ -184,16 +201,38 @@ def parse(source: str) -> Page:
     close(0)
     flush()
     weight = {"article": 1.5, "main": 1.2}
-    scores = [(size - 0.5 * deep) * weight.get(path.rsplit(">", 1)[-1].split(".")[0], 1.0) for path, size, deep in zip(paths, sizes, nested)]
-    return Page(blocks, paths, scores)
+    scores = [(size - 0.5 * deep) * weight.get(tag, 1.0) for tag, size, deep in zip(tags, sizes, nested)]
+    return Page(blocks, paths, scores, parents, tags, plain, titled)
+
+
+def climbed(page: Page, path: str) -> str:
+    """The path, or that of the outermost parents that add plain text or a title to what lies within it.
+
+    An article is left for the title it lacks only, and main not at all.
+    """
+    at = {i for i, p in enumerate(page.paths) if p == path}
+    above, articles = at, 0
+    lines: list[set[int]] = []
+    while above and not any(page.tags[i] == "main" for i in above):
+        above = {page.parents[i] for i in above if page.parents[i] >= 0}
+        if above:
+            lines.append(above)
+            if any(page.tags[i] == "article" for i in above):
+                articles = len(lines)
+    in_article = articles > 0 or any(page.tags[i] == "article" for i in at)
+    for level, above in enumerate(lines):
+        title = any(page.titled[i] for i in above) and not any(page.titled[i] for i in at)
+        if title or ((not in_article or level < articles) and sum(page.plain[i] for i in above) - sum(page.plain[i] for i in at) >= LEAST_ADDED):
+            at = above
+    return page.paths[min(at)]
 
 
 def best_path(page: Page) -> str | None:
-    """Path with the highest total score; of equal ones the longer, then the smaller."""
+    """Path climbed to from the one with the highest total score; of equal ones the longer, then the smaller."""
     total: dict[str, float] = {}
     for path, score in zip(page.paths, page.scores):
         total[path] = total.get(path, 0.0) + score
-    return min(total, key=lambda p: (-total[p], -len(p), p)) if total and max(total.values()) > 0 else None
+    return climbed(page, min(total, key=lambda p: (-total[p], -len(p), p))) if total and max(total.values()) > 0 else None
 
 
 def text_at(page: Page, path: str | None) -> str:
@@ -226,7 +265,8 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) per page.
 
-    Null pages are empty; pages without text give ''. Null and malformed URLs are one host. Pages
+    Null pages are empty; pages without text give ''. Null and malformed URLs are one host. A page whose
+    text around its host's path is more than what lies within gives it too. Pages
     without their host's path fall back to their own best container, and pages without any
     container to all their blocks. Repeated rows stay; other columns are not read.
     """
@@ -237,7 +277,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = []
             for source, path in zip(b["html"], b["path"]):
                 page = parse(source or "")
-                found = text_at(page, path) if path in page.paths else ""
+                found = text_at(page, climbed(page, path)) if path in page.paths else ""
                 texts.append(found or text_at(page, best_path(page)))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 

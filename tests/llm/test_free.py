@@ -267,6 +267,34 @@ def test_extraction_rules_and_odd_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def words(n, mark="w"):
+    return " ".join(f"{mark}{i}" for i in range(n))
+
+
+@pytest.mark.parametrize("inner", [
+    "<article><h1>{a}</h1><div class=lead>{b}</div><div class=text><p>{c}</p></div></article>",
+    "<div class=content><p>{a}</p><p>{b}</p><div class=more><p>{c}</p></div></div>",
+    "<div class=post><section class=one><p>{a}</p></section><section class=two><p>{b}</p></section><section class=three><p>{c}</p></section></div>",
+    "<main><h1>{a}</h1><article><p>{b}</p><div class=text><p>{c}</p></div></article></main>",
+    "<div class=page><table><tr><td class=x>{a}</td><td class=y>{b}</td><td class=z>{c}</td></tr></table></div>",
+    "<div class=post><p>{a}</p><p>{b}</p><blockquote><p>{c}</p></blockquote></div>",
+    "<div class=post><h1>{a}</h1><div class=in><p>{b}</p><div class=text><p>{c}</p></div></div></div>",
+])
+def test_pages_keep_leads_sections_and_quotes(spark, inner):
+    a, b, c = words(8, "a"), words(8, "b"), words(200, "c")
+    page = "<html><body><nav>menu</nav>{}<div><a href=1>one other page</a> <a href=2>and one more page</a></div><div>(c) 2020</div></body></html>".format(inner.format(a=a, b=b, c=c))
+    df = spark.createDataFrame([(1, "http://x.y/1", page), (2, "http://x.y/2", page)], "page_id long, url string, html string")
+    assert [r.text for r in html_extract.extract(df).collect()] == ["\n".join((a, b, c))] * 2
+
+
+def test_pages_add_to_the_path_of_their_host_and_leave_what_is_outside_the_article(spark):
+    c = words(100, "c")
+    plain = f"<body><article><div class=text><p>{c}</p></div></article><div class=bio>{words(30, 'bio')}</div></body>"
+    lead = f"<body><article><p>{words(9, 'lead')}</p><div class=text><p>{c}</p></div></article></body>"
+    df = spark.createDataFrame([(1, "http://x/1", plain), (2, "http://x/2", plain), (3, "http://x/3", lead)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == {1: c, 2: c, 3: words(9, "lead") + "\n" + c}
+
+
 @pytest.mark.parametrize("dims, n", [(64, 300), (40, 60)])
 def test_nearest_codes_against_all_pairs(spark, dims, n):
     rng = random.Random(dims)

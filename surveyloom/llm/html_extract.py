@@ -31,6 +31,8 @@ _MARK = re.compile(r"[^a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe object xmp noembed noframes".split())
 DROPPED = frozenset("head nav header footer aside form menu dialog button select option svg math canvas audio video map".split()) | RAW
+#: What an open head can hold; anything else ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template noframes".split())
 BLOCKS = frozenset(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
@@ -132,6 +134,8 @@ def parse(source: str) -> Page:
             m_start = length
         else:
             m_start = m.start()
+        if m_start > at and stack and stack[-1][0] == "head" and source[at:m_start].strip(" \t\n\r\f\ufeff"):
+            close(len(stack) - 1)
         if m_start > at and not dropped:
             text = entities.unescape(source[at:m_start])
             piece.append(text)
@@ -154,6 +158,8 @@ def parse(source: str) -> Page:
                 if tag in BLOCKS and not dropped:
                     flush()
             continue
+        if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+            close(len(stack) - 1)
         attributes = m[3] if m[2] else m[6]
         if tag in VOID:
             if not dropped:

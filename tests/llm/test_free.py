@@ -295,6 +295,12 @@ def test_pages_add_to_the_path_of_their_host_and_leave_what_is_outside_the_artic
     assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == {1: c, 2: c, 3: words(9, "lead") + "\n" + c}
 
 
+@pytest.mark.parametrize("start", ["<article>", "<div class=text>", "<img src=1>", "", "</head>", "<body>", "</head><body>", "<iframe src=1></iframe>"])
+def test_head_ends_where_something_else_begins(start):
+    page = html_extract.parse(f"<!DOCTYPE html><html><head> <meta charset=utf-8><title>T</title>\n<style>p</style><noscript>n</noscript><!-- c -->\n{start}{words(9)}<p>more")
+    assert html_extract.text_at(page, html_extract.best_path(page)) == words(9) + "\nmore"
+
+
 @pytest.mark.parametrize("dims, n", [(64, 300), (40, 60)])
 def test_nearest_codes_against_all_pairs(spark, dims, n):
     rng = random.Random(dims)

@@ -67,7 +67,7 @@ def op8_token_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(documents(spark, sf_dir), spark.createDataFrame(licenses.TEMPLATES, "name string, text string"))
+    return licenses.scan(documents(spark, sf_dir), licenses.known_templates(spark))
 
 
 QUERIES = {

@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import html
+import os
 import random
 import re
 
@@ -236,6 +237,31 @@ def test_license_lines_against_plain_search(spark):
     assert licenses.scan(df.limit(0), templates).count() == 0 and licenses.scan(df, templates.limit(0)).count() == 0
 
 
+def test_license_near_misses_versions_and_full_texts(spark):
+    index = licenses.build_index(licenses.known_templates(spark))
+    named = lambda text: [m[0] for m in licenses.scan_text(index, text)]
+    for text, want in (
+        ("Released under the BSD License.", ["BSD-name"]), ("Released under the FOO License.", []), ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0-name0"]),
+        ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0-line"]), ("Licensed under CC BY-XX 4.0.", []), ("Licensed under the Apache License, Version 1.1.", ["Apache-1.1-name0"]),
+        ("Licensed under the Apache License, Version 7.3.", []), ("Released under the MIT License.", ["MIT-line"]), ("# SPDX-License-Identifier: MPL-2.0 and more words", ["SPDX-MPL-2.0"]),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0-name0"]),
+    ):
+        assert named("Some words first. " + text + " And words after it.") == want, text
+    templates = dict(licenses.TEMPLATES)
+    for name, text in templates.items():
+        assert named(text) == [name] or text in {t for n, t in templates.items() if n != name}, name
+    gpl = templates["GPL-2.0-notice"]
+    assert named(gpl.replace("version 2", "version 9")) == [] and named(gpl.replace("GNU General", "FOO General")) == []
+    for name in licenses.TEXTS:
+        text = open(os.path.join(os.path.dirname(licenses.__file__), "license_texts", f"{name}.txt")).read()
+        assert [n for n in named("Before. " + text + " After.") if "full" in n] == [f"{name}-full-text"]
+        if name in ("GPL-3", "MPL-2.0"):
+            words = text.split()
+            edited = words[:300] + [w + "x" if i % 9 == 0 else w for i, w in enumerate(words[300:])]
+            edited[600:650] = []
+            assert named(" ".join(edited) + " Middle. " + text).count(f"{name}-full-text") == 2
+
+
 def article_of(source):
     inner = re.search(r"<article>(.*?)</article>", source, re.S)[1]
     parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", p.replace("<br>", " "))).split()) for p in re.split(r"</?(?:p|h1)>", inner)]

@@ -69,20 +69,24 @@ def headers(spark: SparkSession, paths: Sequence[str]) -> list[Header]:
 
 
 def _whole(spark: SparkSession, found: list[Header]) -> list[Header]:
-    """Compressed files can end early, which only a full read shows: each one that does is set to failed."""
-    packed = {h.path for h in found if h.status == "success" and _SUFFIX.search(h.path)[2]}
+    """Compressed files can end early, which only a full read shows: each one that does is set to failed.
+
+    A file is broken if reading it alone fails; sets of files that can't be read are halved until then.
+    """
     errors: dict[str, str] = {}
-    while packed:
+    pending = [sorted({h.path for h in found if h.status == "success" and _SUFFIX.search(h.path)[2]})]
+    while pending:
+        paths = pending.pop()
+        if not paths:
+            continue
         try:
-            spark.read.text(sorted(packed)).agg(F.count("*")).collect()
-            break
+            spark.read.option("ignoreCorruptFiles", False).text(paths).agg(F.count("*")).collect()
         except Exception as error:  # noqa: BLE001
             told = str(error)
-            broken = {p for p in packed if p.rsplit("/", 1)[-1] in told}
-            if not broken:
-                raise
-            errors |= {p: "unreadable: " + next((x for x in told.splitlines() if "xception" in x), told)[:400] for p in broken}
-            packed -= broken
+            if len(paths) == 1:
+                errors[paths[0]] = "unreadable: " + next((x for x in told.splitlines() if "xception" in x), told)[:400]
+            else:
+                pending += [paths[: len(paths) // 2], paths[len(paths) // 2 :]]
     return [h._replace(status="failed", error=errors[h.path]) if h.path in errors else h for h in found]
 
 

@@ -1,6 +1,7 @@
 """Schema rules, export, sources."""
 
 import gzip
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,6 +149,20 @@ def test_broken_files_are_reported_and_not_cut_short(spark, tmp_path):
     assert states["cut.csv.gz"]["error"] and states["whole.csv.gz"]["error"] is None
 
 
+def test_broken_files_take_no_namesakes_with_them(spark, tmp_path):
+    packed = gzip.compress(("k,v\n" + "".join(f"{i},{i * 7919 % 10007}\n" for i in range(50_000))).encode())
+    cut, whole = packed[: len(packed) // 2], gzip.compress(b"k,v\n1,2\n")
+    placed = {"1.csv.gz": whole, "11.csv.gz": cut, "a/data.csv.gz": whole, "b/data.csv.gz": cut, "b/two w\u00f6rds.csv.gz": cut, "a/w\u00f6 x.csv.gz": whole}
+    for name, content in placed.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    files = tables.read_file_set(spark, [str(tmp_path / n) for n in placed], ["k", "v"])
+    ends = sorted(unquote(r["source_path"]).rsplit(tmp_path.name + "/", 1)[1] for r in files.rows.collect())
+    assert ends == ["1.csv.gz", "a/data.csv.gz", "a/w\u00f6 x.csv.gz"]
+    states = sorted((r["source_file"], r["status"]) for r in files.outcomes.collect())
+    assert states == sorted((n.rsplit("/", 1)[-1], "failed" if c is cut else "success") for n, c in placed.items())
+
+
 def test_nearest_allowed(spark):
     df = spark.createDataFrame([("Genral",), ("qqq",), ("minorty",)], "v string")
     out = {r["value"]: r["suggestion"] for r in rules.nearest_allowed(df, "v", rules.SOCIAL_CATEGORIES).collect()}

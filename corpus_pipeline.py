@@ -3,7 +3,7 @@
 Each stage takes and returns whole tables; all but the last return the columns of ``documents``:
 
 1. quality rules: documents that fail the base rules or the label model go;
-2. near-duplicates (five-word shingles, similarity of 0.8): of each group the smallest doc_id stays;
+2. near-duplicates (five-word shingles, similarity of 0.8): of each group a row of the smallest doc_id stays;
 3. secret scan: secrets in the texts are replaced by a mask;
 4. mixture: every document as often as its source's repetition rate says;
 5. tokens: ids of every text, with the digest of what they decode to.
@@ -26,7 +26,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.one_of_each(docs, size=5, percent=80)
+    return near_dedup.one_row_each(docs, size=5, percent=80)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ ROWS = 4
 MISS = 5e-6
 CACHE = 1 << 20
 COLUMNS = 4096
+#: Stands for a null doc_id.
+LAST = (1 << 63) - 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,18 +88,18 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int, side: int) -> DataFrame:
-    """(doc_id, n, digest, keys) per document; digest and keys are null for empty sets."""
+    """(doc_id, th, n, digest, keys) per document, th being a hash of the text; digest and keys are null for empty sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
         for b in batches:
             out = []
-            for doc_id, text in zip(b["doc_id"], b["text"]):
+            for doc_id, text, th in zip(b["doc_id"], b["text"], b["th"]):
                 s = shingles(text, size, known)
-                out.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), _signed(half_keys(s, 2 * side))) if len(s) else (doc_id, 0, None, None))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "digest", "keys"]).astype({"doc_id": "Int64"})
+                out.append((doc_id, th, len(s), xxhash.xxh3_128_digest(s.tobytes()), _signed(half_keys(s, 2 * side))) if len(s) else (doc_id, th, 0, None, None))
+            yield pd.DataFrame(out, columns=["doc_id", "th", "n", "digest", "keys"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, digest binary, keys array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInPandas(run, "doc_id long, th long, n long, digest binary, keys array<long>")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -159,14 +161,8 @@ def _left_over(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per document.
-
-    Documents whose sets have ``percent`` % or more of their union in common are linked; component_id
-    is the smallest doc_id reachable, and kept says that it is the document's own. Null and wordless
-    texts are linked with nothing. Each row has the links of its own text, so repeated rows lie in one
-    component. A null doc_id counts as larger than any other: alone, its component is null, and it is kept.
-    """
+def _components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, n, digest, keys, c) per document and (c, doc_id, root) per class, doc_id being the smallest; all of them are stored."""
     side = sides(percent)
     rows = stage(sketches(docs, size, side).withColumn("c", F.xxhash64("digest")), "sketches")
     known = rows.where("digest is not null")
@@ -194,22 +190,65 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     members = stage(tables.join(mixed, "key", "left_semi").select("c").distinct().join(rooted, "c"), "members")
     more = stage(verified(stage(_left_over(members, sets, percent), "pairs"), sets, percent), "links")
 
-    final = stage(_rooted(known.groupBy("c").agg(F.min("doc_id").alias("doc_id")), links.unionByName(more)), "classes")
+    return rows, stage(_rooted(known.groupBy("c").agg(F.min("doc_id").alias("doc_id")), links.unionByName(more)), "classes")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with LAST for null ids, so that their texts are found by id as well."""
+    return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per document.
+
+    Documents whose sets have ``percent`` % or more of their union in common are linked; component_id
+    is the smallest doc_id reachable, and kept says that it is the document's own. Null and wordless
+    texts are linked with nothing. Each row has the links of its own text, so repeated rows lie in one
+    component. A null doc_id counts as larger than any other: alone, its component is null, and it is kept.
+    """
+    rows, final = _components(docs, size, percent)
     smallest = final.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = stage(final.join(smallest, "root").select("c", "component_id"), "components")
     found = rows.select("doc_id", "n", F.when(F.col("digest").isNotNull(), F.col("c")).alias("c")).join(named, "c", "left")
     component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    given = lambda c: F.nullif(c, F.lit(LAST))
+    return found.select(
+        given(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), given(component).alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+    )
+
+
+def _first_rows(packed: DataFrame, *by: str) -> DataFrame:
+    """Of the rows with equal ``by`` the first in the order of their JSON."""
+    return packed.groupBy(*by).agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+
+
+def _one_row_each(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(_id, _th, _row) of the rows that ``one_row_each`` keeps."""
+    rows, final = _components(_numbered(docs), size, percent)
+    keys = rows.groupBy("doc_id", "th", F.when(F.col("digest").isNotNull(), F.col("c")).alias("c")).agg(F.count("*").alias("rows"))
+    keys = stage(keys, "texts")
+    texts = keys.where("c is not null").groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("one"))
+    held = stage(final.select("c", "root").join(texts, "c"), "held")
+    ones = stage(held.groupBy("root").agg(F.min("one").alias("one")), "ones")
+    named = stage(held.select("c", "root").join(ones, "root").select("c", "one"), "components")
+    judged = keys.join(named, "c", "left").withColumn("kept", F.col("c").isNull() | (F.struct("doc_id", "th") == F.col("one")))
+    key = [F.col("doc_id").alias("_id"), F.col("th").alias("_th")]
+    dropped = stage(judged.where(~F.col("kept")).select(*key), "dropped")
+    again = stage(judged.where("kept and rows > 1").select(*key), "repeated")
+    packed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.xxhash64("text").alias("_th"), F.struct(*docs.columns).alias("_row"))
+    rest = packed.join(dropped, ["_id", "_th"], "left_anti")
+    return rest.join(again, ["_id", "_th"], "left_anti").unionByName(_first_rows(rest.join(again, ["_id", "_th"], "left_semi"), "_id", "_th"))
+
+
+def one_row_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, of each component only one row: of its smallest doc_id, and of that the text with the smallest hash. All columns stay.
+
+    Rows of one id whose texts are not linked all stay, texts without words too; of rows with equal id and text one. Null ids count as the largest.
+    """
+    return _one_row_each(docs, size, percent).select("_row.*")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, of each component only the one with the smallest doc_id; of repeated rows one. All columns stay."""
-    found = stage(near_duplicates(docs, size, percent), "near")
-    ids = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
-    dropped = ids.where(~F.col("kept")).select(F.col("doc_id").alias("_id"))
-    twice = ids.where("kept and rows > 1").select(F.col("doc_id").alias("_id"))
-    packed = docs.select(F.col("doc_id").alias("_id"), F.struct(*docs.columns).alias("_row"))
-    rest = packed.join(stage(dropped, "dropped"), "_id", "left_anti")
-    again = stage(twice, "repeated")
-    once = rest.join(again, "_id", "left_anti").unionByName(rest.join(again, "_id", "left_semi").dropDuplicates(["_id"]))
-    return once.select("_row.*")
+    """As ``one_row_each``, but of the rows that an id keeps only one; null ids keep theirs."""
+    found = stage(_one_row_each(docs, size, percent), "near")
+    return found.where(F.col("_id") == LAST).unionByName(_first_rows(found.where(F.col("_id") != LAST), "_id").select("_id", F.lit(0).cast("long").alias("_th"), "_row")).select("_row.*")

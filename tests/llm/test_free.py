@@ -101,6 +101,21 @@ def test_one_of_each_with_repeated_and_null_ids(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_row_each_decides_by_row(spark):
+    long, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, long), (1, long), (2, long + " tail"), (2, "a clean text of its own"), (3, "other text"), (3, "quite another one"), (7, None), (7, None)]
+    rows += [(None, other), (None, other), (None, other + " tail"), (None, "alone"), (9, "copied with and without an id"), (None, "copied with and without an id")]
+    want = [(1, long), (2, "a clean text of its own"), (3, "other text"), (3, "quite another one"), (7, None), (9, "copied with and without an id"), (None, "alone")]
+    df = frame(spark, rows, True)
+    out = near_dedup.one_row_each(df)
+    assert out.columns == df.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    linked = [x for x in got if x[1] in (other, other + " tail")]
+    assert len(linked) == 1 and sorted((x for x in got if x not in linked), key=repr) == sorted(want, key=repr)
+    assert sorted(near_dedup.one_row_each(df.repartition(3)).collect(), key=repr) == sorted(out.collect(), key=repr)
+    assert near_dedup.one_row_each(df.limit(0)).count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000 + rng.randrange(40), 5000 + rng.randrange(40)) for _ in range(30)]

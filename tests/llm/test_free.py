@@ -116,6 +116,14 @@ def test_one_row_each_decides_by_row(spark):
     assert near_dedup.one_row_each(df.limit(0)).count() == 0
 
 
+def test_texts_that_hang_together_by_a_null_id(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words)), (None, " ".join(words[:90])), (2, " ".join(words[:81]))]
+    assert near_brute([(1, rows[0][1]), (2, rows[2][1])], 5, 85)[2][1] == 2  # not near each other
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows), 5, 85).collect()}
+    assert got == {1: 1, 2: 1, None: 1}
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000 + rng.randrange(40), 5000 + rng.randrange(40)) for _ in range(30)]

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from surveyloom.llm import html_extract, licenses, mixing, near_dedup, quality_rules, secret_scan, substring_dedup, tokens, url_filter, vectors
+from surveyloom.llm import html_extract, licenses, mixing, near_dedup, quality_rules, secret_scan, substring_dedup, tokens, url_filter, vectors, whitening
 from surveyloom.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -70,9 +71,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir), licenses.known_templates(spark))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return white.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_near_dedup, op3_mix_sources, op4_nearest_codes, op5_html_extract, op6_substring_dedup, op7_quality_rules, op8_token_round_trip, op9_url_filter, op10_license_scan,
+        op13_embedding_whitening,
     )
 }

@@ -51,4 +51,17 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_r
 FROM w LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
-ORACLES = {"op2_near_dedup": NEAR, "op6_substring_dedup": REPEATS, "op3_mix_sources": MIX, "op9_url_filter": URLS}
+RANKED = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term FROM documents),
+f AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM t GROUP BY ALL),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY doc_id),
+c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM d),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*)::BIGINT AS df FROM f GROUP BY term), c),
+s AS (SELECT item_id, f.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+      FROM i JOIN f USING (term) JOIN w USING (term) JOIN d ON d.doc_id = f.doc_id, c GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+ORACLES = {"op11_ranked_search": RANKED, "op2_near_dedup": NEAR, "op6_substring_dedup": REPEATS, "op3_mix_sources": MIX, "op9_url_filter": URLS}

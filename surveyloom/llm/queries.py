@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm import html_extract, licenses, mixing, near_dedup, quality_rules, ranked_search, secret_scan, substring_dedup, tokens, url_filter, vectors, whitening
+from surveyloom.llm import html_extract, licenses, mixing, near_dedup, quality_rules, ranked_search, secret_scan, substring_dedup, tokens, toxicity, url_filter, vectors, whitening
 from surveyloom.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -75,6 +75,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     white = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return white.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
@@ -84,6 +88,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_near_dedup, op3_mix_sources, op4_nearest_codes, op5_html_extract, op6_substring_dedup, op7_quality_rules, op8_token_round_trip, op9_url_filter, op10_license_scan,
-        op11_ranked_search, op13_embedding_whitening,
+        op11_ranked_search, op12_toxicity, op13_embedding_whitening,
     )
 }

@@ -1,15 +1,23 @@
-"""Mixing sources to target weights by repetition rates."""
+"""Mixing sources to target weights by repetition rates.
+
+A source's rate is its target over its size: every document is taken floor(rate) times and once more by
+a draw hashed from its id, with the fraction as probability. Draws of a small source of unequal documents
+may miss its target by far, so each source has the seed, of DRAWS tried in one aggregation, whose sum
+comes nearest.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.llm.common import WORD, ranked, row_hash, stage
+from surveyloom.llm.common import WORD, ranked, stage
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-SEED = "mix-1"
+SEED = "mix-2"
+DRAWS = 32
+_BITS = 40
 
 
 def text_size(text: Column) -> Column:
@@ -64,28 +72,52 @@ def with_rates(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.join(other, rows["source"].eqNullSafe(other["_source"]), "left").drop("_source")
 
 
-def copies(rate: Column, doc_id: Column, seed: str = SEED) -> Column:
+def _halves(doc_id: Column, seed: str = SEED) -> Column:
+    """Two numbers of _BITS bits from the MD5 of the id."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))))
+    part = lambda at: F.conv(F.substring(digest, at, _BITS // 4), 16, 10).cast("long")
+    return F.struct(part(1).alias("a"), part(1 + _BITS // 4).alias("b"))
+
+
+def _drawn(rate: Column, halves: Column, draw: Column) -> Column:
+    """Whether the draw takes one more copy; draws of one document are pairwise independent."""
+    u = (halves.a + draw * halves.b) % F.lit(1 << _BITS) / F.lit(float(1 << _BITS))
+    return u < rate - F.floor(rate)
+
+
+def with_draws(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """``targets`` with the draw of each source whose sum is nearest to its target, of equal ones the first; stored."""
+    rows = with_rates(sizes, targets).withColumn("_h", _halves(F.col("doc_id")))
+    extra = [F.sum(F.when(_drawn(F.col("rate"), F.col("_h"), F.lit(k)), F.col("size")).otherwise(0)).alias(f"_{k}") for k in range(DRAWS)]
+    sums = rows.groupBy("source").agg(F.first("rate").alias("_rate"), F.first("source_size").alias("_size"), F.first("target").alias("_target"), *extra)
+    off = lambda k: F.abs((F.col("_size") * F.floor("_rate") + F.col(f"_{k}")).cast("double") - F.col("_target"))
+    best = F.array_min(F.array(*[F.struct(off(k).alias("off"), F.lit(k).cast("long").alias("draw")) for k in range(DRAWS)])).draw
+    return stage(sums.select("source", F.col("_size").alias("source_size"), F.col("_target").alias("target"), F.col("_rate").alias("rate"), best.alias("draw")), "draws")
+
+
+def copies(rate: Column, doc_id: Column, draw: Column) -> Column:
     """floor(rate) copies and one more with the fraction's probability, drawn by a hash of the id."""
-    return (F.floor(rate) + (row_hash(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))) < rate - F.floor(rate)).cast("long")).cast("long")
+    return (F.floor(rate) + _drawn(rate, _halves(doc_id), draw).cast("long")).cast("long")
 
 
 def mix_counts(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) per document.
 
     Null texts have size 0; null sources are one source, the last; repeated rows are drawn
-    alike as they share an id; null ids share one draw. Reruns agree.
+    alike as they share an id; null ids share one draw. An empty table gives none. Reruns agree.
     """
     sizes = sized(docs)
-    return with_rates(sizes, source_targets(sizes)).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("rate"), F.col("doc_id"))).alias("taken")
+    return with_rates(sizes, with_draws(sizes, source_targets(sizes))).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("rate"), F.col("doc_id"), F.col("draw"))).alias("taken")
     )
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The documents of the mix: each row as often as it is taken, all columns kept."""
-    targets = source_targets(docs.select("source", text_size(F.col("text")).alias("size")))
-    rates = targets.select(F.struct("source").alias("_key"), F.col("rate").alias("_rate"))
+    sizes = sized(docs)
+    targets = with_draws(sizes, source_targets(sizes))
+    rates = targets.select(F.struct("source").alias("_key"), F.col("rate").alias("_rate"), F.col("draw").alias("_draw"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"))
     joined = rows.join(rates, F.col("_row.source").eqNullSafe(F.col("_key.source")), "left")
-    repeated = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies(F.col("_rate"), F.col("_row.doc_id")).cast("int"))))
-    return repeated.select("_row.*")
+    times = copies(F.col("_rate"), F.col("_row.doc_id"), F.col("_draw")).cast("int")
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select("_row.*")

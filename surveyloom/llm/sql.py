@@ -10,11 +10,16 @@ o AS (SELECT *, sum(z) OVER ()::BIGINT AS t, 3 * z AS most,
       FROM s WINDOW b AS (ORDER BY z / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT coalesce(first((t - fixed) / open ORDER BY z / w, source NULLS LAST) FILTER (WHERE w * ((t - fixed) / open) <= most), 0) AS level FROM o),
 r AS (SELECT source, z AS source_size, least(w * level, most::DOUBLE) AS target FROM o, l),
-c AS (SELECT d.doc_id, d.size, r.source_size, r.target,
+c AS (SELECT d.doc_id, d.size, d.source, r.source_size, r.target,
         CASE WHEN r.source_size > 0 THEN least(r.target / r.source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate,
-        ('0x' || substr(md5('mix-1|' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
-      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
-SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT))::BIGINT AS taken FROM c
+        md5('mix-2|' || coalesce(d.doc_id::VARCHAR, '')) AS h
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+k AS (SELECT *, (('0x' || substr(h, 1, 10))::BIGINT + k * ('0x' || substr(h, 11, 10))::BIGINT) % 1099511627776 / 1099511627776.0::DOUBLE < rate - floor(rate) AS more
+      FROM c, range(32) AS draws(k)),
+b AS (SELECT source, arg_min(k, (off, k)) AS k FROM
+      (SELECT source, k, abs((sum(size * floor(rate)::BIGINT) + coalesce(sum(size) FILTER (WHERE more), 0))::DOUBLE - any_value(target)) AS off FROM k GROUP BY source, k) GROUP BY source)
+SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + more::BIGINT))::BIGINT AS taken
+FROM k JOIN b ON k.k = b.k AND k.source IS NOT DISTINCT FROM b.source
 """
 
 URLS = """

@@ -81,6 +81,6 @@ def test_queries_against_sql(spark, name):
 
 
 def test_registered_names():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES}
     assert "pipeline" in driver.queries() and [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
     assert os.path.basename(corpus_pipeline.__file__) == "corpus_pipeline.py"

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from surveyloom.operators.keyed import fits_broadcast, split_by_keys
+from surveyloom.session import stage
+
 
 class Edited(NamedTuple):
     data: DataFrame
@@ -18,15 +21,22 @@ def apply_edits(df: DataFrame, edits: DataFrame, row_id: str = "row_id") -> Edit
     """Overwrite cells from (row_id, field, value, seq).
 
     Unknown fields and rows are ignored and the latest edit of a cell wins. ``applied``
-    counts the edits that hit an existing cell.
+    counts the edits that hit an existing cell. ``df`` should be stored: where the edited rows are too
+    many to broadcast, one pass takes the rows that surely have no edit and another the rest,
+    so that only about as many rows are shuffled as are edited.
     """
     fields = [c for c in df.columns if c != row_id]
     known = edits.where(F.col("field").isin(*fields))
     last = known.groupBy(row_id, "field").agg(F.max_by("value", "seq").alias("value"))
     # At most one entry per column of the table, so the map stays as wide as a row.
     per_row = last.groupBy(row_id).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_edits"))
-    joined = df.join(per_row, row_id, "left")
-    data = joined.select(
+    per_row = stage(per_row, "edits")
+    if fits_broadcast(per_row):
+        edited, untouched = df.join(F.broadcast(per_row), row_id, "left"), None
+    else:
+        maybe, untouched = split_by_keys(df, per_row.select(row_id), [row_id])
+        edited = maybe.join(per_row, row_id, "left")
+    data = edited.select(
         row_id,
         *[
             F.when(F.array_contains(F.map_keys("_edits"), c), F.try_element_at("_edits", F.lit(c)).cast(df.schema[c].dataType))
@@ -34,25 +44,31 @@ def apply_edits(df: DataFrame, edits: DataFrame, row_id: str = "row_id") -> Edit
             .alias(c)
             for c in fields
         ],
-    )
-    applied = known.join(df.select(row_id), row_id, "left_semi").agg(F.count(F.lit(1)).alias("applied"))
-    return Edited(data.select(*df.columns), applied)
+    ).select(*df.columns)
+    hit = edited.where(F.col("_edits").isNotNull()).select(row_id)
+    applied = known.join(hit, row_id, "left_semi").agg(F.count(F.lit(1)).alias("applied"))
+    return Edited(data if untouched is None else data.unionByName(untouched), applied)
+
+
+def _row_digest(columns: Sequence[str]) -> Column:
+    """128 bits of a row; nulls differ from empty texts."""
+    return F.unhex(F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})))
 
 
 def compare_tables(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Row counts, column differences and rows found on one side only."""
+    """Row counts, column differences and rows found on one side only, repeated rows counted as often as they occur.
+
+    One shuffle, of row digests with their sign; equal digests are summed before it.
+    """
     shared = [c for c in left.columns if c in right.columns]
-    a, b = left.select(*shared), right.select(*shared)
     only_left = [c for c in left.columns if c not in right.columns]
     only_right = [c for c in right.columns if c not in left.columns]
-    sides = (
-        left.select(F.lit("left").alias("side"))
-        .unionByName(right.select(F.lit("right").alias("side")))
-        .unionByName(a.exceptAll(b).select(F.lit("left_only").alias("side")))
-        .unionByName(b.exceptAll(a).select(F.lit("right_only").alias("side")))
-    )
-    return sides.agg(
-        *[F.count_if(F.col("side") == s).alias(f"{s}_rows") for s in ("left", "right", "left_only", "right_only")]
+    side = lambda df, sign: df.select((_row_digest(shared) if shared else F.unhex(F.lit("00"))).alias("digest"), F.lit(sign).alias("sign"))
+    counted = side(left, 1).unionByName(side(right, -1)).groupBy("digest").agg(F.count_if(F.col("sign") > 0).alias("l"), F.count_if(F.col("sign") < 0).alias("r"))
+    total = lambda of, name: F.coalesce(F.sum(of), F.lit(0)).alias(name)
+    return counted.agg(
+        total(F.col("l"), "left_rows"), total(F.col("r"), "right_rows"),
+        total(F.greatest(F.col("l") - F.col("r"), F.lit(0)), "left_only_rows"), total(F.greatest(F.col("r") - F.col("l"), F.lit(0)), "right_only_rows"),
     ).withColumns(
         {
             "row_difference": F.abs(F.col("left_rows") - F.col("right_rows")),

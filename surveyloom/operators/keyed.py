@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Rows of one key that a single task handles at most; a hotter key is split.
@@ -62,3 +64,44 @@ def lookup(
     if fits_broadcast(table, max_rows):
         table = F.broadcast(table)
     return df.join(table, on, how)
+
+
+# Keys in the largest bitmap that ``split_by_keys`` broadcasts: 2^28 bits, 32 MB, whatever the tables' sizes.
+MOST_BITS = 28
+BITS_PER_KEY = 16
+
+
+class Split(NamedTuple):
+    """Rows that may have one of the keys, and rows that surely have none."""
+
+    maybe: DataFrame
+    never: DataFrame
+
+
+def _bit(on: list[str], bits: int) -> Column:
+    """Position of a row's key, counted from 1 as the bitmap functions do."""
+    return F.pmod(F.xxhash64(*on), F.lit(1 << bits)) + 1
+
+
+def split_by_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> Split:
+    """Divide ``df`` by a hashed bitmap of the keys in ``keys``, so that a join only has to shuffle ``maybe``.
+
+    ``keys`` should be stored, as it is counted first. The bitmap is built as an aggregate and has at
+    most 2^MOST_BITS bits, so broadcasting it is bounded; with more keys than it can tell apart
+    all rows are ``maybe``. Both parts read ``df``, and together they hold each row once.
+    """
+    count = keys.count()
+    bits = max(15, min(MOST_BITS, (count * BITS_PER_KEY).bit_length()))
+    if count > 1 << bits:
+        return Split(df, df.where(F.lit(False)))
+    at = keys.select(_bit(on, bits).alias("_at")).withColumn("_bucket", F.bitmap_bucket_number("_at"))
+    # positions are dealt by bucket first: a partial bitmap of every task would be larger than its keys
+    bitmap = at.repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bitmap"))
+    placed = df.withColumn("_at", _bit(on, bits)).withColumn("_bucket", F.bitmap_bucket_number("_at"))
+    found = placed.join(F.broadcast(bitmap), "_bucket", "left")
+    position = F.bitmap_bit_position("_at")
+    byte = F.conv(F.hex(F.substring("_bitmap", (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("getbit(_byte, _place)") == 1, F.lit(False))
+    told = found.withColumn("_byte", byte).withColumn("_place", (position % 8).cast("int"))
+    part = lambda want: told.where(hit == want).select(*df.columns)
+    return Split(part(True), part(False))

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_made: ContextVar[list[str] | None] = ContextVar("staged_paths", default=None)
 
 
 def build_session(app: str = "surveyloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -72,5 +76,30 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    made = _made.get()
+    if made is not None:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staged_paths() -> Iterator[list[str]]:
+    """The paths of the tables staged inside the block, for ``drop_staged`` once their last reader is done."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+        outer = _made.get()
+        if outer is not None:
+            outer += made
+
+
+def drop_staged(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete staged tables; those that are gone already are no error."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)

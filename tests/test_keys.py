@@ -1,11 +1,14 @@
 """Deduplication, votes, hot keys, edits, lifecycle."""
 
+import os
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from surveyloom.operators import dedup, edits, lifecycle, vote
+from surveyloom import session
+from surveyloom.operators import dedup, edits, keyed, lifecycle, vote
 from surveyloom.operators.keyed import attach_per_key, lookup
 
 
@@ -129,3 +132,50 @@ def test_new_uploads(spark):
     assert out == [
         ("a.csv", "9", "a_19700101_000020.csv"), ("c.csv", "3", "c.csv"), ("c.csv", "4", "c_19700101_000040.csv"), ("d", "5", "d"),
     ]
+
+
+@pytest.mark.parametrize("n", [0, 1, 400, 30_000])
+def test_split_by_keys_loses_no_row(spark, n):
+    rows = spark.range(40_000).select(F.when(F.col("id") % 100 > 0, F.col("id")).alias("k"), (F.col("id") % 7).cast("string").alias("s"))
+    keys = spark.range(n).select((F.col("id") * 5).alias("k"), (F.col("id") * 5 % 7).cast("string").alias("s"))
+    maybe, never = keyed.split_by_keys(rows, keys, ["k", "s"])
+    assert maybe.columns == never.columns == rows.columns
+    assert maybe.unionByName(never).exceptAll(rows).isEmpty() and maybe.count() + never.count() == 40_000
+    assert never.join(keys, ["k", "s"], "left_semi").isEmpty()
+    assert maybe.count() < min(n, 8000) + 4000
+
+
+def test_staged_tables_are_dropped(spark):
+    with session.staged_paths() as outer:
+        with session.staged_paths() as made:
+            table = session.stage(spark.range(5), "numbers")
+        assert table.count() == 5 and len(made) == 1 and outer == made
+    session.drop_staged(spark, made)
+    session.drop_staged(spark, made)
+    assert not os.path.exists(made[0].removeprefix("file:"))
+
+
+def test_edits_of_many_rows_bypass_the_shuffle(spark, monkeypatch):
+    rows = [(i, f"a{i}", i % 5 or None) for i in range(3000)]
+    changes = [(i * 7, f, f"new{i}", s) for i in range(400) for f, s in (("name", 1), ("name", 0), ("n", 3), ("unknown", 1))] + [(99_999, "name", "x", 1)]
+    changes = [(r, f, "8" if f == "n" else v, s) for r, f, v, s in changes]
+    df = spark.createDataFrame(rows, "row_id long, name string, n int")
+    log = spark.createDataFrame(changes, "row_id long, field string, value string, seq long")
+    near = edits.apply_edits(df, log)
+    want = sorted(near.data.collect())
+    monkeypatch.setattr(edits, "fits_broadcast", lambda table: False)
+    far = edits.apply_edits(df, log)
+    assert sorted(far.data.collect()) == want and want[7] == (7, "new1", 8) and want[8] == rows[8]
+    assert near.applied.first()[0] == far.applied.first()[0] == 1200
+
+
+def test_compare_tables_counts_repeated_rows(spark):
+    rng = random.Random(8)
+    make = lambda n: [(rng.choice([None, "", "a", "b"]), rng.choice([None, 1, 2])) for _ in range(n)]
+    left, right = make(300), make(260)
+    got = edits.compare_tables(spark.createDataFrame(left, "a string, b int").withColumn("l", F.lit(1)), spark.createDataFrame(right, "a string, b int")).first()
+    one, two = Counter(left), Counter(right)
+    assert (got.left_rows, got.right_rows, got.left_only_rows, got.right_only_rows) == (300, 260, sum((one - two).values()), sum((two - one).values()))
+    assert (got.columns_left_only, got.columns_right_only, got.row_difference) == ("l", "", 40)
+    empty = edits.compare_tables(spark.createDataFrame([], "a string"), spark.createDataFrame([], "b string")).first()
+    assert (empty.left_rows, empty.left_only_rows) == (0, 0)

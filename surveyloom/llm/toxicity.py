@@ -8,6 +8,7 @@ and their beginnings are scored by a logistic model over those that tell the lab
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -15,17 +16,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.llm.common import stage
+from surveyloom.operators.keyed import split_by_keys
 
 FOLDS = 5
 #: Beginnings of words that are features, besides whole words.
-STEMS = (3, 4, 5, 6, 7)
+STEMS = (3, 4, 5, 6)
 FEATURES = 512
-#: Labelled rows, of the smallest hashes, that the weights of the features are fitted on.
+#: Labelled rows, drawn by a hash of the id, that the weights of the features are fitted on.
 FIT_ROWS = 20_000
 RIDGE = 1.0
 CACHE = 1 << 18
@@ -105,6 +106,14 @@ def costs(counts: np.ndarray) -> np.ndarray:
     return -np.log(p).astype(np.float32)
 
 
+def _looks(low: str) -> tuple[bool, bool]:
+    """Whether any character comes three times in a row, and whether three single characters stand between blanks."""
+    points = np.frombuffer(f" {low} ".encode("utf-32-le", "replace"), np.uint32)
+    same = points[1:] == points[:-1]
+    blank = (points == 32) | ((points >= 9) & (points <= 13))
+    return bool((same[1:] & same[:-1]).any()), bool((blank[:-6] & blank[2:-4] & blank[4:-2] & blank[6:]).any())
+
+
 class Restorer:
     """Viterbi decoder of tokens; results are kept for tokens met before."""
 
@@ -114,22 +123,26 @@ class Restorer:
 
     def words(self, text: str | None) -> list[str]:
         """The words of the restored text, lower-cased, those spelled with blanks first. Tokens of letters alone stay as they are."""
-        low = _RUNS.sub(" ", (text or "").lower())
+        low = (text or "").lower()
         out: list[str] = []
-        if _SPACED.search(low):
+        runs, spaced = _looks(low)
+        if runs:
+            low = _RUNS.sub(" ", low)
+        if spaced:
             for run in _SPACED.findall(low):
                 out += self.restored(run)
             low = _SPACED.sub(" ", low)
-        plain = not _TRIPLE.search(low)
+        plain = not (runs and _TRIPLE.search(low))
         for token in low.split():
             if token.isalpha() and plain:
                 out.append(token)
                 continue
-            bare = token.strip(_EDGE)
-            if bare.isalpha() and bare == token.rstrip(_EDGE) and (plain or not _TRIPLE.search(bare)):
+            tail = token.rstrip(_EDGE)
+            bare = tail.lstrip(_EDGE)
+            if bare.isalpha() and bare == tail and (plain or not _TRIPLE.search(bare)):
                 out.append(bare)
-            elif any(map(str.isalpha, token)):
-                out += self.restored(token.rstrip(_EDGE))
+            elif any(map(str.isalpha, bare)):
+                out += self.restored(tail)
         return out
 
     def restored(self, token: str) -> tuple[str, ...]:
@@ -184,28 +197,14 @@ class Restorer:
         return "".join(reversed(letters))
 
 
-class _Features(dict):
-    """Hashes of a word and its beginnings, forgotten when there are too many."""
-
-    def __missing__(self, word: str) -> list[int]:
-        if len(self) >= CACHE:
-            self.clear()
-        names = [word + "$", *(word[:k] for k in STEMS if len(word) >= k)]
-        found = self[word] = [xxhash.xxh3_64_intdigest(n.encode("utf-8", "replace")) - (1 << 63) for n in names]
-        return found
-
-
-def feature_counts(words: list[str], known: _Features) -> Counter:
-    out: Counter = Counter()
-    for word, n in Counter(words).items():
-        for f in known[word]:
-            out[f] += n
-    return out
+def beginnings(words: set[str]) -> set[str]:
+    """The features of a text: its distinct words and their beginnings."""
+    return words.union(*({w[:k] for w in words} for k in STEMS))
 
 
 class Model(NamedTuple):
     cost: np.ndarray
-    features: list[int]
+    features: list[str]
     weights: np.ndarray  # one per feature, the last for none
 
 
@@ -214,41 +213,42 @@ def fold(doc_id: Column) -> Column:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic, draw) of the documents that may be learned from; several labels of an id are toxic if one is."""
-    marks = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    learn = docs.where(fold(F.col("doc_id")) != 0).select("doc_id", "text")
-    return learn.join(marks, "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), F.xxhash64("doc_id", F.lit(17)).alias("draw"))
+    """(text, toxic, draw) of the documents that may be learned from; several labels of an id are toxic if one is.
+
+    Only texts that may have a label are shuffled.
+    """
+    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    marks = stage(marks.where(fold(F.col("doc_id")) != 0), "marks")
+    asked, _ = split_by_keys(docs.select("doc_id", "text").where(fold(F.col("doc_id")) != 0), marks.select("doc_id"), ["doc_id"])
+    return asked.join(marks.hint("merge"), "doc_id").select("text", "toxic", (F.xxhash64("doc_id", F.lit(17)) / F.lit(2.0**63)).alias("draw"))
 
 
-def _telling(learn: DataFrame, cost: np.ndarray) -> list[int]:
+def _telling(learn: DataFrame, cost: np.ndarray, clean: int, toxic: int) -> list[str]:
     """The FEATURES features by which the labels differ most (likelihood ratio), from counts over all learnable documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer, known, held = Restorer(cost), _Features(), ({}, {})
+        restorer, held = Restorer(cost), (Counter(), Counter())
 
         def out() -> pd.DataFrame:
             keys = list(held[0].keys() | held[1].keys())
-            sides = [[h.get(k, 0) for k in keys] for h in held]
+            sides = [np.array([h[k] for k in keys], np.int32) for h in held]
             for h in held:
                 h.clear()
-            return pd.DataFrame({"f": np.array(keys, np.int64), "clean": sides[0], "toxic": sides[1]})
+            return pd.DataFrame({"f": keys, "clean": sides[0], "toxic": sides[1]})
 
         for b in batches:
-            for text, toxic in zip(b["text"], b["toxic"]):
-                side = held[toxic]
-                for f in feature_counts(restorer.words(text), known):
-                    side[f] = side.get(f, 0) + 1
+            for text, side in zip(b["text"], b["toxic"]):
+                held[side].update(beginnings(set(restorer.words(text))))
                 if len(held[0]) + len(held[1]) > 2 * CACHE:
                     yield out()
         yield out()
 
-    counted = learn.select("text", "toxic").mapInPandas(run, "f long, clean long, toxic long")
+    counted = learn.select("text", "toxic").mapInPandas(run, "f string, clean int, toxic int")
     counted = counted.groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    size = learn.agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic")).first()
-    n = {k: float(size[k]) for k in ("clean", "toxic")}
+    n = {"clean": float(clean), "toxic": float(toxic)}
     seen = F.col("clean") + F.col("toxic")
     term = lambda held, of, share: F.when(held > 0, held * F.log(held / (F.lit(of) * share))).otherwise(0.0)
-    everyone = max(sum(n.values()), 1.0)
+    everyone = max(clean + toxic, 1)
     ratio = sum(
         (term(F.col(k), n[k], seen / everyone) + term(n[k] - F.col(k), n[k], 1 - seen / everyone) for k in ("clean", "toxic")), F.lit(0.0)
     )
@@ -256,15 +256,28 @@ def _telling(learn: DataFrame, cost: np.ndarray) -> list[int]:
     return [r["f"] for r in best.collect()]
 
 
-def _values(words: list[str], known: _Features, place: dict[int, int]) -> dict[int, float]:
+class _Places(dict):
+    """Places of a word's features in the model, forgotten when there are too many."""
+
+    def __init__(self, features: list[str]):
+        super().__init__()
+        self.at = {f: i for i, f in enumerate(features)}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= CACHE:
+            self.clear()
+        names = {word, *(word[:k] for k in STEMS)}
+        found = self[word] = tuple(self.at[f] for f in names if f in self.at)
+        return found
+
+
+def _values(words: list[str], places: _Places) -> dict[int, float]:
     """Feature values of a text: logarithms of counts, and of counts a thousand words."""
     found: dict[int, int] = {}
-    for word, n in Counter(words).items():
-        for f in known[word]:
-            at = place.get(f)
-            if at is not None:
-                found[at] = found.get(at, 0) + n
-    return {at: float(np.log1p(n) + np.log1p(1000.0 * n / len(words))) for at, n in found.items()}
+    for word in words:
+        for at in places[word]:
+            found[at] = found.get(at, 0) + 1
+    return {at: math.log1p(n) + math.log1p(1000.0 * n / len(words)) for at, n in found.items()}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 25) -> np.ndarray:
@@ -283,44 +296,46 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 2
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Character model from all texts, features from all learnable documents, weights from ``fit_rows`` of them at most.
+    """Character model from all texts, features from all learnable documents, weights from about ``fit_rows`` of them at most.
 
     Without labels of both kinds every score is the share of toxic ones (0 without any).
     """
     cost = character_model(docs)
     learn = stage(_labelled(docs, labels), "learn")
-    features = _telling(learn, cost)
-    place = {f: i for i, f in enumerate(features)}
+    size = learn.agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic")).first()
+    both = size["clean"] > 0 and size["toxic"] > 0
+    features = _telling(learn, cost, size["clean"], size["toxic"]) if both else []
+    if not both:
+        return Model(cost, features, np.array([30.0 if size["toxic"] else -30.0]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer, known = Restorer(cost), _Features()
+        restorer, places = Restorer(cost), _Places(features)
         for b in batches:
-            rows = [_values(restorer.words(t), known, place) for t in b["text"]]
+            rows = [_values(restorer.words(t), places) for t in b["text"]]
             yield pd.DataFrame({"toxic": b["toxic"], "at": [list(r) for r in rows], "value": [list(r.values()) for r in rows]})
 
-    sample = learn.orderBy("draw").limit(fit_rows)
+    # rows of one id share their draw; the fraction of draws is that of the rows wanted
+    part = min(1.0, fit_rows / (size["clean"] + size["toxic"]))
+    sample = learn.where(F.col("draw") <= 2 * part - 1)
     found = sample.mapInPandas(run, "toxic int, at array<int>, value array<double>").toPandas()
     x = np.zeros((len(found), len(features)))
     for row, (at, value) in enumerate(zip(found["at"], found["value"])):
         x[row, np.asarray(at, np.int64)] = value
     y = found["toxic"].to_numpy(np.float64)
     if not len(y) or y.min() == y.max():
-        weights = np.zeros(len(features) + 1)
-        weights[-1] = 30.0 if len(y) and y[0] else -30.0
-    else:
-        weights = logistic(x, y)
-    return Model(cost, features, weights)
+        share = size["toxic"] / (size["clean"] + size["toxic"])
+        return Model(cost, [], np.array([math.log(share / (1 - share))]))
+    return Model(cost, features, logistic(x, y))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, restored words, score) of every document."""
-    place = {f: i for i, f in enumerate(model.features)}
+    """(doc_id, score) of every document."""
     weights = model.weights.tolist()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer, known = Restorer(model.cost), _Features()
+        restorer, places = Restorer(model.cost), _Places(model.features)
         for b in batches:
-            totals = [sum(weights[at] * v for at, v in _values(restorer.words(t), known, place).items()) + weights[-1] for t in b["text"]]
+            totals = [sum(weights[at] * v for at, v in _values(restorer.words(t), places).items()) + weights[-1] for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": 1 / (1 + np.exp(-np.clip(totals, -30, 30)))}).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double")

@@ -85,7 +85,7 @@ def test_disguises_are_undone(cost):
 
 def test_held_out_documents(spark):
     rows, labels = corpus()
-    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in ("toxic", "draw", "score", "f", "held_out")}).repartition(4)
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in ("toxic", "draw", "score", "f", "held_out", "_at", "_bucket")}).repartition(4)
     got = toxicity.judge(docs, spark.createDataFrame(labels, LABELS).withColumn("text", F.lit("x"))).collect()
     toxic = dict((i, t) for i, _, t in labels)
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)

@@ -480,16 +480,31 @@ def _rebuilt(spark, sf_dir) -> str:
 )
 def library_rebuild(spark, sf_dir):
     root = _rebuilt(spark, sf_dir)
-    read = spark.read.parquet
+    strict, prob, ambiguous = (learning.library_table(spark, root, t) for t in ("strict", "prob", "ambiguous"))
     return (
-        read(f"{root}/strict").select(F.lit("strict").alias("library"), "name", "gender", F.col("count").alias("n"))
-        .unionByName(read(f"{root}/prob").select(F.lit("prob").alias("library"), "name", "gender", F.col("total").alias("n")))
-        .unionByName(
-            read(f"{root}/ambiguous").select(F.lit("ambiguous").alias("library"), "name", F.col("reason").alias("gender"), F.col("total").alias("n"))
-        )
+        strict.select(F.lit("strict").alias("library"), "name", "gender", F.col("count").alias("n"))
+        .unionByName(prob.select(F.lit("prob").alias("library"), "name", "gender", F.col("total").alias("n")))
+        .unionByName(ambiguous.select(F.lit("ambiguous").alias("library"), "name", F.col("reason").alias("gender"), F.col("total").alias("n")))
     )
 
 
+@check(
+    "flow_12_library_releases",
+    f"""WITH {EVIDENCE}, {_LIB}, e AS (SELECT name, sum(male) AS m, sum(female) AS f FROM per_file WHERE source_file <> 'f0.csv' GROUP BY name)
+ SELECT 1 AS release, name, CASE WHEN m > 0 THEN 'male' ELSE 'female' END AS gender, (m + f)::BIGINT AS n FROM e WHERE (m = 0 OR f = 0) AND m + f >= 2
+ UNION ALL SELECT 2, name, gender, count FROM strict""",
+)
+def library_releases(spark, sf_dir):
+    """The strict library before and after the second step, both still readable; a rebuild without news and one that is lost release nothing."""
+    root = _rebuilt(spark, sf_dir)
+    tier = _tiers(spark, sf_dir)
+    assert learning.rebuild(spark, root, tier, tier, name="first_raw", gender="gender_raw")["status"] == "no_changes"
+    lost = learning.rebuild(spark, root, tier, tier, full=True, name="first_raw", gender="no_such_column")
+    assert (lost["status"], lost["version"]) == ("partial", 2)
+    each = [learning.library_table(spark, root, "strict", n).select(F.lit(n).alias("release"), "name", "gender", F.col("count").alias("n")) for n in (1, 2)]
+    return each[0].unionByName(each[1])
+
+
 @check(
     "flow_13_library_status",
     f"""WITH {EVIDENCE} SELECT tier, source_file AS file_name, CASE WHEN source_file = 'f0.csv' THEN 'NEW' ELSE 'MODIFIED' END AS status

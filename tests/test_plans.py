@@ -1,11 +1,15 @@
 """Runs: modes, audit, engines, records, learning."""
 
+import functools
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from surveyloom.operators import library
 from surveyloom.plans import batch, engines, learning, records
 from surveyloom.plans.context import Context
+from surveyloom.sources import sinks, versions
 from surveyloom.plans.survey import SurveyConfig, audit_tables, merged_table, review_table, run_summary, run_survey, write_run
 
 COLUMNS = ["row_id", "Unique Key", "farmer_name", "father_spouse_name", "SubmissionDate", "date_of_survey", "district", "Village Name", "gender", "category", "contact_number", "mgnrega"]
@@ -162,10 +166,10 @@ def test_incremental_rebuild_equals_full(spark, tmp_path):
     assert report["status"] == "success" and report["new_verified"] == 2 and report["new_unverified"] == 0
     learning.rebuild(spark, fresh, evidence_rows(spark, verified), evidence_rows(spark, noisy), full=True)
     for name in ("strict", "ambiguous", "prob"):
-        a, b = spark.read.parquet(f"{root}/{name}"), spark.read.parquet(f"{fresh}/{name}")
+        a, b = learning.library_table(spark, root, name), learning.library_table(spark, fresh, name)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    assert [r["name"] for r in spark.read.parquet(f"{root}/strict").collect()] == ["asha"]
-    prob = spark.read.parquet(f"{root}/prob").collect()
+    assert [r["name"] for r in learning.library_table(spark, root, "strict").collect()] == ["asha"]
+    prob = learning.library_table(spark, root, "prob").collect()
     assert [(r["name"], r["confidence"]) for r in prob] == [("neel", 0.95)]
     assert learning.rebuild(spark, root, evidence_rows(spark, verified), evidence_rows(spark, noisy), dry_run=True)["new_verified"] == 0
     files = evidence_rows(spark, {**verified, "c.csv": []}).files
@@ -185,6 +189,56 @@ def test_failing_tier_is_reported(spark, tmp_path):
     assert report["status"] == "partial" and report["strict_error"] and report["prob_entries"] == 1
 
 
+class Lost(BaseException):
+    """Ends a rebuild as a lost driver does."""
+
+
+def test_rebuild_lost_after_any_write_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "lib")
+    old, new = {"a.csv": [("asha", "female")] * 2}, {"a.csv": [("asha", "female")] * 2, "b.csv": [("ravi", "male")] * 3}
+    noisy = {"n.csv": [("neel", "male")] * 4}
+    learning.rebuild(spark, root, evidence_rows(spark, old), evidence_rows(spark, noisy))
+
+    def seen():
+        names = {t: sorted(learning.library_table(spark, root, t).collect()) for t in ("strict", "prob", "ambiguous")}
+        status = learning.library_status(spark, root, evidence_rows(spark, new).files, evidence_rows(spark, noisy).files)
+        return names, sorted(status.collect())
+
+    before = seen()
+    for last in range(10):  # 9 tables and the commit
+        left = [last]
+
+        def lose(*args, left=left, do=None, **kw):
+            if not left[0]:
+                raise Lost
+            left[0] -= 1
+            return do(*args, **kw)
+
+        with monkeypatch.context() as m:
+            for module, name in ((learning, "write_table"), (learning, "write_library"), (versions, "commit")):
+                m.setattr(module, name, functools.partial(lose, do=getattr(module, name)))
+            with pytest.raises(Lost):
+                learning.rebuild(spark, root, evidence_rows(spark, new), evidence_rows(spark, {**noisy, "m.csv": [("x", "male")]}))
+        assert seen() == before
+    assert learning.rebuild(spark, root, evidence_rows(spark, new), evidence_rows(spark, noisy))["version"] == 2
+    assert [r["name"] for r in learning.library_table(spark, root, "strict").orderBy("name").collect()] == ["asha", "ravi"]
+    assert [r["name"] for r in learning.library_table(spark, root, "strict", 1).collect()] == ["asha"]
+
+
+def test_releases_conflict_and_are_swept(spark, tmp_path):
+    root = str(tmp_path / "set")
+    put = lambda base, n: versions.commit(spark, base, {"t": sinks.write_table(spark.range(n), f"{root}/v-{n}").removeprefix(f"{root}/")})
+    one = put(versions.latest(spark, root), 1)
+    two = put(one, 2)
+    with pytest.raises(versions.Conflict):
+        put(one, 3)
+    three = put(two, 4)
+    assert versions.latest(spark, root) == three and versions.numbers(spark, root) == [1, 2, 3]
+    assert versions.sweep(spark, root, keep=2) == ["v-1"] and versions.numbers(spark, root) == [2, 3]
+    assert os.path.exists(f"{root}/v-3") and versions.sweep(spark, root, keep=2, orphan_hours=-1) == ["v-3"]
+    assert versions.read(spark, two, "t", "id long").count() == 2 and versions.read(spark, three, "none", "id long").count() == 0
+
+
 def test_votes_and_flags_stay_within_a_file(spark):
     from surveyloom.operators import audit, vote
 

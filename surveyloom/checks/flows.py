@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import StreamingQueryException
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from surveyloom.checks import sql as S
@@ -583,77 +584,107 @@ def _streamed_files(spark, sf_dir, files_per_batch: int):
     return folder.folder_stream(spark, path, _TEXT, files_per_batch=files_per_batch)
 
 
-@check("str_5_newest_per_key_stream", f"WITH {SURVEY} {S.newest('survey', KEY, DATE, columns='row_id, unique_key, submission_date, person_name')[1:-1]}")
+_NEWEST = f"WITH {SURVEY} {S.newest('survey', KEY, DATE, columns='row_id, unique_key, submission_date, person_name')[1:-1]}"
+
+
+@check("str_5_newest_per_key_stream", _NEWEST)
 def newest_stream(spark, sf_dir):
     stream = _streamed_files(spark, sf_dir, 1).withColumn("row_id", F.col("row_id").try_cast("long"))
-    out, checkpoint = scratch_path(spark, "state"), scratch_path(spark, "state-checkpoint")
-    folder.newest_per_key_stream(stream, KEY, DATE, out, checkpoint).awaitTermination()
-    folded = folder.compact(spark, out, scratch_path(spark, "state-folded"), KEY, DATE)
-    return spark.read.parquet(folded).select("row_id", KEY, DATE, NAME)
+    checkpoint = scratch_path(spark, "state")
+    folder.newest_per_key_stream(stream, KEY, DATE, checkpoint).awaitTermination()
+    return folder.current_state(spark, checkpoint).select("row_id", KEY, DATE, NAME)
 
 
-def _process(spark, sf_dir, twice: bool):
-    path = scratch_path(spark, "stream-in")
-    sinks.write_table(survey(spark, sf_dir).select(*_TEXT[1:]).repartition(2), path, "csv")
-    out, checkpoint = scratch_path(spark, "folder-out"), scratch_path(spark, "folder-checkpoint")
-    config = SurveyConfig(key="no_key", name=NAME, guardian=GUARDIAN, date=DATE, district="district", spell_enabled=False, correct_fields=("gender",), scope=("source_file",))
-    for _ in range(2 if twice else 1):
-        stream = folder.folder_stream(spark, path, _TEXT[1:])
-        folder.process_folder(stream, config, out, checkpoint, context=Context.selective(["gender"], ["auto_correct", "auto_correct_gender"])).awaitTermination()
-    return spark.read.parquet(f"{out}/cleaned")
+@check("str_3_poll_interval", _NEWEST)
+def poll_interval(spark, sf_dir):
+    """The same state from a query that polls the folder until it is stopped."""
+    stream = _streamed_files(spark, sf_dir, 2).withColumn("row_id", F.col("row_id").try_cast("long"))
+    checkpoint = scratch_path(spark, "state")
+    query = folder.newest_per_key_stream(stream, KEY, DATE, checkpoint, every="1 second")
+    query.processAllAvailable()
+    query.stop()
+    return folder.current_state(spark, checkpoint).select("row_id", KEY, DATE, NAME)
 
 
+# Folders of files by every rule of the run: key, both names spelled, dates, contacts.
+_FILE_COLUMNS = ("source_row", KEY, DATE, NAME, GUARDIAN, "gender", "category", "district", "village", "contact_number", "job_card", "survey_date")
+_EVERY_RULE = replace(CONFIG, spell_columns=None)
 # Blank cells of a delimited file arrive as nulls.
-_STREAM_RESULT = f"WITH {_RAW}, survey AS (SELECT * REPLACE (nullif(gender, '') AS gender) FROM raw), {S.gender('survey', NAME)}, {S.gender_fix('survey')} SELECT unique_key, person_name, new_value AS gender, count(*) AS n FROM survey JOIN fix_gender USING (row_id) GROUP BY ALL"
+_AS_FILES = _RAW.replace("raw AS (", "written AS (", 1) + ", raw AS (SELECT * REPLACE (nullif(gender, '') AS gender, nullif(category, '') AS category, nullif(survey_date, '') AS survey_date) FROM written)"
+_FILE_BATCH = f"RECURSIVE {_AS_FILES}, {_PER_FILE}, {_CHANGES}, {_FORMATTED}, {S.spelling('formatted', NAME)}"
+_FILE_RESULT = f"WITH {_FILE_BATCH} {_RESULT}"
 
 
-def _tally(df):
-    return df.groupBy(KEY, NAME, "gender").agg(F.count(F.lit(1)).alias("n"))
+def _put(spark, sf_dir, path: str, files: range, other_order: bool = False, **options) -> None:
+    """One file per source file of the survey table; every second one has another order of columns and one more."""
+    rows = survey(spark, sf_dir).withColumn("source_row", F.col("row_id").cast("string"))
+    for k in files:
+        columns = [*reversed(_FILE_COLUMNS), "vote_gender"] if k % 2 else _FILE_COLUMNS
+        one = rows.where(F.col("source_file") == f"file_{k}.csv").repartitionByRange(1, "row_id").sortWithinPartitions("row_id").select(*columns)
+        one.write.mode("append").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **options).csv(path)
 
 
-@check("str_1_continuous_folder", _STREAM_RESULT)
-def continuous_folder(spark, sf_dir):
-    return _tally(_process(spark, sf_dir, twice=False))
+def _move(spark, source: str, target: str) -> None:
+    """Move the one data file of a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    found = [f for f in tables.list_files(spark, source)]
+    place = path(target)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(place.getParent())
+    fs.delete(place, False)
+    fs.rename(path(found[0]), place)
 
 
-@check("str_2_each_file_once", _STREAM_RESULT)
-def each_file_once(spark, sf_dir):
-    return _tally(_process(spark, sf_dir, twice=True))
+def _poll(spark, path: str, out: str, checkpoint: str, files_per_batch: int = 2) -> None:
+    stream = folder.arrivals(spark, path, files_per_batch=files_per_batch)
+    folder.process_folder(stream, _EVERY_RULE, out, checkpoint, columns=_FILE_COLUMNS).awaitTermination()
 
 
-@check("str_3_poll_interval", f"WITH {SURVEY} {S.newest('survey', KEY, DATE, columns='row_id, unique_key, submission_date, person_name')[1:-1]}")
-def poll_interval(spark, sf_dir):
-    """The same state from a query that polls the folder until it is stopped."""
-    stream = _streamed_files(spark, sf_dir, 2).withColumn("row_id", F.col("row_id").try_cast("long"))
-    out, checkpoint = scratch_path(spark, "state"), scratch_path(spark, "state-checkpoint")
-    query = folder.newest_per_key_stream(stream, KEY, DATE, out, checkpoint, every="1 second")
-    query.processAllAvailable()
-    query.stop()
-    return folder.current_state(spark, out, KEY, DATE).select("row_id", KEY, DATE, NAME)
+def _cleaned(spark, out: str):
+    rows = spark.read.parquet(f"{out}/cleaned")
+    return rows.select(F.col("source_row").cast("long").alias("row_id"), KEY, DATE, NAME, "gender", "category")
 
 
-@check("str_4_failed_batch_replayed", f"WITH {SURVEY} {S.newest('survey', KEY, DATE, columns='row_id, unique_key, submission_date, person_name')[1:-1]}")
+@check("str_1_continuous_folder", _FILE_RESULT)
+def continuous_folder(spark, sf_dir):
+    path, out, checkpoint = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "checkpoint"))
+    _put(spark, sf_dir, path, range(4))
+    _poll(spark, path, out, checkpoint)
+    return _cleaned(spark, out)
+
+
+@check("str_2_each_file_once", _FILE_RESULT)
+def each_file_once(spark, sf_dir):
+    """Two polls, the second with a copy of a known file under another name; a namesake in a folder of its own is another file."""
+    path, out, checkpoint = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "checkpoint"))
+    for k in range(3):
+        _put(spark, sf_dir, f"{path}-{k}", range(k, k + 1))
+        _move(spark, f"{path}-{k}", f"{path}/{k}/data.CSV")
+    _poll(spark, f"{path}/*", out, checkpoint)
+    _put(spark, sf_dir, f"{path}-copy", range(1, 2))
+    _move(spark, f"{path}-copy", f"{path}/2/copy.csv")
+    _put(spark, sf_dir, f"{path}-3", range(3, 4))
+    _move(spark, f"{path}-3", f"{path}/1/data2.csv")
+    _poll(spark, f"{path}/*", out, checkpoint)
+    return _cleaned(spark, out)
+
+
+@check("str_4_failed_batch_replayed", _FILE_RESULT)
 def failed_batch_replayed(spark, sf_dir):
-    """A batch that fails after writing is replayed on restart and leaves no second copy."""
-    path = scratch_path(spark, "stream-in")
-    sinks.write_table(survey(spark, sf_dir).select(*_TEXT).repartition(3, "row_id"), path, "csv")
-    out, checkpoint = scratch_path(spark, "state"), scratch_path(spark, "state-checkpoint")
-
-    def stream():
-        return folder.folder_stream(spark, path, _TEXT, files_per_batch=1).withColumn("row_id", F.col("row_id").try_cast("long"))
-
-    def failing(batch, batch_id):
-        sinks.write_table(batch.drop("source_path"), f"{out}/batch_id={batch_id}")
-        if batch_id == 1:
-            raise RuntimeError("executor lost")
-
-    broken = stream().writeStream.foreachBatch(failing).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    try:
-        broken.awaitTermination()
-    except StreamingQueryException:
-        pass
-    folder.newest_per_key_stream(stream().drop("source_path"), KEY, DATE, out, checkpoint).awaitTermination()
-    return folder.current_state(spark, out, KEY, DATE).select("row_id", KEY, DATE, NAME)
+    """An unreadable file is listed and read on a later poll, once it is repaired in place and without arriving anew."""
+    path, out, checkpoint = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "checkpoint"))
+    _put(spark, sf_dir, path, range(3))
+    sinks.write_table(spark.range(1).select(F.lit("not gzip").alias("x")), f"{path}-broken", "csv")
+    _move(spark, f"{path}-broken", f"{path}/last.csv.gz")
+    _poll(spark, path, out, checkpoint)
+    _poll(spark, path, out, checkpoint)
+    tries = folder.ledger(spark, out).collect()
+    assert [(r["status"], r["attempts"]) for r in tries] == [("failed", 2)], tries
+    _put(spark, sf_dir, f"{path}-whole", range(3, 4), compression="gzip")
+    _move(spark, f"{path}-whole", f"{path}/last.csv.gz")
+    _poll(spark, path, out, checkpoint)
+    assert [r["status"] for r in folder.ledger(spark, out).collect()] == ["success"]
+    return _cleaned(spark, out)
 
 
 @check("snk_10_archive", _TEXT_SQL)

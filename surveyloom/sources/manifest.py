@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surveyloom.sources.inspect import inspect_files
+from surveyloom.sources.tables import base_name, is_supported, list_files
+
 MANIFEST_SCHEMA = "file_name string, checksum string, total_rows long, pair_count long, ingested_at timestamp"
 
 
@@ -13,12 +16,10 @@ def checksum(content: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.left(F.sha2(content, 256), F.lit(16)))
 
 
-def folder_checksums(spark: SparkSession, path: str, pattern: str = "*.[cCtT][sS][vV]") -> DataFrame:
-    """(file_name, checksum) of the files of a folder, hashed on the executors."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), checksum(F.col("content")).alias("checksum")
-    )
+def folder_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, checksum, length) of the supported files of a folder, read as streams by the executors."""
+    found = inspect_files(spark, [p for p in list_files(spark, path) if is_supported(p)], checksums=True)
+    return found.select(base_name("path").alias("file_name"), "checksum", "length")
 
 
 def file_status(current: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -3,91 +3,32 @@
 from __future__ import annotations
 
 import csv
-import re
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from surveyloom.sources.inspect import SUFFIX, inspect_files, metadata_path
+
 # The supported file types and the six fields of a record.
 EXTENSIONS = (".csv", ".tsv")
 RECORD_FIELDS = ("farmer_name", "father_or_spouse", "contact_number", "mgnrega_card", "gender", "category")
 PROFILE_ROWS = 500
 CORRUPT = "_corrupt_record"
-HEADER_READERS = 16
-_SUFFIX = re.compile(r"\.(csv|tsv)(\.(?:gz|bz2|zst|lz4|snappy|deflate))?$", re.I)
 
 
 def string_schema(columns: Sequence[str]) -> StructType:
     return StructType([StructField(c, StringType()) for c in columns])
 
 
-class Header(NamedTuple):
-    """First line of a file: its column names, or why there are none."""
-
-    path: str
-    columns: tuple[str, ...]
-    status: str
-    error: str | None
-
-
 def is_supported(path: str) -> bool:
-    return _SUFFIX.search(path) is not None
-
-
-def _separator(path: str) -> str:
-    return "," if _SUFFIX.search(path)[1].lower() == "csv" else "\t"
-
-
-def _header(spark: SparkSession, path: str) -> Header:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    try:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        stream = place.getFileSystem(conf).open(place)
-        try:
-            codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
-            plain = codec.createInputStream(stream) if codec else stream
-            line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8")).readLine()
-        finally:
-            stream.close()
-    except Exception as error:  # noqa: BLE001  the reason goes into the table of outcomes
-        missing = "FileNotFound" in str(error) or "does not exist" in str(error)
-        return Header(path, (), "missing" if missing else "failed", str(error).splitlines()[-1][:500])
-    if line is None:
-        return Header(path, (), "empty", None)
-    cells = next(csv.reader([line.removeprefix("\ufeff")], delimiter=_separator(path) if is_supported(path) else ","), [])
-    return Header(path, tuple(c.strip() for c in cells), "success", None)
-
-
-def headers(spark: SparkSession, paths: Sequence[str]) -> list[Header]:
-    """Headers of many files; the first block of each is opened, some at a time."""
-    with ThreadPoolExecutor(HEADER_READERS) as pool:
-        return list(pool.map(lambda p: _header(spark, p), paths))
+    return SUFFIX.search(path) is not None
 
 
-def _whole(spark: SparkSession, found: list[Header]) -> list[Header]:
-    """Compressed files can end early, which only a full read shows: each one that does is set to failed.
-
-    A file is broken if reading it alone fails; sets of files that can't be read are halved until then.
-    """
-    errors: dict[str, str] = {}
-    pending = [sorted({h.path for h in found if h.status == "success" and _SUFFIX.search(h.path)[2]})]
-    while pending:
-        paths = pending.pop()
-        if not paths:
-            continue
-        try:
-            spark.read.option("ignoreCorruptFiles", False).text(paths).agg(F.count("*")).collect()
-        except Exception as error:  # noqa: BLE001
-            told = str(error)
-            if len(paths) == 1:
-                errors[paths[0]] = "unreadable: " + next((x for x in told.splitlines() if "xception" in x), told)[:400]
-            else:
-                pending += [paths[: len(paths) // 2], paths[len(paths) // 2 :]]
-    return [h._replace(status="failed", error=errors[h.path]) if h.path in errors else h for h in found]
+def base_name(path: str) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
 
 
 def _by_name(spark: SparkSession, paths: list[str], sep: str, layout: tuple[str, ...], columns: Sequence[str], **options: str) -> DataFrame:
@@ -101,19 +42,26 @@ def _by_name(spark: SparkSession, paths: list[str], sep: str, layout: tuple[str,
         .options(**{"mode": "PERMISSIVE", **options}).schema(string_schema([*names, CORRUPT])).csv(paths)
     )
     chosen = [(F.col(f"`{c}`") if c in names else F.lit(None).cast("string")).alias(c) for c in columns]
-    return table.select(*chosen, CORRUPT, F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("source_path"))
+    named = table.select(*chosen, CORRUPT, metadata_path().alias("source_path"))
+    return named.select(*columns, CORRUPT, base_name("source_path").alias("source_file"), "source_path")
+
 
+def _layouts(found: DataFrame) -> list[tuple[tuple[str, ...], bool, list[str]]]:
+    """(columns, multi_line, paths) of the readable files: a row per distinct layout, whatever the number of files."""
+    good = found.where("status = 'success'").groupBy("columns", "multi_line").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    return sorted((tuple(r["columns"]), r["multi_line"], r["paths"]) for r in good.collect())
 
-def read_headed(spark: SparkSession, found: Sequence[Header], columns: Sequence[str], **options: str) -> DataFrame:
-    """All successful files as one table: ``columns``, ``_corrupt_record``, source_file and source_path.
 
-    One reader per distinct layout; options go to the readers, such as multiLine="true" for line breaks in quoted cells.
+def read_inspected(spark: SparkSession, found: DataFrame, columns: Sequence[str], **options: str) -> DataFrame:
+    """All readable files of ``inspect_files`` as one table: ``columns``, ``_corrupt_record``, source_file and source_path.
+
+    One reader per distinct layout. Files with line breaks in quoted cells are read whole by a task each,
+    others are split. Further options go to the readers.
     """
-    layouts: dict[tuple, list[str]] = {}
-    for h in found:
-        if h.status == "success":
-            layouts.setdefault((_separator(h.path), h.columns), []).append(h.path)
-    frames = [_by_name(spark, paths, sep, layout, columns, **options) for (sep, layout), paths in sorted(layouts.items())]
+    frames = []
+    for sep in (",", "\t"):
+        mine = found.where(F.col("path").rlike(r"(?i)\.tsv(\.[a-z0-9]+)?$") == (sep == "\t"))
+        frames += [_by_name(spark, paths, sep, layout, columns, **({"multiLine": "true"} if multi else {}) | options) for layout, multi, paths in _layouts(mine)]
     if not frames:
         return spark.createDataFrame([], string_schema([*columns, CORRUPT, "source_file", "source_path"]))
     table = frames[0]
@@ -122,12 +70,6 @@ def read_headed(spark: SparkSession, found: Sequence[Header], columns: Sequence[
     return table
 
 
-def outcomes(spark: SparkSession, found: Sequence[Header]) -> DataFrame:
-    """(source_file, status, error) per file: success, empty, missing or failed."""
-    rows = [(h.path.rsplit("/", 1)[-1], h.status, h.error) for h in found]
-    return spark.createDataFrame(rows, "source_file string, status string, error string")
-
-
 class FileSet(NamedTuple):
     rows: DataFrame
     outcomes: DataFrame
@@ -136,39 +78,36 @@ class FileSet(NamedTuple):
 def read_file_set(spark: SparkSession, paths: Sequence[str], columns: Sequence[str], **options: str) -> FileSet:
     """Rows of all readable files and the outcome of every supported one.
 
-    A broken, empty or missing file stops no other and is never cut short in silence.
+    Files are told apart by their full path (source_path); base names may repeat. A broken, empty or
+    missing file stops no other and is never cut short in silence.
     """
-    found = _whole(spark, headers(spark, [p for p in sorted(paths) if is_supported(p)]))
-    return FileSet(read_headed(spark, found, columns, **options), outcomes(spark, found))
+    found = inspect_files(spark, [p for p in paths if is_supported(p)])
+    return FileSet(read_inspected(spark, found, columns, **options), outcomes(found))
+
+
+def outcomes(found: DataFrame) -> DataFrame:
+    """(source_path, source_file, status, error) per file: success, empty, missing or failed."""
+    return found.select(F.col("path").alias("source_path"), base_name("path").alias("source_file"), "status", "error")
 
 
 def _delimited(spark: SparkSession, paths: str | list[str], sep: str, columns: Sequence[str] | None, **options: str) -> DataFrame:
     if columns is None:
         return spark.read.option("header", True).option("sep", sep).option("escape", '"').options(**options).csv(paths)
     listed = [f for p in ([paths] if isinstance(paths, str) else paths) for f in list_files(spark, p)]
-    found = _headers_as(spark, listed, sep)
-    failed = [h for h in found if h.status in ("failed", "missing")]
+    found = inspect_files(spark, listed)
+    failed = found.where("status IN ('failed', 'missing')").orderBy("path").first()
     if failed:
-        raise OSError(f"{failed[0].path}: {failed[0].error}")
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for h in found:
-        if h.status == "success":
-            layouts.setdefault(h.columns, []).append(h.path)
-    frames = [_by_name(spark, files, sep, layout, columns, **options).select(*columns) for layout, files in sorted(layouts.items())]
+        raise OSError(f"{failed['path']}: {failed['error']}")
+    split = lambda layout: layout if sep == "," or len(layout) != 1 else tuple(c.strip() for c in next(csv.reader([layout[0]], delimiter=sep)))
+    frames = [
+        _by_name(spark, files, sep, split(layout), columns, **({"multiLine": "true"} if multi else {}) | options).select(*columns) for layout, multi, files in _layouts(found)
+    ]
     table = frames[0] if frames else spark.createDataFrame([], string_schema(columns))
     for frame in frames[1:]:
         table = table.unionByName(frame)
     return table
 
 
-def _headers_as(spark: SparkSession, paths: Sequence[str], sep: str) -> list[Header]:
-    """Headers of files of one type whatever their names."""
-    found = headers(spark, paths)
-    if sep == ",":
-        return found
-    return [h if len(h.columns) != 1 else h._replace(columns=tuple(c.strip() for c in next(csv.reader([h.columns[0]], delimiter=sep)))) for h in found]
-
-
 def list_files(spark: SparkSession, path: str) -> list[str]:
     """Data files of a folder, or the file itself; hidden files and subfolders are left out."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -187,11 +126,11 @@ def read_tsv(spark: SparkSession, path: str | list[str], columns: Sequence[str]
 
 
 def read_files(spark: SparkSession, paths: Sequence[str], columns: Sequence[str], **options: str) -> DataFrame:
-    """Many files as one table tagged with ``source_file``; unsupported, missing and broken ones are left out, see ``read_file_set``.
+    """Many files as one table tagged with ``source_file`` and ``source_path``; unsupported, missing and broken ones are left out, see ``read_file_set``.
 
     Broken lines keep their text in ``_corrupt_record``.
     """
-    return read_file_set(spark, paths, columns, **options).rows.drop("source_path")
+    return read_file_set(spark, paths, columns, **options).rows
 
 
 def read_folder(spark: SparkSession, path: str, columns: Sequence[str], **options: str) -> DataFrame:

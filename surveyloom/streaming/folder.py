@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from surveyloom.operators.dedup import newest_per_key
+from surveyloom.functions.temporal import parse_date
 from surveyloom.plans.context import Context
 from surveyloom.plans.survey import SurveyConfig, merged_table, review_table, run_survey
-from surveyloom.session import stage
-from surveyloom.sources.manifest import checksum
+from surveyloom.session import drop_staged, stage, staged_paths
+from surveyloom.sources.inspect import inspect_files, plain_path
 from surveyloom.sources.sinks import write_table
-from surveyloom.sources.tables import exists, read_file_set, string_schema, with_row_ids
+from surveyloom.sources.tables import exists, is_supported, outcomes, read_inspected, string_schema, with_row_ids
 
 FILES_PER_BATCH = 1000
 #: Row ids of a batch start at its number shifted by so many bits, so that they differ between batches.
@@ -54,83 +54,141 @@ def arrivals(spark: SparkSession, path: str, archive: str | None = None, files_p
     return reader.load(path).select(F.col("_metadata.file_path").alias("source_path"))
 
 
-def _content_hashes(spark: SparkSession, listed: list[str]) -> DataFrame:
-    """(source_path, checksum) of the files of a batch, of which there are at most ``files_per_batch``."""
-    files = spark.read.format("binaryFile").load(listed)
-    return files.select(F.col("_metadata.file_path").alias("source_path"), checksum(F.col("content")).alias("checksum"))
+LEDGER_SCHEMA = "source_path string, status string, error string, attempts int, next_try timestamp, batch_id string"
+#: Longest wait between two tries of an unreadable file.
+MOST_WAIT = 86_400
+
+
+def ledger(spark: SparkSession, out: str, but: int | None = None) -> DataFrame:
+    """(source_path, status, error, attempts, next_try): the last try of every file that was ever unreadable, leaving out a batch."""
+    if not exists(spark, f"{out}/ledger"):
+        return spark.createDataFrame([], LEDGER_SCHEMA).drop("batch_id")
+    tries = spark.read.schema(LEDGER_SCHEMA).parquet(f"{out}/ledger")
+    if but is not None:
+        tries = tries.where(F.col("batch_id") != str(but))
+    last = tries.groupBy("source_path").agg(F.max_by(F.struct("status", "error", "attempts", "next_try"), "attempts").alias("last"))
+    return last.select("source_path", "last.*")
+
+
+def due(spark: SparkSession, out: str, most: int = FILES_PER_BATCH, but: int | None = None) -> list[str]:
+    """Unreadable files whose next try has come, the longest overdue first; the rest waits for the next poll."""
+    waiting = ledger(spark, out, but).where("status = 'failed' AND next_try <= current_timestamp()")
+    return [r["source_path"] for r in waiting.orderBy("next_try", "source_path").limit(most).collect()]
+
+
+def _tried(states: DataFrame, before: DataFrame, retry_seconds: float) -> DataFrame:
+    """Ledger entries of a batch: files that are unreadable, or were. The wait doubles with every try."""
+    old = before.select("source_path", F.col("attempts").alias("_attempts"))
+    entries = states.join(old, "source_path", "left").where((F.col("status") == "failed") | F.col("_attempts").isNotNull())
+    attempts = (F.coalesce(F.col("_attempts"), F.lit(0)) + 1).cast("int")
+    wait = F.least(F.lit(float(MOST_WAIT)), F.lit(float(retry_seconds)) * F.pow(F.lit(2.0), F.least(attempts - 1, F.lit(30))))
+    return entries.select("source_path", "status", "error", attempts.alias("attempts"), F.timestamp_seconds(F.unix_timestamp() + wait).alias("next_try"))
 
 
 def process_folder(
     stream: DataFrame, config: SurveyConfig, out: str, checkpoint: str, every: str | None = None, context: Context = Context(),
-    columns: Sequence[str] | None = None,
+    columns: Sequence[str] | None = None, retry_seconds: float = 0.0,
 ) -> StreamingQuery:
     """Run the whole survey plan on every batch of new files, each file on its own.
 
     ``stream`` has a column source_path, as ``arrivals`` and ``folder_stream`` give; the files are read
-    by their headers, ``columns`` being those wanted (by default the other ones of ``stream``). The
-    checkpoint makes each file count once; a content manifest also skips copies of a file under
-    another name. Outputs go to one folder per batch id, so a batch replayed after a failure
-    overwrites what it had written. An unreadable file is listed in ``outcomes`` and holds up no other
-    one; it is not in the manifest, so it is read when it arrives again. Any other failure stops the query
-    and its batch is replayed on restart.
+    by their headers, ``columns`` being those wanted (by default the other ones of ``stream``). Files are
+    known by their full path. The checkpoint makes each file count once; a content manifest also skips copies
+    of a file under another name. Outputs go to one folder per batch id, so a batch replayed
+    after a failure overwrites what it had written.
+
+    An unreadable file is listed in ``outcomes`` and holds up no other one. The ledger keeps it, and it is
+    read again on the next poll after ``retry_seconds`` (doubled with every try), whether it arrives anew
+    or not: with ``every`` each poll joins the files that are due to the arrivals, without it a call first
+    reads those (in batches with negative ids). Any other failure stops the query and its batch is
+    replayed on restart.
     """
     spark = stream.sparkSession
     wanted = list(columns or [c for c in stream.columns if c not in ("source_file", "source_path")])
-    each = replace(config, scope=("source_file",))
+    each = replace(config, scope=("source_path",))
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        listed = sorted(unquote(r[0]) for r in batch.select("source_path").distinct().collect())
-        if not listed:
-            return
-        files = read_file_set(spark, listed, wanted)
-        states = stage(files.outcomes, "outcomes")
-        good = states.where("status = 'success'").select("source_file")
-        hashes = stage(_content_hashes(spark, listed), "hashes")
-        named = hashes.withColumn("source_file", F.url_decode(F.element_at(F.split("source_path", "/"), -1))).join(good, "source_file", "left_semi")
-        first = named.groupBy("checksum").agg(F.min("source_path").alias("source_path"))
+    def take(paths: list[str], batch_id: int) -> None:
+        found = inspect_files(spark, [p for p in paths if is_supported(p)], checksums=True)
+        states = outcomes(found)
+        first = found.where("status = 'success'").groupBy("checksum").agg(F.min("path").alias("source_path"))
         if exists(spark, f"{out}/manifest"):
-            seen = spark.read.parquet(f"{out}/manifest").where(F.col("batch_id") != batch_id).select("checksum")
+            seen = spark.read.schema("checksum string, batch_id string").parquet(f"{out}/manifest").where(F.col("batch_id") != str(batch_id)).select("checksum")
             first = first.join(seen, "checksum", "left_anti")
         first = stage(first, "new-content")
-        fresh = files.rows.join(first.select("source_path"), "source_path", "left_semi").select(*wanted, "source_file")
-        numbered = with_row_ids(fresh, each.row_id).withColumn(each.row_id, F.col(each.row_id) + F.lit(batch_id << ROW_BITS))
+        new = found.join(first.select(F.col("source_path").alias("path")), "path", "left_semi")
+        fresh = read_inspected(spark, new, wanted).select(*wanted, "source_file", "source_path")
+        numbered = with_row_ids(fresh, each.row_id).withColumn(each.row_id, F.col(each.row_id) + F.lit(batch_id * (1 << ROW_BITS)))
         result = run_survey(stage(numbered, "numbered"), each, context)
         data = stage(result.data, "cleaned")
         kept = result._replace(data=data)
+        tried = stage(_tried(states, ledger(spark, out, batch_id), retry_seconds), "tried")
         for name, table in (
             ("cleaned", data), ("merged", merged_table(kept, each, context)), ("review", review_table(kept, each, stored=True)),
             ("changes", result.changes), ("spell_changes", result.spell_changes), ("date_issues", result.date_issues),
             ("placeholders", result.placeholders), ("outcomes", states), ("manifest", first),
         ):
             write_table(table, f"{out}/{name}/batch_id={batch_id}")
+        if not tried.isEmpty():  # last, as it settles what is read again
+            write_table(tried, f"{out}/ledger/batch_id={batch_id}")
 
+    def run(batch: DataFrame, batch_id: int) -> None:
+        with staged_paths() as made:
+            arrived = {plain_path(unquote(r[0])) for r in batch.select("source_path").distinct().collect() if r[0]}
+            paths = sorted(arrived | set(due(spark, out, but=batch_id)))
+            if paths:
+                take(paths, batch_id)
+        drop_staged(spark, made)
+
+    if every:
+        beat = spark.readStream.format("rate").option("rowsPerSecond", 1).load().select(F.lit(None).cast("string").alias("source_path"))
+        stream = stream.select("source_path").unionByName(beat)
+    else:
+        waiting = due(spark, out)
+        if waiting:
+            with staged_paths() as made:
+                take(sorted(waiting), -1 - _passes(spark, out))
+            drop_staged(spark, made)
     return (
         stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
     )
 
 
-def newest_per_key_stream(
-    stream: DataFrame, key: str, date: str, out: str, checkpoint: str, row_id: str = "row_id", every: str | None = None
-) -> StreamingQuery:
-    """Keep the newest record per key over all batches so far.
-
-    Each batch is reduced to one row per key and stored under its batch id (replays
-    overwrite it); ``current_state`` merges the batches on read and ``compact`` folds them.
-    State is data on disk, so its size is not bounded by executor memory.
-    """
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        write_table(newest_per_key(batch, key, date, row_id), f"{out}/batch_id={batch_id}")
+def _passes(spark: SparkSession, out: str) -> int:
+    """Batches with negative ids on record; one that was lost before its ledger entry keeps its number."""
+    found = spark.read.schema(LEDGER_SCHEMA).parquet(f"{out}/ledger").where(F.col("batch_id").startswith("-"))
+    return found.select("batch_id").distinct().count()
 
-    return (
-        stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
-    )
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def current_state(spark: SparkSession, out: str, key: str, date: str, row_id: str = "row_id") -> DataFrame:
-    return newest_per_key(spark.read.parquet(out).drop("batch_id"), key, date, row_id)
 
+def newest_per_key_stream(stream: DataFrame, key: str, date: str, checkpoint: str, row_id: str = "row_id", every: str | None = None) -> StreamingQuery:
+    """Keep the newest record per key over all batches so far, as keyed state.
 
-def compact(spark: SparkSession, out: str, target: str, key: str, date: str, row_id: str = "row_id") -> str:
-    """Fold all batches into one under ``target`` (same layout, batch id of the newest)."""
-    last = spark.read.parquet(out).agg(F.max("batch_id")).first()[0]
-    return write_table(current_state(spark, out, key, date, row_id), f"{target}/batch_id={last}")
+    The newest row is the smallest of (date unreadable, age, row id, columns), an aggregate with partial
+    results before the shuffle. Its state lives in RocksDB under the checkpoint, addressed by key: a batch
+    touches the keys it holds and writes their change only, and ``current_state`` reads one row per key however
+    many batches there were. The number of shuffle partitions of the first run stays that of the state.
+    """
+    spark = stream.sparkSession
+    stamp = parse_date(F.col(date))
+    order = F.struct(
+        stamp.isNull().alias("undated"), (-F.unix_micros(stamp)).alias("age"), F.col(row_id).alias("row_id"),
+        F.struct(*[F.col(c) for c in stream.columns]).alias("row"),
+    )
+    newest = stream.groupBy(key).agg(F.min(order).alias("newest"))
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        return newest.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+
+
+def current_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The newest record of every key, read from the state as of the last finished batch."""
+    return spark.read.format("statestore").load(checkpoint).select("value.min.row.*")

@@ -1,14 +1,20 @@
 """Schema rules, export, sources."""
 
+import bz2
 import gzip
-from urllib.parse import unquote
+import hashlib
+import random
+import zlib
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from surveyloom.operators import export, rules
+from surveyloom.plans import batch
 from surveyloom.plans.profile import profile
-from surveyloom.sources import manifest, sinks, tables
+from surveyloom.plans.survey import SurveyConfig
+from surveyloom.sources import inspect, manifest, sinks, tables
 
 GOOD = {
     "household_id": "HHMH00000001", "family_head_name": "Asha", "social_category": "SC", "state_code": "27", "district_code": "505", "block_code": "1",
@@ -157,12 +163,56 @@ def test_broken_files_take_no_namesakes_with_them(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(content)
     files = tables.read_file_set(spark, [str(tmp_path / n) for n in placed], ["k", "v"])
-    ends = sorted(unquote(r["source_path"]).rsplit(tmp_path.name + "/", 1)[1] for r in files.rows.collect())
+    ends = sorted(r["source_path"].rsplit(tmp_path.name + "/", 1)[1] for r in files.rows.collect())
     assert ends == ["1.csv.gz", "a/data.csv.gz", "a/w\u00f6 x.csv.gz"]
     states = sorted((r["source_file"], r["status"]) for r in files.outcomes.collect())
     assert states == sorted((n.rsplit("/", 1)[-1], "failed" if c is cut else "success") for n, c in placed.items())
 
 
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    for name, text in {"a/data.csv": "k,v\n1,\"x\ny\"\n1,z\n", "b/data.csv": "v,k\nq,1\n", "c d/da+ta%20.CSV": "k,v\n2,w\n", "b/empty.csv": ""}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    (tmp_path / "b" / "two.csv.bz2").write_bytes(bz2.compress(b"k,v\n5,a\n") + bz2.compress(b"6,b\n"))
+    paths = [str(p) for p in tmp_path.rglob("*.*")] + [f"{tmp_path}/b/none.csv", f"file:{tmp_path}/a/data.csv"]
+    files = tables.read_file_set(spark, paths, ["k", "v"])
+    own = lambda p: p.removeprefix(f"{tmp_path}/")
+    assert sorted((own(r.source_path), r.source_file, r.k, r.v) for r in files.rows.collect()) == [
+        ("a/data.csv", "data.csv", "1", "x\ny"), ("a/data.csv", "data.csv", "1", "z"), ("b/data.csv", "data.csv", "1", "q"),
+        ("b/two.csv.bz2", "two.csv.bz2", "5", "a"), ("b/two.csv.bz2", "two.csv.bz2", "6", "b"), ("c d/da+ta%20.CSV", "da+ta%20.CSV", "2", "w"),
+    ]
+    run = batch.run_batch(tables.with_row_ids(files.rows.withColumn("d", F.lit("2024-01-01"))), SurveyConfig(key="k", date="d", name="v", guardian="v", spell_enabled=False))
+    summary = {own(r.source_path): (r.source_file, r.original_records, r.final_records, r.status) for r in batch.file_summary(run, outcomes=files.outcomes).collect()}
+    assert summary == {
+        "a/data.csv": ("data.csv", 2, 1, "success"), "b/data.csv": ("data.csv", 1, 1, "success"), "b/two.csv.bz2": ("two.csv.bz2", 2, 2, "success"),
+        "c d/da+ta%20.CSV": ("da+ta%20.CSV", 1, 1, "success"), "b/empty.csv": ("empty.csv", 0, 0, "empty"), "b/none.csv": ("none.csv", 0, 0, "missing"),
+    }
+
+
+def test_digests_and_headers_come_from_streams():
+    rng = random.Random(2)
+    raw = b'"h\n1",b\n' + bytes(rng.randrange(32, 127) for _ in range(5000)).replace(b'"', b"'") + b"\n"
+    for name, data in (("x.csv", raw), ("x.csv.gz", gzip.compress(raw)), ("x.csv.deflate", zlib.compress(raw)), ("x.csv.bz2", bz2.compress(raw)), ("x.csv.zst", zstandard.compress(raw))):
+        for size in (1, 7, 10_000):
+            pieces = (data[i : i + size] for i in range(0, len(data), size))
+            path, status, error, columns, multi, checksum, length = inspect.facts(name, pieces, True)
+            assert (status, error, columns, multi, length) == ("success", None, ["h\n1", "b"], True, len(data))
+            assert checksum == "sha256:" + hashlib.sha256(data).hexdigest()[:16]
+        if name != "x.csv":
+            cut = data[:-6]
+            path, status, error, *_, checksum, length = inspect.facts(name, iter([cut[:50], cut[50:]]), True)
+            assert status == "failed" and error and checksum == "sha256:" + hashlib.sha256(cut).hexdigest()[:16]
+    assert inspect.facts("e.tsv", iter([]), True)[1] == "empty"
+    assert inspect.facts("e.tsv", iter([b"\xef\xbb\xbfa\tb\r\n1\t2"]), False)[3:6] == (["a", "b"], False, None)
+
+
+def test_file_systems_without_a_client_are_read_through_spark(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v\n1,2\n")
+    (tmp_path / "b.csv.gz").write_bytes(b"no gzip")
+    got = inspect._through_spark(spark, [f"{tmp_path}/{n}" for n in ("a.csv", "b.csv.gz", "c.csv")], True)
+    assert sorted((r.path.rsplit("/")[-1], r.status, r.columns) for r in got.collect()) == [("a.csv", "success", ["k", "v"]), ("b.csv.gz", "failed", []), ("c.csv", "missing", [])]
+
+
 def test_nearest_allowed(spark):
     df = spark.createDataFrame([("Genral",), ("qqq",), ("minorty",)], "v string")
     out = {r["value"]: r["suggestion"] for r in rules.nearest_allowed(df, "v", rules.SOCIAL_CATEGORIES).collect()}

@@ -37,10 +37,10 @@ def _signature(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).union(edges.select("v", "u"))
-    least = both.groupBy("x").agg(F.min(F.least("x", "y")).alias("m"))
+    least = stage(both.groupBy("x").agg(F.min(F.least("x", "y")).alias("m")), "least")  # stored, so that a hub's join can be split
     return _ordered(both.join(least, "x").where("y > x").select(F.col("m").alias("u"), F.col("y").alias("v")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("v").agg(F.min("u").alias("m"))
+    least = stage(edges.groupBy("v").agg(F.min("u").alias("m")), "least")
     return _ordered(edges.join(least, "v").select(F.col("m").alias("u"), F.col("u").alias("v")).union(least.select("m", "v")))

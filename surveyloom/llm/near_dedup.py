@@ -4,7 +4,7 @@ A table key combines one half key of collection A with one of collection B, each
 All pairs of half keys give SIDE * SIDE tables from 2 * SIDE * ROWS minhashes. Two sets meet in some
 table if they share a half key of either collection, so only those keys are combined.
 
-Texts with equal shingle sets are one class, known by a 64-bit hash of the set's digest. In every bucket of a table, members are compared with
+Texts with equal shingle sets are one class, known by the 128-bit digest of the set. In every bucket of a table, members are compared with
 the bucket's most typical class only. What is left are buckets whose members lie in different
 components; there the shingles that occur in several components are indexed, rare ones first, and
 only sets that could still reach the threshold by them are compared. So no link between classes that
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.llm.common import stage
 from surveyloom.llm.components import components
+from surveyloom.operators.keyed import split_by_keys
 
 ROWS = 4
 MISS = 5e-6
@@ -88,7 +89,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int, side: int) -> DataFrame:
-    """(doc_id, th, n, digest, keys) per document, th being a hash of the text; digest and keys are null for empty sets."""
+    """(doc_id, th, n, c, keys) per document, th being a hash of the text; c (the digest of the set) and keys are null for empty sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
@@ -97,9 +98,9 @@ def sketches(docs: DataFrame, size: int, side: int) -> DataFrame:
             for doc_id, text, th in zip(b["doc_id"], b["text"], b["th"]):
                 s = shingles(text, size, known)
                 out.append((doc_id, th, len(s), xxhash.xxh3_128_digest(s.tobytes()), _signed(half_keys(s, 2 * side))) if len(s) else (doc_id, th, 0, None, None))
-            yield pd.DataFrame(out, columns=["doc_id", "th", "n", "digest", "keys"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "th", "n", "c", "keys"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInPandas(run, "doc_id long, th long, n long, digest binary, keys array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInPandas(run, "doc_id long, th long, n long, c binary, keys array<long>")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -109,10 +110,11 @@ def class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         known = _Hashes()
         for b in batches:
             sets = [shingles(t, size, known) for t in b["text"]]
-            yield pd.DataFrame({"digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "n": [len(s) for s in sets], "s": [_signed(s) for s in sets]})
+            yield pd.DataFrame({"c": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "n": [len(s) for s in sets], "s": [_signed(s) for s in sets]})
 
-    texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = texts.mapInPandas(run, "digest binary, n long, s array<long>").select(F.xxhash64("digest").alias("c"), "n", "s")
+    ids = wanted.select("doc_id").distinct()
+    texts, _ = split_by_keys(docs.select("doc_id", "text"), ids, ["doc_id"])  # so that few texts are shuffled
+    found = texts.join(ids, "doc_id", "left_semi").mapInPandas(run, "c binary, n long, s array<long>")
     return found.join(wanted.select("c"), "c", "left_semi").dropDuplicates(["c"])
 
 
@@ -144,7 +146,8 @@ def _left_over(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     needs so many.
     """
     held = sets.join(members, "c").select("c", "root", F.explode("s").alias("t"))
-    several = held.groupBy("t").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    place = F.xxhash64("root")
+    several = held.groupBy("t").agg(F.count("*").alias("df"), F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
     several = stage(several.select("t", "df"), "several")
     listed = held.select("c", "t").join(several, "t").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("ts"))
     needed = F.ceil(F.col("n") * percent / 100)
@@ -162,10 +165,10 @@ def _left_over(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th, n, digest, keys, c) per document and (c, doc_id, root) per class, doc_id being the smallest; all of them are stored."""
+    """(doc_id, th, n, c, keys) per document and (c, doc_id, root) per class, doc_id being the smallest; all of them are stored."""
     side = sides(percent)
-    rows = stage(sketches(docs, size, side).withColumn("c", F.xxhash64("digest")), "sketches")
-    known = rows.where("digest is not null")
+    rows = stage(sketches(docs, size, side), "sketches")
+    known = rows.where("c is not null")
     classes = known.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     half = stage(classes.select("c", F.posexplode("keys").alias("no", "key")).select("c", (F.col("no") < side).alias("first"), "key"), "half-keys")
     # aggregated sides of joins are stored, so that a join can split its hot keys
@@ -185,7 +188,8 @@ def _components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Da
     links = stage(verified(pairs, sets, percent), "links")
 
     rooted = stage(_rooted(met.select("c"), links), "roots")
-    mixed = tables.join(rooted, "c").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    place = F.xxhash64("root")
+    mixed = tables.join(rooted, "c").groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
     mixed = stage(mixed.select("key"), "mixed")
     members = stage(tables.join(mixed, "key", "left_semi").select("c").distinct().join(rooted, "c"), "members")
     more = stage(verified(stage(_left_over(members, sets, percent), "pairs"), sets, percent), "links")
@@ -209,7 +213,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rows, final = _components(_numbered(docs), size, percent)
     smallest = final.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = stage(final.join(smallest, "root").select("c", "component_id"), "components")
-    found = rows.select("doc_id", "n", F.when(F.col("digest").isNotNull(), F.col("c")).alias("c")).join(named, "c", "left")
+    found = rows.select("doc_id", "n", "c").join(named, "c", "left")
     component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     given = lambda c: F.nullif(c, F.lit(LAST))
     return found.select(
@@ -225,7 +229,7 @@ def _first_rows(packed: DataFrame, *by: str) -> DataFrame:
 def _one_row_each(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(_id, _th, _row) of the rows that ``one_row_each`` keeps."""
     rows, final = _components(_numbered(docs), size, percent)
-    keys = rows.groupBy("doc_id", "th", F.when(F.col("digest").isNotNull(), F.col("c")).alias("c")).agg(F.count("*").alias("rows"))
+    keys = rows.groupBy("doc_id", "th", "c").agg(F.count("*").alias("rows"))
     keys = stage(keys, "texts")
     texts = keys.where("c is not null").groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("one"))
     held = stage(final.select("c", "root").join(texts, "c"), "held")
@@ -233,11 +237,13 @@ def _one_row_each(docs: DataFrame, size: int, percent: int) -> DataFrame:
     named = stage(held.select("c", "root").join(ones, "root").select("c", "one"), "components")
     judged = keys.join(named, "c", "left").withColumn("kept", F.col("c").isNull() | (F.struct("doc_id", "th") == F.col("one")))
     key = [F.col("doc_id").alias("_id"), F.col("th").alias("_th")]
-    dropped = stage(judged.where(~F.col("kept")).select(*key), "dropped")
-    again = stage(judged.where("kept and rows > 1").select(*key), "repeated")
+    marked = stage(judged.where(~F.col("kept") | (F.col("rows") > 1)).select(*key, "kept"), "marked")
     packed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.xxhash64("text").alias("_th"), F.struct(*docs.columns).alias("_row"))
-    rest = packed.join(dropped, ["_id", "_th"], "left_anti")
-    return rest.join(again, ["_id", "_th"], "left_anti").unionByName(_first_rows(rest.join(again, ["_id", "_th"], "left_semi"), "_id", "_th"))
+    # most rows are neither dropped nor repeated, and are not shuffled
+    maybe, alone = split_by_keys(packed, marked.select("_id", "_th"), ["_id", "_th"])
+    single = maybe.join(marked, ["_id", "_th"], "left_anti")
+    again = maybe.join(marked.where("kept"), ["_id", "_th"], "left_semi")
+    return alone.unionByName(single).unionByName(_first_rows(again, "_id", "_th"))
 
 
 def one_row_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

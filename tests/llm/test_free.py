@@ -7,6 +7,8 @@ import html
 import os
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -366,6 +368,50 @@ def test_nearest_codes_against_all_pairs(spark, dims, n):
     assert got == want
 
 
+BODY = "<p>" + "several plain words of the article " * 8 + "</p>"
+TEXT = ("several plain words of the article " * 8).strip()
+
+
+def read_page(source):
+    page = html_extract.parse(source)
+    return html_extract.text_at(page, html_extract.best_path(page)) or html_extract.text_at(page, None)
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        (f"<div class='sidebar-layout'><article>{BODY}</article></div>", [TEXT]),
+        (f"<body><div class='container no-sidebar has-comments'>{BODY}</div>", [TEXT]),
+        (f"<body><div class='header'>Site</div><div id='page-search'><div class='text'>{BODY}{BODY}</div></div>", [TEXT] * 2),
+        (f"<body><form action=x><input name=state><div id=content>{BODY * 3}</div><div class=comments>{BODY * 9}</div><input type=submit></form>", [TEXT] * 3),
+        (f"<article>{BODY}<div class='search-results'>{BODY}</div><div class=share>{BODY}</div><div class=notice>a small notice</div><form>sign up <input></form></article>", [TEXT] * 2),
+        (f"<article>{BODY}</article><div class=comments>{BODY * 6}</div><div class=sidebar>{BODY[:80]}</p></div>", [TEXT]),
+        (f"<article>{BODY}<div class=widget>" + f"<a href=x>{TEXT}</a>" * 3 + "</div></article>", [TEXT]),
+        ("<body><div class=comments>nothing but this</div></body>", ["nothing but this"]),
+        ("<form><div><p>a</p></div></form>", ["a"]),
+        (f"<article><p>one <span class=hidden>not this</span> line</p>{BODY}</article>", ["one line", TEXT]),
+        ("<div class=nav></div>", [""]),
+    ],
+)
+def test_marks_do_not_empty_pages(source, want):
+    assert read_page(source).split("\n") == want
+
+
+def test_deep_pages_are_read_in_linear_time():
+    for source, n in (("<div>x" * 20_000, 20_000), ("<div class=a>x</b></i>" * 20_000, 20_000), ("<form><div class=sidebar>x" * 20_000, 10_001), ("<span>x</zz>" * 20_000 + "<p>y" * 20_000, 20_001)):
+        tracemalloc.start()
+        start = time.perf_counter()
+        assert len(read_page(source).split("\n")) == n
+        assert time.perf_counter() - start < 30 and tracemalloc.get_traced_memory()[1] < 100 << 20
+        tracemalloc.stop()
+
+
+def test_very_long_pages(spark):
+    page = "<body><div class=menu>no</div><article>" + BODY * 20_000 + "</article>"
+    df = spark.createDataFrame([(1, "http://x.y/1", page), (1, "http://x.y/1", page)], "page_id long, url string, html string")
+    assert [r.n_chars for r in html_extract.extract(df).collect()] == [20_000 * (len(TEXT) + 1) - 1] * 2
+
+
 @pytest.mark.parametrize("name", ["op2_near_dedup", "op4_nearest_codes", "op5_html_extract", "op6_substring_dedup", "op8_token_round_trip", "op10_license_scan"])
 def test_empty_tables(spark, tmp_path, name):
     for t in ("documents", "pages", "embeddings"):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.functions.codes import VALID_CATEGORIES, VALID_GENDERS
@@ -47,10 +47,14 @@ def spell_summary(spell_changes: DataFrame) -> DataFrame:
     )
 
 
+def bad_date(c: Column) -> Column:
+    return ~is_blank(c) & parse_date(c).isNull()
+
+
 def survey_date_issues(df: DataFrame, survey_date: str, name: str, village: str, fallback: str, row_id: str = "row_id") -> DataFrame:
     """Filled survey dates that are not dates."""
     c = F.col(survey_date)
-    return df.where(~is_blank(c) & parse_date(c).isNull()).select(
+    return df.where(bad_date(c)).select(
         F.col(row_id).alias("row_id"),
         F.col(name).alias("name"),
         F.col(village).alias("village"),
@@ -165,6 +169,52 @@ def review_flags(
     )
 
 
+#: Columns of a row that its trail adds: the cells as they were, what was resolved, tokens corrected per name column, digest of frozen cells.
+BEFORE, RESOLVED, SPELLED, FROZEN = "_before", "_resolved", "_spelled", "_frozen"
+
+
+def trail_flags(trail: DataFrame, columns: Mapping[str, str], spelled: Mapping[str, str], row_id: str = "row_id", more: DataFrame | None = None) -> DataFrame:
+    """(row_id, column, flag) of every cell to look at, each row by itself.
+
+    ``trail`` holds the cleaned rows with their cells as they were (BEFORE, a struct), whether gender and category were
+    resolved (RESOLVED, a struct of booleans), and counts of corrected tokens in the columns that ``spelled``
+    maps name columns to. ``columns`` is as in ``review_flags``. ``more`` is a log (row_id, field) of further
+    changes of gender and category, such as those of a vote.
+    """
+    have = {role: c for role, c in columns.items() if c in trail.columns}
+    before = set(trail.schema[BEFORE].dataType.names)
+    trimmed = lambda c: F.coalesce(F.trim(c.cast("string")), F.lit(""))
+    raised: dict[str, dict[str, Column]] = {}
+    for role in ("gender", "category"):
+        if role in have:
+            raised.setdefault(have[role], {})["missing"] = is_blank(F.col(have[role]))
+            if role in trail.schema[RESOLVED].dataType.names:
+                raised[have[role]][role] = F.col(RESOLVED)[role]
+    for name, count in spelled.items():
+        raised.setdefault(name, {})["spelling"] = F.col(count) > 0
+    for role, flag in {"name": "name", "guardian": "name", "contact": "contact", "job_card": "job_card"}.items():
+        if role in have and have[role] in before:
+            raised.setdefault(have[role], {})[flag] = trimmed(F.col(BEFORE)[have[role]]) != trimmed(F.col(have[role]))
+    if "survey_date" in have:
+        raised.setdefault(have["survey_date"], {})["date"] = bad_date(F.col(have["survey_date"]))
+
+    def last(flags: dict[str, Column]) -> Column:
+        """The latest kind that is raised."""
+        out = F.lit(None).cast("int")
+        for flag in FLAG_ORDER:
+            if flag in flags:
+                out = F.when(flags[flag], FLAG_ORDER.index(flag)).otherwise(out)
+        return out
+
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), last(flags).alias("_order")) for c, flags in raised.items()])
+    found = trail.select(F.col(row_id).alias("row_id"), F.inline(F.filter(cells, lambda x: x["_order"].isNotNull())))
+    if more is not None:
+        role = F.create_map(*[F.lit(x) for pair in have.items() for x in pair])
+        voted = more.where(F.col("field").isin("gender", "category")).select("row_id", F.element_at(role, F.col("field")).alias("column"), F.when(F.col("field") == "gender", 0).otherwise(1).alias("_order"))
+        found = found.unionByName(voted).groupBy("row_id", "column").agg(F.max("_order").alias("_order"))
+    return found.select("row_id", "column", F.get(F.lit(list(FLAG_ORDER)), F.col("_order")).alias("flag"))
+
+
 def duplicate_rows(df: DataFrame, key: str, date: str | None, row_id: str = "row_id", scope: Sequence[str] = ()) -> DataFrame:
     """Rows that do not survive into the merged table, by anti-join with the survivors."""
     kept = survivors(df, key, date, row_id, scope)

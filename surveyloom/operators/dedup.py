@@ -120,10 +120,10 @@ def top_duplicated_keys(df: DataFrame, key: str, k: int = 10) -> DataFrame:
     return counts.orderBy(F.desc("n"), F.asc(key)).limit(k)
 
 
-def dedup_summary(df: DataFrame, key: str, scope: list[str] | None = None) -> DataFrame:
-    """Original, placeholder, removed and final row counts without building the result."""
-    flag = is_placeholder_key(F.col(key))
-    per_key = df.groupBy(*(scope or []), F.when(~flag, F.col(key)).alias("_key")).agg(F.count(F.lit(1)).alias("n"))
+def dedup_summary(df: DataFrame, key: str, scope: list[str] | None = None, also: dict[str, Column] | None = None) -> DataFrame:
+    """Original, placeholder, removed and final row counts without building the result; ``also`` counts rows by further conditions in the same pass."""
+    flag, also = is_placeholder_key(F.col(key)), also or {}
+    per_key = df.groupBy(*(scope or []), F.when(~flag, F.col(key)).alias("_key")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(m) for m, c in also.items()])
     real = F.col("_key").isNotNull()
     removed = F.coalesce(F.sum(F.when(real, F.col("n") - 1)), F.lit(0))
     total = F.coalesce(F.sum("n"), F.lit(0))
@@ -133,6 +133,7 @@ def dedup_summary(df: DataFrame, key: str, scope: list[str] | None = None) -> Da
             total.alias("original_records"),
             F.coalesce(F.sum(F.when(~real, F.col("n"))), F.lit(0)).alias("placeholder_records"),
             removed.alias("duplicates_removed"),
+            *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in also],
         )
         .withColumn("unique_records", F.col("original_records") - F.col("placeholder_records") - F.col("duplicates_removed"))
         .withColumn("final_records", F.col("original_records") - F.col("duplicates_removed"))

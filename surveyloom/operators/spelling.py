@@ -199,8 +199,9 @@ def spell_check(
     max_distance: int = 2,
     apply: bool = True,
     inline: bool | None = None,
+    count_as: str | None = None,
 ) -> SpellCheck:
-    """Correct the tokens of one name column.
+    """Correct the tokens of one name column; with ``count_as`` the data say in a column of that name how many tokens had a correction.
 
     Only distinct unknown tokens are compared with the vocabulary. The accepted
     corrections form a small table; while it fits a broadcast, names of up to
@@ -238,5 +239,9 @@ def spell_check(
         F.col("_after").alias("name_after"),
         F.inline("_fixed"),
     ).select("row_id", "column", "name_before", "name_after", *_LOG)
-    data = fixed.withColumn(name, F.col("_after")).select(*df.columns) if apply else df
+    counted = [F.coalesce(F.size("_fixed"), F.lit(0)).alias(count_as)] if count_as else []
+    if apply:
+        data = fixed.withColumn(name, F.col("_after")).select(*df.columns, *counted)
+    else:
+        data = fixed.select(*df.columns, *counted) if counted else df
     return SpellCheck(data, log)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from surveyloom.operators import cells
 from surveyloom.operators.dedup import dedup_summary, deduplicate
 from surveyloom.operators.infer import fill_gender_quick
+from surveyloom.session import stage
 
 
 @dataclass(frozen=True)
@@ -104,7 +105,7 @@ def gender_inference(df: DataFrame, c: EngineConfig) -> StepResult:
     for column in (c.gender, c.guardian, c.name):
         if column not in df.columns:
             df = df.withColumn(column, F.lit("") if column == c.gender else F.lit(None).cast("string"))
-    filled = fill_gender_quick(df, c.name, c.guardian, c.gender, c.min_confidence)
+    filled = stage(fill_gender_quick(df, c.name, c.guardian, c.gender, c.min_confidence), "gender")  # for the data and for the counts
     return StepResult(filled.drop("_outcome", "_confidence"), _long(gender_stats(filled), "gender_inference"))
 
 
@@ -141,7 +142,11 @@ _NEEDS = {"contact_validation": "contact", "duplicate_removal": "key", "mgnrega_
 
 
 def run_engines(df: DataFrame, config: EngineConfig, engines: Sequence[str] | None = None) -> StepResult:
-    """Chosen engines in the fixed order; an engine whose column is missing is left out."""
+    """Chosen engines in the fixed order; an engine whose column is missing is left out.
+
+    The rows are stored before duplicates go and, with the outcome of each row, after genders are filled in; later engines
+    and their counts start from there, so the chain is computed once however many engines there are.
+    """
     unknown = set(engines or ()) - set(ENGINES)
     if unknown:
         raise ValueError(f"unknown engines: {sorted(unknown)}")
@@ -151,6 +156,8 @@ def run_engines(df: DataFrame, config: EngineConfig, engines: Sequence[str] | No
             continue
         if name in _NEEDS and getattr(config, _NEEDS[name]) not in data.columns:
             continue
+        if name == "duplicate_removal" and stats:
+            data = stage(data, "engines")
         result = step(data, config)
         data = result.data
         stats.append(result.stats.select("engine", "metric", "n"))

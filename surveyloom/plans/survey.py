@@ -6,13 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.operators import audit
 from surveyloom.operators.cells import format_names, union_all
 from surveyloom.operators.dedup import dedup_summary, deduplicate, merged, placeholder_log
-from surveyloom.operators.edits import frozen_violations
 from surveyloom.operators.infer import (
     CHANGE_COLUMNS,
     category_resolution,
@@ -84,6 +83,13 @@ class SurveyRun(NamedTuple):
     placeholders: DataFrame
     dedup: DataFrame
     guard: DataFrame | None
+    #: The cleaned rows with what happened to them (see ``audit.trail_flags``), and the rows before names were formatted, stored.
+    trail: DataFrame
+    resolved: DataFrame
+    spelled: dict[str, str]
+    votes: DataFrame | None
+    #: Rows per dedup scope with their counts, from one pass over the input.
+    counts: DataFrame
 
 
 def _empty(df: DataFrame, schema: str) -> DataFrame:
@@ -94,6 +100,11 @@ def _optional(df: DataFrame, column: str) -> str | None:
     return column if column in df.columns else None
 
 
+def _digest(columns: Sequence[str]) -> Column:
+    """Digest of cells; nulls differ from empty ones. The row carries it, so that the guard needs no join."""
+    return F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in columns])
+
+
 def run_survey(df: DataFrame, config: SurveyConfig, context: Context = Context(), staged: bool = True) -> SurveyRun:
     """Plan the whole run. Steps whose column is missing or not allowed are left out of the plan.
 
@@ -108,10 +119,12 @@ def run_survey(df: DataFrame, config: SurveyConfig, context: Context = Context()
     keyed = c.key in has
     dedup_on = keyed and context.allow_rule("deduplicate")
     rows = deduplicate(df, c.key, date, c.row_id, scope) if dedup_on else df
-    removed = (
-        dedup_summary(df, c.key, scope)
+    dated = {c.survey_date, c.name, c.village} <= has
+    also = {"date_issues": audit.bad_date(F.col(c.survey_date)) if dated else F.lit(False)}
+    counts = (
+        dedup_summary(df, c.key, scope, also)
         if dedup_on
-        else df.groupBy(*scope).agg(F.count(F.lit(1)).alias("original_records")).withColumns(
+        else df.groupBy(*scope).agg(F.count(F.lit(1)).alias("original_records"), *[F.count_if(x).alias(m) for m, x in also.items()]).withColumns(
             {
                 "placeholder_records": F.lit(0).cast("long"),
                 "duplicates_removed": F.lit(0).cast("long"),
@@ -121,7 +134,13 @@ def run_survey(df: DataFrame, config: SurveyConfig, context: Context = Context()
             }
         )
     )
-    combined = rows
+    removed = counts.drop(*also)
+    kept_cells = [x for x in dict.fromkeys((c.name, c.guardian, c.contact, c.job_card)) if x in has]
+    frozen = [x for x in df.columns if x != c.row_id and x not in (context.columns or frozenset())] if context.mode is Mode.SELECTIVE else []
+    rows = rows.withColumns({
+        audit.BEFORE: F.struct(*kept_cells) if kept_cells else F.struct(F.lit(None).cast("string").alias("_none")),
+        **({audit.FROZEN: _digest(frozen)} if frozen else {}),
+    })
 
     correcting = context.allow_rule("auto_correct") and c.name in has
 
@@ -151,9 +170,12 @@ def run_survey(df: DataFrame, config: SurveyConfig, context: Context = Context()
         change_rows(rows, name, F.col(column), F.col(r), c.row_id, c.name, guardian).select(*CHANGE_COLUMNS)
         for name, column, r in resolved
     ]
+    happened = [F.col(f"{r}.method").isNotNull().alias(name) for name, _, r in resolved] or [F.lit(False).alias("_none")]
+    rows = rows.withColumn(audit.RESOLVED, F.struct(*happened))
     if not context.dry_run:
         rows = rows.withColumns({column: F.col(f"{r}.value") for _, column, r in resolved}) if resolved else rows
     rows = rows.drop(*[r for _, _, r in resolved])
+    votes = []
 
     # After deduplication no real key is left with two rows, so the vote has nothing to do.
     if correcting and keyed and not dedup_on:
@@ -162,36 +184,37 @@ def run_survey(df: DataFrame, config: SurveyConfig, context: Context = Context()
             if column in has and context.allow_column(column):
                 vote = majority_vote(rows, c.key, column, c.name, guardian, c.row_id, apply=not context.dry_run, scope=scope)
                 rows = vote.data
-                logs.append(vote.changes.withColumn("field", F.lit(name)).select(*CHANGE_COLUMNS))
+                votes.append(vote.changes.withColumn("field", F.lit(name)).select(*CHANGE_COLUMNS))
+    logs += votes
+    before_names = rows
 
     name_cols = [n for n in (c.name, c.guardian) if n in has and context.allow_column(n)]
     if context.allow_rule("format_name") and name_cols and not context.dry_run:
         rows = format_names(rows, name_cols)
 
-    spelled = []
+    spelled, spelled_in = [], {}
     if c.spell_enabled and context.allow_rule("spell_check"):
         for column in c.spell_columns or (c.name, c.guardian):
             if column in has and context.allow_column(column):
                 check = spell_check(
                     rows, column, lex, c.row_id, c.spell_min_confidence, c.spell_high_confidence,
-                    c.spell_max_distance, apply=not context.dry_run,
+                    c.spell_max_distance, apply=not context.dry_run, count_as=f"{audit.SPELLED}_{len(spelled_in)}",
                 )
                 rows = check.data
+                spelled_in[column] = f"{audit.SPELLED}_{len(spelled_in)}"
                 spelled.append(check.changes.select(*SPELL_COLUMNS))
 
-    data = rows.select(*df.columns)
-    guard = None
-    if context.mode is Mode.SELECTIVE:
-        frozen = [x for x in df.columns if x != c.row_id and x not in (context.columns or frozenset())]
-        guard = frozen_violations(combined, data, frozen, c.row_id)
+    guard = rows.where(~F.col(audit.FROZEN).eqNullSafe(_digest(frozen))).select(c.row_id) if frozen else None
+    if context.mode is Mode.SELECTIVE and not frozen:
+        guard = rows.where(F.lit(False)).select(c.row_id)
     return SurveyRun(
         original=df,
-        data=data,
+        data=rows.select(*df.columns),
         changes=union_all(logs) if logs else _empty(df, _CHANGE_SCHEMA),
         spell_changes=union_all(spelled) if spelled else _empty(df, _SPELL_SCHEMA),
         date_issues=(
             audit.survey_date_issues(df, c.survey_date, c.name, c.village, c.date, c.row_id)
-            if {c.survey_date, c.name, c.village} <= has
+            if dated
             else _empty(df, "row_id long, name string, village string, bad_value string, suggested_fix string")
         ),
         placeholders=(
@@ -201,6 +224,11 @@ def run_survey(df: DataFrame, config: SurveyConfig, context: Context = Context()
         ),
         dedup=removed,
         guard=guard,
+        trail=rows,
+        resolved=before_names,
+        spelled=spelled_in,
+        votes=union_all(votes) if votes else None,
+        counts=counts,
     )
 
 
@@ -211,45 +239,32 @@ def merged_table(run: SurveyRun, config: SurveyConfig, context: Context = Contex
     return merged(run.data, config.key, _optional(run.data, config.date), config.row_id, list(config.scope))
 
 
-def review_table(run: SurveyRun, config: SurveyConfig, stored: bool = False) -> DataFrame:
-    """Cells and rows to look at. Unless ``run.data`` is a stored table, the columns needed are staged once."""
+def review_table(run: SurveyRun, config: SurveyConfig) -> DataFrame:
+    """Cells and rows to look at: cells are told by their own row's trail, only duplicates need a shuffle (of keys, dates and ids)."""
     roles = config.roles()
-    data = run.data
-    if not stored:
-        needed = dict.fromkeys([config.row_id, *config.scope, *[c for c in roles.values() if c in data.columns]])
-        data = stage(data.select(*needed), "review")
-    return audit.review_flags(run.original, data, run.changes, run.spell_changes, run.date_issues, roles, config.row_id, config.scope)
+    cells = audit.trail_flags(run.trail, roles, run.spelled, config.row_id, run.votes)
+    if config.key not in run.data.columns:
+        return cells
+    duplicates = audit.duplicate_rows(run.resolved, config.key, _optional(run.data, config.date), config.row_id, config.scope)
+    return cells.unionByName(duplicates.select("row_id", F.lit(None).cast("string").alias("column"), F.lit("duplicate").alias("flag")))
 
 
 def run_summary(run: SurveyRun) -> DataFrame:
-    """One row with the counts of the run."""
-    def one(df: DataFrame, label: str) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(label).alias("metric"), "n")
-
-    totals = run.dedup.agg(
-        *[F.sum(m).alias(m) for m in ("original_records", "placeholder_records", "duplicates_removed")]
-    ).select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(m).alias("metric"), F.col(m).alias("n"))
-                    for m in ("original_records", "placeholder_records", "duplicates_removed")
-                ]
-            )
-        )
-    )
-    parts = [
-        totals,
-        one(run.date_issues, "date_issues"),
-        one(run.changes, "auto_corrections"),
-        one(run.spell_changes, "spell_corrections"),
-        one(run.data, "final_records"),
-    ]
-    metrics = [
-        "original_records", "placeholder_records", "date_issues", "duplicates_removed", "auto_corrections",
-        "spell_corrections", "final_records",
-    ]
-    wide = union_all(parts).agg(*[F.coalesce(F.max(F.when(F.col("metric") == m, F.col("n"))), F.lit(0)).alias(m) for m in metrics])
+    """One row with the counts of the run: one pass over the input, one over the cleaned rows, and one over votes where there were any."""
+    summed = lambda cols: [F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in cols]
+    totals = run.counts.agg(*summed(("original_records", "placeholder_records", "date_issues", "duplicates_removed")))
+    fields = [f for f in run.trail.schema[audit.RESOLVED].dataType.names if f != "_none"]
+    resolved = sum((F.col(audit.RESOLVED)[f].cast("long") for f in fields), F.lit(0).cast("long"))
+    corrected = sum((F.col(count).cast("long") for count in run.spelled.values()), F.lit(0).cast("long"))
+    done = run.trail.agg(F.coalesce(F.sum(resolved), F.lit(0)).alias("r"), F.coalesce(F.sum(corrected), F.lit(0)).alias("spell_corrections"), F.count(F.lit(1)).alias("final_records"))
+    parts = [totals, done] + ([run.votes.agg(F.count(F.lit(1)).alias("v"))] if run.votes is not None else [])
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    value = lambda m: F.coalesce(F.max(m), F.lit(0))
+    auto = value("r") + value("v") if run.votes is not None else value("r")
+    counted = ("original_records", "placeholder_records", "date_issues", "duplicates_removed")
+    wide = rows.agg(*[value(m).alias(m) for m in counted], auto.alias("auto_corrections"), *[value(m).alias(m) for m in ("spell_corrections", "final_records")])
     return wide.withColumn("records_after_dedup", F.col("original_records") - F.col("duplicates_removed")).withColumn(
         "reduction_pct",
         F.round((1 - F.col("final_records") / F.greatest(F.col("original_records"), F.lit(1))) * 100, 1),
@@ -258,7 +273,7 @@ def run_summary(run: SurveyRun) -> DataFrame:
 
 def audit_tables(run: SurveyRun) -> dict[str, DataFrame]:
     """The nine audit tables."""
-    changes = audit.numbered_changes(run.changes)
+    changes = stage(audit.numbered_changes(run.changes), "changes")
     return {
         "summary": run_summary(run),
         "all_changes": changes,
@@ -306,7 +321,7 @@ def write_run(
         spell_changes=stored("spell_changes", run.spell_changes),
     )
     put("merged", merged_table(run, config, context))
-    put("review", review_table(run, config, stored=True))
+    put("review", review_table(run, config))
     for label, table in audit_tables(run).items():
         put(f"report/{label}", table)
     put("suggestions/changes", run.changes, "json")

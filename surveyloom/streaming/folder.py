@@ -123,7 +123,7 @@ def process_folder(
         kept = result._replace(data=data)
         tried = stage(_tried(states, ledger(spark, out, batch_id), retry_seconds), "tried")
         for name, table in (
-            ("cleaned", data), ("merged", merged_table(kept, each, context)), ("review", review_table(kept, each, stored=True)),
+            ("cleaned", data), ("merged", merged_table(kept, each, context)), ("review", review_table(kept, each)),
             ("changes", result.changes), ("spell_changes", result.spell_changes), ("date_issues", result.date_issues),
             ("placeholders", result.placeholders), ("outcomes", states), ("manifest", first),
         ):

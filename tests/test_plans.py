@@ -148,6 +148,23 @@ def test_engine_choice(spark, df):
     assert {r["engine"] for r in only.stats.collect()} == {"duplicate_removal"}
 
 
+@pytest.mark.parametrize("context", [Context(), Context.advisory(), Context.selective(["gender", "farmer_name"], ["auto_correct", "auto_correct_gender", "format_name", "spell_check"])])
+def test_trail_tells_what_a_comparison_of_tables_tells(spark, df, context):
+    from surveyloom.operators import audit
+
+    config = SurveyConfig()
+    rows = df.unionByName(df.withColumn("row_id", F.col("row_id") + 10).withColumn("gender", F.when(F.col("row_id") % 2 == 0, "male")))
+    run = run_survey(rows, config, context)
+    compared = audit.review_flags(run.original, run.data, run.changes, run.spell_changes, run.date_issues, config.roles(), "row_id")
+    told = review_table(run, config)
+    key = lambda r: (r["row_id"], str(r["column"]), r["flag"])
+    assert sorted(map(key, told.collect())) == sorted(map(key, compared.collect())) and told.count() > 5
+    summary = run_summary(run).first()
+    assert summary["auto_corrections"] == run.changes.count() and summary["spell_corrections"] == run.spell_changes.count()
+    assert summary["date_issues"] == run.date_issues.count() and summary["final_records"] == run.data.count() and summary["original_records"] == 12
+    assert (run.guard is None) == (context.columns is None) and (run.guard is None or run.guard.count() == 0)
+
+
 def evidence_rows(spark, files):
     rows = [(n, g, f) for f, pairs in files.items() for n, g in pairs]
     data = spark.createDataFrame(rows, "farmer_name string, gender string, source_file string")

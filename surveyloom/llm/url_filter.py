@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.llm.common import ascii_lower
+from surveyloom.llm.common import ascii_lower, stage
 
 PREFIX_CHARS = 8
 
@@ -77,6 +77,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     """
     rows = pages.select("page_id", "url")
     parts = url_parts(F.col("url"))
-    return rows.join(url_rules(rows, rules), "url", "left").select(
+    # stored, so that the join can split a URL of many pages; null URLs stay out of it
+    found = stage(url_rules(rows, rules), "urls")
+    joined = rows.where(F.col("url").isNotNull()).join(found, "url", "left")
+    every = joined.unionByName(rows.where(F.col("url").isNull()), allowMissingColumns=True)
+    return every.select(
         "page_id", parts.host.alias("host"), parts.path.alias("path"), "rule", F.coalesce("action", F.lit(default)).alias("verdict")
     )

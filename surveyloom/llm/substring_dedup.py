@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -96,10 +97,10 @@ def symbols(docs: DataFrame, window: int) -> DataFrame:
 
 def _open_windows(n: int, names: np.ndarray, since: np.ndarray, until: np.ndarray, shared: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Ranges [from, to) of window starts that no unshared symbol shows to be unique."""
-    count = n - window + 1
+    total = n - window + 1
     unshared = ~np.isin(names, shared)
-    a, z = np.maximum(until[unshared] - window, 0), np.minimum(since[unshared], count - 1) + 1
-    change = np.zeros(count + 1, np.int64)
+    a, z = np.maximum(until[unshared] - window, 0), np.minimum(since[unshared], total - 1) + 1
+    change = np.zeros(total + 1, np.int64)
     ok = a < z
     np.add.at(change, a[ok], 1)
     np.add.at(change, z[ok], -1)
@@ -156,16 +157,25 @@ def _kept_words(texts: DataFrame, window: int) -> DataFrame:
                 np.add.at(change, row.repeated + window, -1)
                 gone = np.cumsum(change[:-1]) > 0
                 kept = b" ".join(w for w, g in zip(words, gone) if not g)
-                out.append((row.own, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
-            yield pd.DataFrame(out, columns=["class", "n_removed", "kept_sha", "kept"])
+                out.append((row.own, int(gone.sum()), hashlib.sha256(kept).hexdigest()))
+            yield pd.DataFrame(out, columns=["class", "n_removed", "kept_sha"])
 
-    return texts.mapInPandas(run, "class long, n_removed long, kept_sha string, kept string")
+    return texts.mapInPandas(run, "class long, n_removed long, kept_sha string")
 
 
 #: Stands for a null doc_id.
 LAST = 2**63 - 1
 
 
+def _classed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the class of each digest: 64 bits, seeded so that no two digests share them."""
+    for seed in count():
+        found = rows.withColumn("class", F.xxhash64(F.lit(seed), F.col("digest")))
+        clash = found.groupBy("class").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi")
+        if clash.isEmpty():
+            return found
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) per document.
 
@@ -175,7 +185,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     windows have to be verified.
     """
     identified = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
-    rows = stage(symbols(identified, window).withColumn("class", F.xxhash64("digest")), "symbols")
+    rows = _classed(stage(symbols(identified, window), "symbols"))
     long = rows.where(F.col("n") >= window)
     asked = stage(open_windows(long, window), "open")
     texts = stage(identified.join(asked, "doc_id"), "texts")

@@ -2,9 +2,10 @@
 
 Long texts are cut into overlapping chunks that are pre-tokenised by different tasks. Pre-tokens
 depend only on where they start and on the characters up to a little after their end. So where two
-chunks have a boundary in common, they agree from there on: texts are cut at such places and the
-pieces are encoded alone. A text with an overlap that has no common boundary, such as one very long
-word, is cut again into larger chunks.
+chunks have a boundary in common, they agree from there on: texts are cut at such places. As the last
+pre-token of a piece can depend on what follows it, pieces are pre-tokenised with LOOK characters more
+and encoded pre-token by pre-token up to their end. A text with an overlap that has no common boundary, such
+as one very long word, is cut again into larger chunks.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ OVERLAP = 1 << 10
 #: Characters after a pre-token that can change it: a contraction has up to three characters.
 LOOK = 4
 GROWTH = 8
+#: Takes any text as one pre-token.
+WHOLE = r"(?s:.+)"
 #: Texts that a worker turns into arrays at a time.
 AT_ONCE = 128
 
@@ -58,17 +61,33 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, AT_ONCE)
 
 
-def _with_ids(rows: DataFrame, path: str, pattern: str, kept: str, decoded: bool) -> DataFrame:
-    """``rows`` with ids in the place of the last column, text, and with the bytes that they decode to where asked."""
+def encode_piece(path: str, pattern: str, text: str, size: int) -> list[int]:
+    """Ids of the first ``size`` characters of ``text``, which end at a boundary; what follows is only looked at."""
+    piece, own = text[:size], encoding(path, pattern)
+    if size == len(text):
+        return own.encode_ordinary(piece)
+    ends = [e for e in boundaries(text, pattern) if e <= size]
+    if ends == boundaries(piece, pattern):
+        return own.encode_ordinary(piece)
+    single = encoding(path, WHOLE)
+    return [i for start, end in zip([0, *ends], ends) for i in single.encode_ordinary(text[start:end])]
+
+
+def _with_ids(rows: DataFrame, path: str, pattern: str, kept: str, decoded: bool, sized: bool = False) -> DataFrame:
+    """``rows`` with ids in the place of the last column, text, and with the bytes that they decode to where asked; ``sized`` rows have the length of the piece before its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoding(path, pattern)
         for b in _slices(batches):
-            ids = [own.encode_ordinary(t) for t in b.column("text").to_pylist()]
-            out = [*b.columns[:-1], pa.array([np.array(i, "<u4").tobytes() for i in ids], pa.binary())]
+            texts, left = b.column("text").to_pylist(), -2 if sized else -1
+            if sized:
+                ids = [encode_piece(path, pattern, t, n) for t, n in zip(texts, b.column("size").to_pylist())]
+            else:
+                ids = [own.encode_ordinary(t) for t in texts]
+            out = [*b.columns[:left], pa.array([np.array(i, "<u4").tobytes() for i in ids], pa.binary())]
             if decoded:
                 out.append(pa.array([own.decode_bytes(i) for i in ids], pa.binary()))
-            yield pa.RecordBatch.from_arrays(out, names=[*b.schema.names[:-1], "ids", "bytes"][: len(out)])
+            yield pa.RecordBatch.from_arrays(out, names=[*b.schema.names[:left], "ids", "bytes"][: len(out)])
 
     return rows.mapInArrow(run, f"{kept}, ids binary" + ", bytes binary" * decoded)
 
@@ -120,9 +139,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUN
     placed = chunks.join(failed, "row", "left_anti").join(here, ["row", "no"], "left").join(before, ["row", "no"], "left")
     begin = F.coalesce(F.col("since"), F.col("start")) - F.col("start")
     size = F.coalesce(F.col("until") - F.col("start"), F.length("text")) - begin
-    pieces = placed.select("row", "doc_id", "no", F.substring(F.col("text"), begin + 1, size).alias("text"))
+    pieces = placed.select("row", "doc_id", "no", size.cast("int").alias("size"), F.substring(F.col("text"), begin + 1, size + LOOK).alias("text"))
 
-    encoded = _with_ids(pieces, path, pattern, "row string, doc_id long, no int", decoded)
+    encoded = _with_ids(pieces, path, pattern, "row string, doc_id long, no int", decoded, sized=True)
     # the ids of a document are one value in the result, so its pieces meet in one row
     values = ["ids", "bytes"] if decoded else ["ids"]
     joined = lambda v: F.aggregate(F.array_sort(F.collect_list(F.struct("no", v))), F.lit(b""), lambda acc, x: F.concat(acc, x[v])).alias(v)

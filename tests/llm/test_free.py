@@ -368,6 +368,22 @@ def test_nearest_codes_against_all_pairs(spark, dims, n):
     assert got == want
 
 
+@pytest.mark.parametrize("pattern", [public_tokenizers.PATTERN, r"\s+(?!\S)|[^\s]+|\s+"])
+def test_tokens_are_cut_right_for_any_ranks(spark, tmp_path, pattern):
+    """Ranks with tokens of white space, texts of runs of it, and chunks so small that every place is a cut."""
+    blanks = [b"\n\n", b"  ", b" \n", b"\n\n\n", b" a", b"ab", b"'s", b"   "]
+    ranks = {bytes([i]): i for i in range(256)} | {b: 256 + i for i, b in enumerate(blanks)}
+    path = f"{tmp_path}/ranks"
+    with open(path, "wb") as out:
+        out.writelines(base64.b64encode(t) + b" " + str(r).encode() + b"\n" for t, r in ranks.items())
+    whole = tiktoken.Encoding("whole", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(["\n", "\n\n", " ", "  ", "a", "b", "ab", "'s", "é", "1"]) for _ in range(rng.randrange(20, 120))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in tokens.encode_documents(df, path, pattern, chunk=24, overlap=14).collect()}
+    assert got == {i: whole.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 BODY = "<p>" + "several plain words of the article " * 8 + "</p>"
 TEXT = ("several plain words of the article " * 8).strip()
 

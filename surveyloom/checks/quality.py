@@ -213,6 +213,27 @@ def sample_values(spark, sf_dir):
     return rules.issue_values(found).select("type", "field", F.array_join("samples", "|").alias("samples"))
 
 
+_ALLOWED = [(s.name, i, a) for s in rules.HOUSEHOLD_SCHEMA for i, a in enumerate(dict.fromkeys(s.allowed or ()))]
+
+
+@check(
+    "fn_39_suggestions",
+    f"""WITH RECURSIVE {HOUSEHOLD}, v AS ({_VALUES}), asked AS (SELECT type, field, arg_min(value, row_id) AS value FROM v GROUP BY ALL),
+ opts AS {S.values(_ALLOWED, 'field, place, allowed')},
+ {S.ratio('SELECT lower(allowed) AS a, lower(value) AS b FROM asked JOIN opts USING (field)')},
+ near AS (SELECT type, field, allowed FROM asked JOIN opts USING (field) JOIN ratios ON a = lower(allowed) AND b = lower(value) WHERE ratio > 0.6
+  QUALIFY row_number() OVER (PARTITION BY type, field ORDER BY ratio DESC, place) = 1),
+ lists AS (SELECT field, string_agg(allowed, '|' ORDER BY place) AS listed FROM opts GROUP BY field),
+ patterns AS {S.values([(s.name, s.pattern) for s in rules.HOUSEHOLD_SCHEMA if s.pattern], 'field, pattern')}
+ SELECT type, field, coalesce(near.allowed, listed, pattern) AS suggestion,
+  CASE WHEN near.allowed IS NOT NULL THEN 'nearest' WHEN listed IS NOT NULL THEN 'list' ELSE 'pattern' END AS suggested_from
+ FROM asked LEFT JOIN near USING (type, field) LEFT JOIN lists USING (field) LEFT JOIN patterns USING (field)""",
+)
+def suggested_corrections(spark, sf_dir):
+    issues = rules.validate_table(household(spark, sf_dir))
+    return issues.where(F.col("suggestion").isNotNull()).select("type", "field", "suggestion", "suggested_from")
+
+
 @check(
     "val_15_code_tuple",
     f"""WITH {HOUSEHOLD}, c AS (SELECT row_id, CASE WHEN coalesce(try_cast(state_code AS BIGINT), 0) <= 0 THEN 'state_code'

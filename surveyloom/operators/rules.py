@@ -14,6 +14,7 @@ from surveyloom.functions.temporal import parse_date
 from surveyloom.functions.text import contains_pii, is_blank
 from surveyloom.operators.cells import melt, union_all
 from surveyloom.operators.dedup import later_occurrences
+from surveyloom.session import stage
 
 
 @dataclass(frozen=True)
@@ -257,6 +258,33 @@ def spillover_sampled(df: DataFrame, schema: Sequence[FieldRule], row_id: str, s
     )
 
 
+#: Least ratio above which a listed value is suggested for a bad one.
+SUGGESTED_ABOVE = 0.6
+
+
+def suggestions(issues: DataFrame, schema: Sequence[FieldRule], min_ratio: float = SUGGESTED_ABOVE) -> DataFrame:
+    """(type, field, suggestion, suggested_from) for the enum and pattern issues of ``issues`` (type, field, samples).
+
+    The first bad value of an issue is compared with the values that its field allows: the nearest one is
+    suggested (of equal ones the first listed), else all of them, joined by ``|``; a field without a list has
+    its pattern. There are no more rows than rules, whatever the table.
+    """
+    spark = issues.sparkSession
+    fields = [(s.name, "|".join(s.allowed) if s.allowed else None, s.pattern or None) for s in schema if s.allowed or s.pattern]
+    listed = [(s.name, i, a) for s in schema for i, a in enumerate(dict.fromkeys(s.allowed or ()))]
+    asked = issues.where(F.col("type").isin("INVALID_ENUM_VALUE", "PATTERN_MISMATCH")).select("type", "field", F.get("samples", F.lit(0)).alias("value"))
+    options = spark.createDataFrame(listed, "field string, place int, allowed string")
+    scored = asked.join(F.broadcast(options), "field").withColumn("ratio", sequence_ratio(F.lower("allowed"), F.lower("value")))
+    near = scored.groupBy("type", "field").agg(F.max(F.struct("ratio", (-F.col("place")).alias("place"), "allowed")).alias("top"))
+    near = near.where(F.col("top.ratio") > min_ratio).select("type", "field", F.col("top.allowed").alias("nearest"))
+    known = spark.createDataFrame(fields, "field string, listed string, pattern string")
+    told = asked.join(F.broadcast(known), "field").join(F.broadcast(near), ["type", "field"], "left")
+    return told.select(
+        "type", "field", F.coalesce("nearest", "listed", "pattern").alias("suggestion"),
+        F.when(F.col("nearest").isNotNull(), "nearest").when(F.col("listed").isNotNull(), "list").otherwise("pattern").alias("suggested_from"),
+    )
+
+
 def validate_table(
     df: DataFrame,
     schema: Sequence[FieldRule] = HOUSEHOLD_SCHEMA,
@@ -266,10 +294,10 @@ def validate_table(
     pii_sample_rows: int | None = None,
     evidence: bool = True,
 ) -> DataFrame:
-    """All issues: (type, severity, field, n, rows, samples).
+    """All issues: (type, severity, field, n, rows, samples, suggestion, suggested_from).
 
     Two passes however many rules there are: one aggregation for the counts, one ranked
-    pass for the bounded evidence.
+    pass for the bounded evidence, from which ``suggestions`` are derived.
     """
     spark = df.sparkSession
     rules = field_rules(df, schema) + cross_field_rules(df) + code_rules(df, schema)
@@ -297,8 +325,11 @@ def validate_table(
     issues = union_all(parts)
     if not evidence:
         return issues
-    return issues.join(F.broadcast(issue_rows(found)), ["type", "field"], "left").join(
-        F.broadcast(issue_values(found)), ["type", "field"], "left"
+    values = stage(issue_values(found), "samples")  # a row per rule at most
+    return (
+        issues.join(F.broadcast(issue_rows(found)), ["type", "field"], "left")
+        .join(F.broadcast(values), ["type", "field"], "left")
+        .join(F.broadcast(suggestions(values, schema)), ["type", "field"], "left")
     )
 
 

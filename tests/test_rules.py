@@ -213,6 +213,18 @@ def test_file_systems_without_a_client_are_read_through_spark(spark, tmp_path):
     assert sorted((r.path.rsplit("/")[-1], r.status, r.columns) for r in got.collect()) == [("a.csv", "success", ["k", "v"]), ("b.csv.gz", "failed", []), ("c.csv", "missing", [])]
 
 
+def test_issues_carry_suggestions(spark):
+    rows = [dict(GOOD, row_id=i, social_category=c, irrigation_source=w, ifsc_code=b) for i, (c, w, b) in enumerate([("Genral", "qqq", "x1"), ("zzz", "WELL", None), ("SC", "WEL", "")])]
+    df = spark.createDataFrame(rows)
+    got = {(r.type, r.field): (r.suggestion, r.suggested_from) for r in rules.validate_table(df).collect()}
+    assert got["INVALID_ENUM_VALUE", "social_category"] == ("GENERAL", "nearest")
+    assert got["INVALID_ENUM_VALUE", "irrigation_source"] == ("|".join(a for s in rules.HOUSEHOLD_SCHEMA if s.name == "irrigation_source" for a in s.allowed), "list")
+    assert got["PATTERN_MISMATCH", "ifsc_code"] == (next(s.pattern for s in rules.HOUSEHOLD_SCHEMA if s.name == "ifsc_code"), "pattern")
+    assert all(v == (None, None) for k, v in got.items() if k[0] not in ("INVALID_ENUM_VALUE", "PATTERN_MISMATCH"))
+    clean = rules.validate_table(spark.createDataFrame([dict(GOOD, row_id=1)]))
+    assert clean.where("suggestion is not null").count() == 0
+
+
 def test_nearest_allowed(spark):
     df = spark.createDataFrame([("Genral",), ("qqq",), ("minorty",)], "v string")
     out = {r["value"]: r["suggestion"] for r in rules.nearest_allowed(df, "v", rules.SOCIAL_CATEGORIES).collect()}

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from surveyloom.session import stage
+
 # Rows of one key that a single task handles at most; a hotter key is split.
 ROWS_PER_SPLIT = 1_000_000
 # Largest lookup table that is broadcast; a larger one is joined by shuffle.
@@ -105,3 +107,20 @@ def split_by_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> Split:
     told = found.withColumn("_byte", byte).withColumn("_place", (position % 8).cast("int"))
     part = lambda want: told.where(hit == want).select(*df.columns)
     return Split(part(True), part(False))
+
+
+def rank_within(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """``df`` with the zero-based position of each row in its group, ordered by ``order``, however many rows a group has.
+
+    Rows are dealt by range of (group, order), so a hot group is spread over ranges, and stored with the number of their
+    range; what lies before a range is the sum over one count per range. Null groups are one group.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stage(df.repartitionByRange(ranges, group, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_range")) - F.col("_n")
+    offsets = counts.select(F.col(group).alias("_group"), F.col("_range").alias("_of"), before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(group, "_range").orderBy(order)) - 1
+    placed = dealt.withColumn("_inside", inside)
+    joined = placed.join(offsets, placed[group].eqNullSafe(offsets["_group"]) & (placed["_range"] == offsets["_of"]))
+    return joined.withColumn(name, F.col("_before") + F.col("_inside")).select(*df.columns, name)

@@ -3,7 +3,7 @@
 Every file is a small state machine; an event that its state does not allow is kept in
 the log, marked illegal, and changes nothing. Because the state after an event depends
 on which earlier events were legal, the states are computed as a prefix scan over
-*transition functions*: events are cut into chunks by sequence number, each chunk is
+*transition functions*: a file's events are cut into chunks by their rank, each chunk is
 reduced to the function it applies to a start state, functions are composed level by
 level, and the start states are handed back down. No chunk holds more than CHUNK events,
 so a file with any number of events is spread over tasks.
@@ -14,6 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from surveyloom.operators.keyed import lookup, rank_within
+from surveyloom.session import stage
+
 # States, and which action leads from which state to which.
 STATES = ("none", "pending", "held", "approved", "rejected", "promoted", "revoked")
 TRANSITIONS = (
@@ -69,22 +72,34 @@ def _prefix(items: Column, start: Column) -> Column:
     return F.aggregate(items, seed, step)["seen"]
 
 
-def _levels(events: DataFrame, seq: str, chunk: int) -> int:
-    """How often sequence numbers must be divided until one chunk per file is left."""
-    top = events.agg(F.max(seq)).first()[0] or 0
+def apply_events(events: DataFrame, file: str = "file_name", seq: str = "seq", action: str = "action", chunk: int = CHUNK) -> DataFrame:
+    """Add ``from_status``, ``to_status`` and ``is_legal``; ``seq`` is unique per file, null ones are left out.
+
+    Files of up to ``chunk`` events end in one aggregation. Events of the others are ranked within their file,
+    so the number of levels follows the largest file and not the sequence numbers, which may be sparse.
+    """
+    events = events.where(F.col(seq).isNotNull())
+    sizes = events.groupBy(file).agg(F.count(F.lit(1)).alias("_events"))
+    long = stage(sizes.where(F.col("_events") > chunk), "long-files")
+    largest = long.agg(F.max("_events")).first()[0]
+    if largest is None:
+        return _scan(events.withColumn("_rank", F.lit(0).cast("bigint")), file, seq, action, chunk, 1)
     levels = 1
-    while top >= chunk**levels:
+    while largest > chunk**levels:
         levels += 1
-    return levels
+    named = lookup(events.withColumn("_file", F.struct(file)), long.select(F.struct(file).alias("_file"), F.lit(True).alias("_long")), ["_file"])
+    short = named.where(F.col("_long").isNull()).drop("_file", "_long").withColumn("_rank", F.lit(0).cast("bigint"))
+    ranked = rank_within(named.where("_long").drop("_file", "_long"), file, seq, "_rank")
+    return _scan(short, file, seq, action, chunk, 1).unionByName(_scan(ranked, file, seq, action, chunk, levels))
 
 
-def apply_events(events: DataFrame, file: str = "file_name", seq: str = "seq", action: str = "action", chunk: int = CHUNK) -> DataFrame:
-    """Add ``from_status``, ``to_status`` and ``is_legal``; ``seq`` is unique per file and not negative."""
-    levels = _levels(events, seq, chunk)
-    rest = [c for c in events.columns if c not in (file, seq)]
+def _scan(events: DataFrame, file: str, seq: str, action: str, chunk: int, levels: int) -> DataFrame:
+    """The prefix scan over events with their ``_rank``; with one level the order within a file is that of ``seq`` alone."""
+    rest = [c for c in events.columns if c not in (file, seq, "_rank")]
     leaves = events.select(
-        F.col(file).alias("_file"),
-        F.col(seq).cast("bigint").alias("_at"),
+        F.struct(F.col(file).alias("name")).alias("_file"),
+        F.col("_rank").alias("_at"),
+        F.col(seq).cast("bigint").alias("_seq"),
         _action_function(F.col(action)).alias("f"),
         F.struct(*rest).alias("_event"),
     )
@@ -93,7 +108,7 @@ def apply_events(events: DataFrame, file: str = "file_name", seq: str = "seq", a
     groups: list[DataFrame] = []
     level = leaves
     for depth in range(levels):
-        part = F.struct("_at", "f", "_event") if depth == 0 else F.struct("_at", "f")
+        part = F.struct("_seq", "f", "_event") if depth == 0 else F.struct("_at", "f")
         grouped = (
             level.groupBy("_file", F.floor(F.col("_at") / chunk).cast("bigint").alias("_chunk"))
             .agg(F.sort_array(F.collect_list(part)).alias("_parts") if depth else F.array_sort(F.collect_list(part), _by_position).alias("_parts"))
@@ -117,8 +132,8 @@ def apply_events(events: DataFrame, file: str = "file_name", seq: str = "seq", a
     names = F.lit(list(STATES))
     after = _state(F.col("_before"), F.col("_part.f"))
     return rows.select(
-        F.col("_file").alias(file),
-        F.col("_part._at").alias(seq),
+        F.col("_file.name").alias(file),
+        F.col("_part._seq").alias(seq),
         *[F.col(f"_part._event.{c}").alias(c) for c in rest],
         F.get(names, F.col("_before")).alias("from_status"),
         F.get(names, after).alias("to_status"),
@@ -127,7 +142,7 @@ def apply_events(events: DataFrame, file: str = "file_name", seq: str = "seq", a
 
 
 def _by_position(a: Column, b: Column) -> Column:
-    return F.when(a["_at"] < b["_at"], -1).when(a["_at"] > b["_at"], 1).otherwise(0)
+    return F.when(a["_seq"] < b["_seq"], -1).when(a["_seq"] > b["_seq"], 1).otherwise(0)
 
 
 def new_uploads(uploads: DataFrame, registered: DataFrame) -> DataFrame:

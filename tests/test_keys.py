@@ -107,9 +107,9 @@ def test_frozen_guard(spark):
 def test_lifecycle_equals_a_fold(spark, chunk):
     rng = random.Random(3)
     actions = ["upload", "approve", "reject", "hold", "promote", "revoke", "other"]
-    files = ["hot.csv"] * 200 + [f"f{rng.randrange(30)}.csv" for _ in range(200)]
+    files = ["hot.csv"] * 200 + [None] * 40 + [f"f{rng.randrange(30)}.csv" for _ in range(160)]
     rng.shuffle(files)
-    events = [(f, 3 * i, rng.choice(actions)) for i, f in enumerate(files)]
+    events = [(f, 40 * i**4 + i, rng.choice(actions)) for i, f in enumerate(files)]  # sparse, up to 10^12
     df = spark.createDataFrame(events, "file_name string, seq long, action string")
     table = {(a, s): t for a, s, t in lifecycle.TRANSITIONS}
     state, expected = {}, {}

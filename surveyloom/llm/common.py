@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyloom.functions.text import let
 from surveyloom.session import stage
 
-__all__ = ["BLANKS", "WORD", "ascii_lower", "let", "ranked", "row_hash", "stage", "words"]
+__all__ = ["BLANKS", "WORD", "ascii_lower", "class_of", "let", "ranked", "row_hash", "stage", "unique_seed", "words"]
 
 # Words are runs of anything but these blanks.
 BLANKS = "[\\x20\\x09-\\x0D]+"
@@ -25,6 +27,19 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _UPPER.lower())
 
 
+def class_of(digest: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), digest)
+
+
+def unique_seed(rows: DataFrame, digest: str) -> int:
+    """The first seed by which ``class_of`` gives no two digests of stored ``rows`` the same 64 bits, so that these stand for the digest exactly."""
+    for seed in count():
+        found = rows.where(F.col(digest).isNotNull()).groupBy(class_of(F.col(digest), seed).alias("c")).agg(F.min(digest).alias("lo"), F.max(digest).alias("hi"))
+        if found.where("lo <> hi").isEmpty():
+            return seed
+    raise AssertionError
+
+
 def row_hash(*cols: Column) -> Column:
     """Uniform number in [0, 1) from 52 bits of the MD5 of the columns' texts."""
     digest = F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]))

@@ -4,7 +4,7 @@ A table key combines one half key of collection A with one of collection B, each
 All pairs of half keys give SIDE * SIDE tables from 2 * SIDE * ROWS minhashes. Two sets meet in some
 table if they share a half key of either collection, so only those keys are combined.
 
-Texts with equal shingle sets are one class, known by the 128-bit digest of the set. In every bucket of a table, members are compared with
+Texts with equal shingle sets are one class, known by 64 bits of the set's 128-bit digest, seeded so that no two sets share them. In every bucket of a table, members are compared with
 the bucket's most typical class only. What is left are buckets whose members lie in different
 components; there the shingles that occur in several components are indexed, rare ones first, and
 only sets that could still reach the threshold by them are compared. So no link between classes that
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.llm.common import stage
+from surveyloom.llm.common import class_of, stage, unique_seed
 from surveyloom.llm.components import components
 from surveyloom.operators.keyed import split_by_keys
 
@@ -89,7 +89,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int, side: int) -> DataFrame:
-    """(doc_id, th, n, c, keys) per document, th being a hash of the text; c (the digest of the set) and keys are null for empty sets."""
+    """(doc_id, th, n, digest, keys) per document, th being a hash of the text; digest (that of the set) and keys are null for empty sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
@@ -98,23 +98,23 @@ def sketches(docs: DataFrame, size: int, side: int) -> DataFrame:
             for doc_id, text, th in zip(b["doc_id"], b["text"], b["th"]):
                 s = shingles(text, size, known)
                 out.append((doc_id, th, len(s), xxhash.xxh3_128_digest(s.tobytes()), _signed(half_keys(s, 2 * side))) if len(s) else (doc_id, th, 0, None, None))
-            yield pd.DataFrame(out, columns=["doc_id", "th", "n", "c", "keys"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "th", "n", "digest", "keys"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInPandas(run, "doc_id long, th long, n long, c binary, keys array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInPandas(run, "doc_id long, th long, n long, digest binary, keys array<long>")
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+def class_sets(docs: DataFrame, wanted: DataFrame, size: int, seed: int) -> DataFrame:
     """(c, n, s): the shingle set of each wanted class (c, doc_id), from one of its documents' texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
         for b in batches:
             sets = [shingles(t, size, known) for t in b["text"]]
-            yield pd.DataFrame({"c": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "n": [len(s) for s in sets], "s": [_signed(s) for s in sets]})
+            yield pd.DataFrame({"digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "n": [len(s) for s in sets], "s": [_signed(s) for s in sets]})
 
     ids = wanted.select("doc_id").distinct()
     texts, _ = split_by_keys(docs.select("doc_id", "text"), ids, ["doc_id"])  # so that few texts are shuffled
-    found = texts.join(ids, "doc_id", "left_semi").mapInPandas(run, "c binary, n long, s array<long>")
+    found = texts.join(ids, "doc_id", "left_semi").mapInPandas(run, "digest binary, n long, s array<long>").select(class_of(F.col("digest"), seed).alias("c"), "n", "s")
     return found.join(wanted.select("c"), "c", "left_semi").dropDuplicates(["c"])
 
 
@@ -146,8 +146,7 @@ def _left_over(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     needs so many.
     """
     held = sets.join(members, "c").select("c", "root", F.explode("s").alias("t"))
-    place = F.xxhash64("root")
-    several = held.groupBy("t").agg(F.count("*").alias("df"), F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
+    several = held.groupBy("t").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     several = stage(several.select("t", "df"), "several")
     listed = held.select("c", "t").join(several, "t").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("ts"))
     needed = F.ceil(F.col("n") * percent / 100)
@@ -167,7 +166,9 @@ def _left_over(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, n, c, keys) per document and (c, doc_id, root) per class, doc_id being the smallest; all of them are stored."""
     side = sides(percent)
-    rows = stage(sketches(docs, size, side), "sketches")
+    stored = stage(sketches(docs, size, side), "sketches")
+    seed = unique_seed(stored, "digest")
+    rows = stored.select("doc_id", "th", "n", F.when(F.col("digest").isNotNull(), class_of(F.col("digest"), seed)).alias("c"), "keys")
     known = rows.where("c is not null")
     classes = known.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     half = stage(classes.select("c", F.posexplode("keys").alias("no", "key")).select("c", (F.col("no") < side).alias("first"), "key"), "half-keys")
@@ -184,12 +185,11 @@ def _components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Da
     buckets = stage(buckets.select("key", F.col("lead.c").alias("lead"), F.col("lead.n").alias("lead_n")), "buckets")
     pairs = tables.join(buckets, "key").where((F.col("c") != F.col("lead")) & _can_link(F.col("n"), F.col("lead_n"), percent))
     pairs = stage(pairs.select(F.least("c", "lead").alias("a"), F.greatest("c", "lead").alias("b")).distinct(), "pairs")
-    sets = stage(class_sets(docs, met, size), "sets")
+    sets = stage(class_sets(docs, met, size, seed), "sets")
     links = stage(verified(pairs, sets, percent), "links")
 
     rooted = stage(_rooted(met.select("c"), links), "roots")
-    place = F.xxhash64("root")
-    mixed = tables.join(rooted, "c").groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
+    mixed = tables.join(rooted, "c").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     mixed = stage(mixed.select("key"), "mixed")
     members = stage(tables.join(mixed, "key", "left_semi").select("c").distinct().join(rooted, "c"), "members")
     more = stage(verified(stage(_left_over(members, sets, percent), "pairs"), sets, percent), "links")

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -18,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.llm.common import stage
+from surveyloom.llm.common import class_of, stage, unique_seed
 from surveyloom.llm.recompress import BORDER, Names, compress, window_hashes
 
 WINDOW = 50
@@ -167,15 +166,6 @@ def _kept_words(texts: DataFrame, window: int) -> DataFrame:
 LAST = 2**63 - 1
 
 
-def _classed(rows: DataFrame) -> DataFrame:
-    """``rows`` with the class of each digest: 64 bits, seeded so that no two digests share them."""
-    for seed in count():
-        found = rows.withColumn("class", F.xxhash64(F.lit(seed), F.col("digest")))
-        clash = found.groupBy("class").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi")
-        if clash.isEmpty():
-            return found
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) per document.
 
@@ -185,7 +175,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     windows have to be verified.
     """
     identified = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
-    rows = _classed(stage(symbols(identified, window), "symbols"))
+    stored = stage(symbols(identified, window), "symbols")
+    rows = stored.withColumn("class", class_of(F.col("digest"), unique_seed(stored, "digest")))
     long = rows.where(F.col("n") >= window)
     asked = stage(open_windows(long, window), "open")
     texts = stage(identified.join(asked, "doc_id"), "texts")

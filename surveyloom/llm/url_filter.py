@@ -77,9 +77,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     """
     rows = pages.select("page_id", "url")
     parts = url_parts(F.col("url"))
-    # stored, so that the join can split a URL of many pages; null URLs stay out of it
+    # stored and merged, so that the join can split a URL of many pages; null URLs stay out of it
     found = stage(url_rules(rows, rules), "urls")
-    joined = rows.where(F.col("url").isNotNull()).join(found, "url", "left")
+    joined = rows.where(F.col("url").isNotNull()).join(found.hint("merge"), "url", "left")
     every = joined.unionByName(rows.where(F.col("url").isNull()), allowMissingColumns=True)
     return every.select(
         "page_id", parts.host.alias("host"), parts.path.alias("path"), "rule", F.coalesce("action", F.lit(default)).alias("verdict")

@@ -87,8 +87,8 @@ def file_batch(spark, sf_dir):
     )
 
 
-_SEEN = """uploads AS (SELECT 'doc_' || doc_id || '.csv' AS file_name, 'sha256:' || left(sha256(text), 16) AS checksum FROM documents),
- registered AS (SELECT 'doc_' || doc_id || '.csv' AS file_name, CASE WHEN toxic = 1 THEN 'other' ELSE 'sha256:' || left(sha256(text), 16) END AS known FROM documents JOIN labels USING (doc_id))"""
+_SEEN = """uploads AS (SELECT 'doc_' || doc_id || '.csv' AS file_name, 'sha256:' || left(sha256(text || chr(10)), 16) AS checksum FROM documents),
+ registered AS (SELECT 'doc_' || doc_id || '.csv' AS file_name, CASE WHEN toxic = 1 THEN 'other' ELSE 'sha256:' || left(sha256(text || chr(10)), 16) END AS known FROM documents JOIN labels USING (doc_id))"""
 
 
 @check(
@@ -635,6 +635,33 @@ def _move(spark, source: str, target: str) -> None:
     fs.rename(path(found[0]), place)
 
 
+_BY_PATH = " UNION ALL ".join(
+    f"SELECT '{k}' AS folder, '{name}' AS source_file, 'success' AS status, count(*) AS n FROM survey WHERE source_file = 'file_{k}.csv'"
+    for k, name in enumerate(("data.csv", "data.csv", "data.CSV", "data.csv.gz"))
+)
+
+
+@check(
+    "src_5_files_by_path",
+    f"WITH {SURVEY} {_BY_PATH} UNION ALL SELECT '4', 'data.csv', 'empty', 0 UNION ALL SELECT '5', 'data.csv.gz', 'failed', 0 UNION ALL SELECT '6', 'data.csv', 'missing', 0",
+)
+def files_by_path(spark, sf_dir):
+    """Files of one name in several folders, with other orders of columns, packed, empty, broken and missing; rows are counted per full path."""
+    path = scratch_path(spark, "files")
+    for k, name in enumerate(("data.csv", "data.csv", "data.CSV", "data.csv.gz")):
+        _put(spark, sf_dir, f"{path}-{k}", range(k, k + 1), **({"compression": "gzip"} if name.endswith("gz") else {}))
+        _move(spark, f"{path}-{k}", f"{path}/{k}/{name}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/4/data.csv")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place).close()
+    sinks.write_table(spark.range(1).select(F.lit("not gzip").alias("x")), f"{path}-5", "csv")
+    _move(spark, f"{path}-5", f"{path}/5/data.csv.gz")
+    names = [*(f"{path}/{k}/data.csv" for k in (0, 1, 4, 6)), f"{path}/2/data.CSV", *(f"{path}/{k}/data.csv.gz" for k in (3, 5))]
+    files = tables.read_file_set(spark, names, _FILE_COLUMNS)
+    counts = files.rows.where(F.col("source_row").isNotNull()).groupBy("source_path").agg(F.count(F.lit(1)).alias("n"))
+    folder_name = F.element_at(F.split("source_path", "/"), -2).alias("folder")
+    return files.outcomes.join(counts, "source_path", "left").select(folder_name, "source_file", "status", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def _poll(spark, path: str, out: str, checkpoint: str, files_per_batch: int = 2) -> None:
     stream = folder.arrivals(spark, path, files_per_batch=files_per_batch)
     folder.process_folder(stream, _EVERY_RULE, out, checkpoint, columns=_FILE_COLUMNS).awaitTermination()

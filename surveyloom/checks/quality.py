@@ -10,7 +10,10 @@ from surveyloom.checks.registry import check
 from surveyloom.operators import export, lifecycle, rules
 from surveyloom.operators.rules import HOUSEHOLD_SCHEMA, SOCIAL_CATEGORIES, SOCIAL_CATEGORIES_SHORT
 from surveyloom.plans.profile import profile
+from surveyloom.session import scratch_path
+from surveyloom.sources.inspect import file_heads, inspect_files
 from surveyloom.sources.manifest import checksum
+from surveyloom.sources.tables import list_files
 
 HOUSEHOLD = derived("household")
 
@@ -275,6 +278,25 @@ def profile_on_arrival(spark, sf_dir):
     return profile(household(spark, sf_dir))
 
 
+def _household_files(spark, sf_dir) -> list[str]:
+    """Three files of the household table, one of them packed, each in the order of row_id."""
+    root, paths = scratch_path(spark, "households"), []
+    for k, (codec, suffix) in enumerate((("none", ".csv"), ("gzip", ".csv.gz"), ("none", ".csv"))):
+        part = household(spark, sf_dir).where(F.col("row_id") % 3 == k).repartitionByRange(1, "row_id").sortWithinPartitions("row_id")
+        part.withColumnRenamed("row_id", "source_row").write.options(header=True, escape='"', compression=codec, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{root}/{k}")
+        paths += [p for p in list_files(spark, f"{root}/{k}") if p.endswith(suffix)]
+    return paths
+
+
+@check(
+    "src_3_file_heads",
+    f"""WITH {HOUSEHOLD} SELECT CAST(row_id AS VARCHAR) AS source_row, nullif(household_id, '') AS household_id, latitude, (row_number() OVER w - 1)::BIGINT AS row_id FROM household
+ WINDOW w AS (PARTITION BY row_id % 3 ORDER BY row_id) QUALIFY row_number() OVER w <= 40""",
+)
+def heads_of_files(spark, sf_dir):
+    return file_heads(spark, _household_files(spark, sf_dir), ["source_row", "household_id", "latitude"], 40).drop("source_path")
+
+
 # ---- export --------------------------------------------------------------------------------
 
 _EXPORT_SOURCE = """SELECT row_id, person_name AS farmer_name, guardian_name AS father_spouse_name, national_id AS aadhaar_number, contact_number AS mobile_no, gender, category,
@@ -474,8 +496,8 @@ def tiers(spark, sf_dir):
 
 
 # Uploads are the documents; a labelled document is registered already, a toxic one with other content.
-_UPLOADS = """uploads AS (SELECT 'doc_' || doc_id || '.csv' AS file_name, 'sha256:' || left(sha256(text), 16) AS checksum FROM documents),
- registered AS (SELECT 'doc_' || doc_id || '.csv' AS file_name, CASE WHEN toxic = 1 THEN 'other' ELSE 'sha256:' || left(sha256(text), 16) END AS checksum
+_UPLOADS = """uploads AS (SELECT 'doc_' || doc_id || '.csv' AS file_name, 'sha256:' || left(sha256(text || chr(10)), 16) AS checksum FROM documents),
+ registered AS (SELECT 'doc_' || doc_id || '.csv' AS file_name, CASE WHEN toxic = 1 THEN 'other' ELSE 'sha256:' || left(sha256(text || chr(10)), 16) END AS checksum
   FROM documents JOIN labels USING (doc_id))"""
 
 
@@ -491,9 +513,13 @@ def register_uploads(spark, sf_dir):
 
 
 def uploads_and_registered(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select(
-        "doc_id", F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".csv")).alias("file_name"), checksum(F.col("text").cast("binary")).alias("checksum")
-    )
+    """Uploads are files, one per document, hashed where they lie; some are registered, a few of these with other content."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    root = scratch_path(spark, "uploads")
+    documents.repartition("doc_id").write.partitionBy("doc_id").text(root)
+    paths = [r["path"] for r in spark.read.format("binaryFile").load(root).select("path").collect()]
+    name = lambda of: F.concat(F.lit("doc_"), of, F.lit(".csv")).alias("file_name")
+    uploads = inspect_files(spark, paths, checksums=True).select(name(F.regexp_extract("path", "doc_id=([0-9]+)/", 1)), "checksum")
     labelled = documents.join(table(spark, sf_dir, "labels"), "doc_id")
-    registered = labelled.select("file_name", F.when(F.col("toxic") == 1, "other").otherwise(F.col("checksum")).alias("checksum"))
-    return documents.select("file_name", "checksum"), registered
+    known = checksum(F.concat("text", F.lit("\n")).cast("binary"))
+    return uploads, labelled.select(name(F.col("doc_id").cast("string")), F.when(F.col("toxic") == 1, "other").otherwise(known).alias("checksum"))

@@ -8,15 +8,18 @@ Spark's binaryFile source instead, where a file is one value.
 from __future__ import annotations
 
 import bz2
+import codecs
 import csv
 import hashlib
 import re
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 from typing import BinaryIO
 from urllib.parse import urlsplit
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.session import stage
 
-BUFFER = 1 << 20
+BUFFER, HEAD_BUFFER = 1 << 20, 1 << 16
 #: Longest header line; a file without a line break in so many bytes is reported as failed.
 MOST_HEADER = 1 << 24
 FILES_PER_TASK = 64
@@ -63,8 +66,8 @@ def _open(path: str) -> BinaryIO:
     return system.open_input_stream(inner)
 
 
-def _pieces(stream: BinaryIO) -> Iterator[bytes]:
-    while piece := stream.read(BUFFER):
+def _pieces(stream: BinaryIO, size: int = BUFFER) -> Iterator[bytes]:
+    while piece := stream.read(size):
         yield bytes(piece)
 
 
@@ -135,8 +138,8 @@ def _line_end(head: bytes) -> int:
     return -1
 
 
-def facts(path: str, pieces: Iterator[bytes], checksum: bool) -> tuple:
-    """A row of SCHEMA for one file from its raw bytes."""
+def facts(path: str, pieces: Iterator[bytes], checksum: bool, whole: bool = True) -> tuple:
+    """A row of SCHEMA for one file from its raw bytes; unless ``whole``, these are read up to the end of the header."""
     codec = (SUFFIX.search(path) or [None] * 3)[2]
     digest, length, reader = hashlib.sha256(), 0, _Reader()
 
@@ -152,6 +155,8 @@ def facts(path: str, pieces: Iterator[bytes], checksum: bool) -> tuple:
     try:
         for piece in _unpacked(raw, codec and codec.lower()):
             reader.take(piece)
+            if reader.ended and not whole:
+                break
         status, error = ("success" if reader.size else "empty"), None
     except Unreadable as broken:
         status, error = "failed", str(broken)[:500]
@@ -170,8 +175,8 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["path", "status", "error", "columns", "multi_line", "checksum", "length"])
 
 
-def inspect_files(spark: SparkSession, paths: Sequence[str], checksums: bool = False) -> DataFrame:
-    """One row per path, in the columns of SCHEMA; stored.
+def inspect_files(spark: SparkSession, paths: Sequence[str], checksums: bool = False, whole: bool = True) -> DataFrame:
+    """One row per path, in the columns of SCHEMA; stored. Unless ``whole`` only headers are read, and other facts are those of the bytes read.
 
     status is success, empty, missing or failed (with the error). Compressed files are read to their
     end, which alone shows that they are whole; multi_line tells whether a quoted cell holds a line
@@ -187,7 +192,7 @@ def inspect_files(spark: SparkSession, paths: Sequence[str], checksums: bool = F
             for path in b["path"]:
                 try:
                     with _open(path) as stream:
-                        out.append(facts(path, _pieces(stream), checksums))
+                        out.append(facts(path, _pieces(stream, BUFFER if whole else HEAD_BUFFER), checksums, whole))
                 except Exception as error:  # noqa: BLE001  the reason goes into the table
                     out.append(_fault(path, error))
             yield _frame(out)
@@ -198,19 +203,78 @@ def inspect_files(spark: SparkSession, paths: Sequence[str], checksums: bool = F
     return stage(found.unionByName(_through_spark(spark, other, checksums)) if other else found, "files")
 
 
+def _contents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, content) of the files that exist, a file being one value."""
+    asked = spark.createDataFrame([(p,) for p in paths], "path string")
+    folders = sorted({p.rsplit("/", 1)[0] for p in paths})
+    files = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(folders)
+    return files.select(metadata_path().alias("path"), "content").join(asked, "path", "left_semi")
+
+
 def _through_spark(spark: SparkSession, paths: list[str], checksums: bool) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield _frame([facts(p, iter([c]), checksums) for p, c in zip(b["path"], b["content"])])
 
-    asked = spark.createDataFrame([(p,) for p in paths], "path string")
-    files = spark.read.format("binaryFile").option("ignoreMissingFiles", True)
-    folders = sorted({p.rsplit("/", 1)[0] for p in paths})
-    content = files.load(folders).select(metadata_path().alias("path"), "content")
-    read = content.join(asked, "path", "left_semi").mapInPandas(run, SCHEMA)
-    known = stage(read, "files")
-    absent = asked.join(known, "path", "left_anti")
+    known = stage(_contents(spark, paths).mapInPandas(run, SCHEMA), "files")
+    absent = spark.createDataFrame([(p,) for p in paths], "path string").join(known, "path", "left_anti")
     gone = absent.selectExpr(
         "path", "'missing' AS status", "'no such file' AS error", "array() AS columns", "false AS multi_line", "CAST(NULL AS string) AS checksum", "0L AS length"
     )
     return known.unionByName(gone.withColumn("columns", F.col("columns").cast("array<string>")))
+
+
+def _lines(pieces: Iterator[bytes]) -> Iterator[str]:
+    decoder, rest = codecs.getincrementaldecoder("utf-8")("replace"), ""
+    for piece in pieces:
+        *lines, rest = (rest + decoder.decode(piece)).split("\n")
+        yield from (line + "\n" for line in lines)
+        if len(rest) > MOST_HEADER:
+            raise Unreadable(f"no line break within {MOST_HEADER} characters")
+    if rest:
+        yield rest
+
+
+def head(path: str, pieces: Iterator[bytes], columns: Sequence[str], rows: int) -> list[list[str | None]]:
+    """Cells of the first ``rows`` rows of a file, columns found by its header; no more is read than holds them."""
+    codec = (SUFFIX.search(path) or [None] * 3)[2]
+    reader = csv.reader(_lines(_unpacked(pieces, codec and codec.lower())), delimiter=separator(path))
+    names = [c.removeprefix("\ufeff").strip() for c in next(reader, [])]
+    place = {c: names.index(c) for c in columns if c in names}
+    cell = lambda line, c: (line[place[c]] or None) if c in place and place[c] < len(line) else None
+    return [[cell(line, c) for c in columns] for line in islice(filter(None, reader), rows)]
+
+
+def file_heads(spark: SparkSession, paths: Sequence[str], columns: Sequence[str], rows: int) -> DataFrame:
+    """(row_id, ``columns``, source_path): the first rows of every file as text, numbered from 0 in each.
+
+    A task per few files reads them as streams and stops after the rows: what is read doesn't grow with
+    the files, and nothing is sorted. Files that can't be read have no rows; ``inspect_files`` says why.
+    """
+    paths = sorted({plain_path(p) for p in paths})
+    own = [p for p in paths if urlsplit(p).scheme in _KNOWN]
+    other = [p for p in paths if urlsplit(p).scheme not in _KNOWN]
+
+    def frame(path: str, pieces: Iterator[bytes]) -> list[tuple]:
+        return [(i, path, cells) for i, cells in enumerate(head(path, pieces, columns, rows))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, path in enumerate(b["path"]):
+                found: list[tuple] = []
+                try:
+                    if "content" in b:
+                        found = frame(path, iter([b["content"].iloc[i]]))
+                    else:
+                        with _open(path) as stream:
+                            found = frame(path, _pieces(stream, HEAD_BUFFER))
+                except (OSError, csv.Error, pa.ArrowException):
+                    pass  # reported by inspect_files
+                yield pd.DataFrame(found, columns=["row_id", "source_path", "cells"])
+
+    schema = "row_id long, source_path string, cells array<string>"
+    listed = spark.createDataFrame([(p,) for p in own], "path string")
+    found = listed.repartition(max(1, -(-len(own) // FILES_PER_TASK))).mapInPandas(run, schema)
+    if other:
+        found = found.unionByName(_contents(spark, other).mapInPandas(run, schema))
+    return found.select("row_id", *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns)], "source_path")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.operators import export, rules
 from surveyloom.plans import batch
-from surveyloom.plans.profile import profile
+from surveyloom.plans.profile import profile, profile_file
 from surveyloom.plans.survey import SurveyConfig
 from surveyloom.sources import inspect, manifest, sinks, tables
 
@@ -213,6 +213,31 @@ def test_file_systems_without_a_client_are_read_through_spark(spark, tmp_path):
     assert sorted((r.path.rsplit("/")[-1], r.status, r.columns) for r in got.collect()) == [("a.csv", "success", ["k", "v"]), ("b.csv.gz", "failed", []), ("c.csv", "missing", [])]
 
 
+def test_heads_of_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v,k\n" + "".join(f'{i},"x\ny {i}",z\n' for i in range(50_000)))
+    (tmp_path / "b.tsv.gz").write_bytes(gzip.compress("\ufeffv\tk\n\né\t1\n\t2\nq".encode()))
+    (tmp_path / "c.csv").write_text("")
+    (tmp_path / "d.csv.gz").write_bytes(b"no")
+    got = inspect.file_heads(spark, [str(tmp_path / n) for n in ("a.csv", "b.tsv.gz", "c.csv", "d.csv.gz", "none.csv")], ["k", "v", "w"], 3)
+    rows = sorted((r.source_path.rsplit("/")[-1], r.row_id, r.k, r.v, r.w) for r in got.collect())
+    assert rows == [("a.csv", i, str(i), f"x\ny {i}", None) for i in range(3)] + [("b.tsv.gz", 0, "1", "é", None), ("b.tsv.gz", 1, "2", None, None), ("b.tsv.gz", 2, None, "q", None)]
+    read = []
+    pieces = (read.append(1) or b"k,v\n" + b"1,2\n" * 100 for _ in range(1000))
+    assert len(inspect.head("x.csv", pieces, ["v"], 5)) == 5 and len(read) < 3
+    assert inspect.inspect_files(spark, [str(tmp_path / "a.csv")], whole=False).first()["columns"] == ["k", "v", "k"]
+
+
+def test_profile_of_a_file_is_that_of_its_first_rows(spark, tmp_path):
+    rows = [dict(GOOD, social_category="zz" if i % 2 else "SC", latitude="north" if i == 700 else "20.1", aadhaar_number=str(100000000000 + i)) for i in range(900)]
+    names = list(rows[0])
+    (tmp_path / "h.csv").write_text(",".join(names) + "\n" + "\n".join(",".join(r[n] for n in names) for r in rows) + "\n")
+    table = spark.createDataFrame([dict(r, row_id=i) for i, r in enumerate(rows)])
+    key = lambda r: (r["type"], r["severity"], r["field"], r["n"])
+    got = sorted(map(key, profile_file(spark, str(tmp_path / "h.csv")).collect()))
+    assert got == sorted(map(key, profile(table).collect())) and ("INVALID_ENUM_VALUE", "MEDIUM", "social_category", 250) in got
+    assert not [r for r in got if r[0] == "TYPE_MISMATCH"]
+
+
 def test_issues_carry_suggestions(spark):
     rows = [dict(GOOD, row_id=i, social_category=c, irrigation_source=w, ifsc_code=b) for i, (c, w, b) in enumerate([("Genral", "qqq", "x1"), ("zzz", "WELL", None), ("SC", "WEL", "")])]
     df = spark.createDataFrame(rows)

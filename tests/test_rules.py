@@ -231,7 +231,7 @@ def test_profile_of_a_file_is_that_of_its_first_rows(spark, tmp_path):
     rows = [dict(GOOD, social_category="zz" if i % 2 else "SC", latitude="north" if i == 700 else "20.1", aadhaar_number=str(100000000000 + i)) for i in range(900)]
     names = list(rows[0])
     (tmp_path / "h.csv").write_text(",".join(names) + "\n" + "\n".join(",".join(r[n] for n in names) for r in rows) + "\n")
-    table = spark.createDataFrame([dict(r, row_id=i) for i, r in enumerate(rows)])
+    table = spark.createDataFrame([dict(r, row_id=i) for i, r in enumerate(rows)]).select("row_id", *names)
     key = lambda r: (r["type"], r["severity"], r["field"], r["n"])
     got = sorted(map(key, profile_file(spark, str(tmp_path / "h.csv")).collect()))
     assert got == sorted(map(key, profile(table).collect())) and ("INVALID_ENUM_VALUE", "MEDIUM", "social_category", 250) in got

@@ -89,4 +89,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             docs = stage(apply(spark, docs, sf_dir), name.replace(" ", "-"))
         drop_staged(spark, before)  # the input of this stage
         before = made[-1:]
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    _read_by_last.pop(spark.sparkContext.applicationId, None)  # what the result reads stays, whatever runs next
+    return out

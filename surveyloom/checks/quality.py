@@ -13,7 +13,8 @@ from surveyloom.plans.profile import profile
 from surveyloom.session import scratch_path
 from surveyloom.sources.inspect import file_heads, inspect_files
 from surveyloom.sources.manifest import checksum
-from surveyloom.sources.tables import list_files
+from surveyloom.sources.sinks import write_texts
+from surveyloom.sources.tables import list_files, spread
 
 HOUSEHOLD = derived("household")
 
@@ -515,11 +516,10 @@ def register_uploads(spark, sf_dir):
 def uploads_and_registered(spark, sf_dir):
     """Uploads are files, one per document, hashed where they lie; some are registered, a few of these with other content."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    root = scratch_path(spark, "uploads")
-    documents.repartition("doc_id").write.partitionBy("doc_id").text(root)
-    paths = [r["path"] for r in spark.read.format("binaryFile").load(root).select("path").collect()]
-    name = lambda of: F.concat(F.lit("doc_"), of, F.lit(".csv")).alias("file_name")
-    uploads = inspect_files(spark, paths, checksums=True).select(name(F.regexp_extract("path", "doc_id=([0-9]+)/", 1)), "checksum")
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".csv")).alias("file_name")
+    written = write_texts(spread(documents, "doc_id").select(name, "text"), scratch_path(spark, "uploads"))
+    found = F.regexp_extract("path", r"(doc_-?[0-9]+\.csv)(?:/[^/]*)?$", 1).alias("file_name")
+    uploads = inspect_files(spark, written, checksums=True).select(found, "checksum")
     labelled = documents.join(table(spark, sf_dir, "labels"), "doc_id")
     known = checksum(F.concat("text", F.lit("\n")).cast("binary"))
-    return uploads, labelled.select(name(F.col("doc_id").cast("string")), F.when(F.col("toxic") == 1, "other").otherwise(known).alias("checksum"))
+    return uploads, labelled.select(name, F.when(F.col("toxic") == 1, "other").otherwise(known).alias("checksum"))

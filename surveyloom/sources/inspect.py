@@ -11,6 +11,7 @@ import bz2
 import codecs
 import csv
 import hashlib
+import io
 import re
 import zlib
 from collections.abc import Callable, Iterator, Sequence
@@ -31,6 +32,8 @@ BUFFER, HEAD_BUFFER = 1 << 20, 1 << 16
 #: Longest header line; a file without a line break in so many bytes is reported as failed.
 MOST_HEADER = 1 << 24
 FILES_PER_TASK = 64
+#: Bytes a task reads where the lengths of files are known, an opened file counting as OPEN_COST more.
+TASK_BYTES, OPEN_COST = 128 << 20, 1 << 16
 # The supported file types.
 SUFFIX = re.compile(r"\.(csv|tsv)(?:\.(gz|bz2|zst|deflate))?$", re.I)
 SCHEMA = "path string, status string, error string, columns array<string>, multi_line boolean, checksum string, length long"
@@ -58,11 +61,22 @@ def metadata_path() -> Column:
     return F.regexp_replace(uri, "^file:/+", "/")
 
 
+def file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """A worker's own client for a path, and the path's name there."""
+    scheme = urlsplit(path).scheme
+    if scheme in ("", "file"):
+        return pyarrow.fs.LocalFileSystem(), plain_path(path)
+    return pyarrow.fs.FileSystem.from_uri(_KNOWN[scheme] + path[len(scheme) :])
+
+
+def has_client(path: str) -> bool:
+    return urlsplit(path).scheme in _KNOWN
+
+
 def _open(path: str) -> BinaryIO:
-    parts = urlsplit(path)
-    if parts.scheme in ("", "file"):
+    if urlsplit(path).scheme in ("", "file"):
         return open(plain_path(path), "rb")
-    system, inner = pyarrow.fs.FileSystem.from_uri(_KNOWN[parts.scheme] + path[len(parts.scheme) :])
+    system, inner = file_system(path)
     return system.open_input_stream(inner)
 
 
@@ -122,7 +136,8 @@ class _Reader:
             self.quoted ^= len(parts) % 2 == 0
 
     def columns(self, sep: str) -> list[str]:
-        lines = csv.reader([self.head.decode("utf-8", "replace").removeprefix("﻿").rstrip("\r\n")], delimiter=sep)
+        text = self.head.decode("utf-8", "replace").removeprefix("\ufeff").rstrip("\r\n")
+        lines = csv.reader(io.StringIO(text, newline=""), delimiter=sep)
         return [c.strip() for c in next(lines, [])]
 
 
@@ -162,7 +177,12 @@ def facts(path: str, pieces: Iterator[bytes], checksum: bool, whole: bool = True
         status, error = "failed", str(broken)[:500]
         for _ in raw:  # the digest is that of the whole file
             pass
-    columns = reader.columns(separator(path)) if status == "success" else []
+    columns = []
+    if status == "success":
+        try:
+            columns = reader.columns(separator(path))
+        except csv.Error as broken:
+            status, error = "failed", f"unreadable header: {broken}"
     return path, status, error, columns, reader.multi_line, f"sha256:{digest.hexdigest()[:16]}" if checksum else None, length
 
 
@@ -175,16 +195,34 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["path", "status", "error", "columns", "multi_line", "checksum", "length"])
 
 
-def inspect_files(spark: SparkSession, paths: Sequence[str], checksums: bool = False, whole: bool = True) -> DataFrame:
+def _listed(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, int, list[str]]:
+    """Paths that workers open by themselves as a table, the tasks for them, and the other paths."""
+    paths = sorted({plain_path(p) for p in paths})
+    own, other = [p for p in paths if has_client(p)], [p for p in paths if not has_client(p)]
+    tasks = max(1, min(-(-len(own) // FILES_PER_TASK), 100_000), min(len(own), spark.sparkContext.defaultParallelism))
+    return spark.createDataFrame([(p,) for p in own], "path string"), tasks, other
+
+
+def _from_table(paths: DataFrame) -> tuple[DataFrame, int, list[str]]:
+    """The same of a table; only paths that Spark has to read come to the driver, which lists them."""
+    plain = F.regexp_replace("path", "^file:/+", "/").alias("path")
+    once = paths.groupBy(plain).agg(F.max("length").alias("length"))
+    known = F.lower(F.regexp_extract("path", r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)).isin(*_KNOWN)
+    size = once.where(known).agg(F.coalesce(F.sum(F.col("length") + OPEN_COST), F.lit(0))).first()[0]
+    other = sorted(r["path"] for r in once.where(~known).select("path").collect())
+    tasks = max(paths.sparkSession.sparkContext.defaultParallelism, min(-(-size // TASK_BYTES), 100_000))
+    return once.where(known).select("path"), tasks, other
+
+
+def inspect_files(spark: SparkSession, paths: Sequence[str] | DataFrame, checksums: bool = False, whole: bool = True) -> DataFrame:
     """One row per path, in the columns of SCHEMA; stored. Unless ``whole`` only headers are read, and other facts are those of the bytes read.
 
     status is success, empty, missing or failed (with the error). Compressed files are read to their
     end, which alone shows that they are whole; multi_line tells whether a quoted cell holds a line
-    break. Checksums are those of the bytes as stored. A path given twice is one row.
+    break. Checksums are those of the bytes as stored. A path given twice is one row. Very many paths come
+    as a stored table (path, length), which doesn't pass through the driver.
     """
-    paths = sorted({plain_path(p) for p in paths})
-    own = [p for p in paths if urlsplit(p).scheme in _KNOWN]
-    other = [p for p in paths if urlsplit(p).scheme not in _KNOWN]
+    listed, tasks, other = _from_table(paths) if isinstance(paths, DataFrame) else _listed(spark, paths)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -197,8 +235,6 @@ def inspect_files(spark: SparkSession, paths: Sequence[str], checksums: bool = F
                     out.append(_fault(path, error))
             yield _frame(out)
 
-    listed = spark.createDataFrame([(p,) for p in own], "path string")
-    tasks = max(1, min(-(-len(own) // FILES_PER_TASK), 100_000), min(len(own), spark.sparkContext.defaultParallelism))
     found = listed.repartition(tasks).mapInPandas(run, SCHEMA)
     return stage(found.unionByName(_through_spark(spark, other, checksums)) if other else found, "files")
 
@@ -251,9 +287,7 @@ def file_heads(spark: SparkSession, paths: Sequence[str], columns: Sequence[str]
     A task per few files reads them as streams and stops after the rows: what is read doesn't grow with
     the files, and nothing is sorted. Files that can't be read have no rows; ``inspect_files`` says why.
     """
-    paths = sorted({plain_path(p) for p in paths})
-    own = [p for p in paths if urlsplit(p).scheme in _KNOWN]
-    other = [p for p in paths if urlsplit(p).scheme not in _KNOWN]
+    listed, tasks, other = _listed(spark, paths)
 
     def frame(path: str, pieces: Iterator[bytes]) -> list[tuple]:
         return [(i, path, cells) for i, cells in enumerate(head(path, pieces, columns, rows))]
@@ -273,8 +307,7 @@ def file_heads(spark: SparkSession, paths: Sequence[str], columns: Sequence[str]
                 yield pd.DataFrame(found, columns=["row_id", "source_path", "cells"])
 
     schema = "row_id long, source_path string, cells array<string>"
-    listed = spark.createDataFrame([(p,) for p in own], "path string")
-    found = listed.repartition(max(1, -(-len(own) // FILES_PER_TASK))).mapInPandas(run, schema)
+    found = listed.repartition(tasks).mapInPandas(run, schema)
     if other:
         found = found.unionByName(_contents(spark, other).mapInPandas(run, schema))
     return found.select("row_id", *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns)], "source_path")

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from surveyloom.session import stage
+from surveyloom.sources.inspect import file_system, has_client, metadata_path
+
+FILES_PER_FOLDER = 1000
 
 
 def write_table(
@@ -39,3 +47,34 @@ def write_library(df: DataFrame, path: str) -> str:
 def snapshot(df: DataFrame, path: str) -> str:
     """The untouched input, kept before any change."""
     return write_table(df, path, mode="error")
+
+
+def write_texts(files: DataFrame, root: str) -> DataFrame:
+    """One file per row of (file_name, text), the text and a line end; (path, length) of the files, stored.
+
+    Tasks write files by themselves, as a commit by Spark moves every file through the driver. Folders are those of
+    one task attempt, so the paths of a lost attempt are in no result, and a name may repeat. Where workers have
+    no client for the file system, Spark writes a folder per name (file_name=...).
+    """
+    spark = files.sparkSession
+    if not has_client(root):
+        files.repartition("file_name").write.partitionBy("file_name").text(root)
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(metadata_path().alias("path"), "length")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, top = file_system(root)
+        attempt, folders, here, names = TaskContext.get().taskAttemptId(), 0, "", set()
+        for b in batches:
+            out = []
+            for name, text in zip(b["file_name"], b["text"]):
+                if not names or len(names) >= FILES_PER_FOLDER or name in names:
+                    here, folders, names = f"{attempt}/{folders}", folders + 1, set()
+                    system.create_dir(f"{top}/{here}", recursive=True)
+                names.add(name)
+                content = ((text or "") + "\n").encode()
+                with system.open_output_stream(f"{top}/{here}/{name}") as stream:
+                    stream.write(content)
+                out.append((f"{root}/{here}/{name}", len(content)))
+            yield pd.DataFrame(out, columns=["path", "length"])
+
+    return stage(files.select("file_name", "text").mapInPandas(run, "path string, length long"), "written")

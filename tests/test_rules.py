@@ -255,3 +255,19 @@ def test_nearest_allowed(spark):
     out = {r["value"]: r["suggestion"] for r in rules.nearest_allowed(df, "v", rules.SOCIAL_CATEGORIES).collect()}
     assert out == {"Genral": "GENERAL", "qqq": None, "minorty": "MINORITY"}
     assert df.where(F.col("v") == "qqq").count() == 1
+
+
+def test_many_files_stay_out_of_the_driver(spark, tmp_path, monkeypatch):
+    """Texts become files by the tasks and a stored table of paths is inspected; both once passed every path through the driver."""
+    texts = ["one", "", None, 'a "quoted\nline"', "é" * 5] * 500
+    files = spark.createDataFrame([(f"doc_{i % 2400}.csv", t) for i, t in enumerate(texts)], "file_name string, text string").repartition(3)
+    with monkeypatch.context() as m:
+        m.setattr(type(spark), "createDataFrame", None)
+        written = sinks.write_texts(files, f"{tmp_path}/texts")
+        found = inspect.inspect_files(spark, written.unionByName(written.limit(5)), checksums=True).collect()
+    digest = lambda t: "sha256:" + hashlib.sha256(((t or "") + "\n").encode()).hexdigest()[:16]
+    expected = sorted((f"doc_{i % 2400}.csv", digest(t), len((t or "").encode()) + 1) for i, t in enumerate(texts))
+    assert sorted((r["path"].rsplit("/", 1)[1], r["checksum"], r["length"]) for r in found) == expected
+    monkeypatch.setattr(sinks, "has_client", lambda path: False)
+    by_spark = sinks.write_texts(files.dropDuplicates(["file_name"]).limit(20), f"{tmp_path}/by-spark")
+    assert by_spark.where("path LIKE '%/file\\_name=doc\\_%.csv/%'").count() == 20

@@ -615,13 +615,13 @@ _FILE_BATCH = f"RECURSIVE {_AS_FILES}, {_PER_FILE}, {_CHANGES}, {_FORMATTED}, {S
 _FILE_RESULT = f"WITH {_FILE_BATCH} {_RESULT}"
 
 
-def _put(spark, sf_dir, path: str, files: range, other_order: bool = False, **options) -> None:
+def _put(spark, sf_dir, path: str, files: range, packed: bool = False) -> None:
     """One file per source file of the survey table; every second one has another order of columns and one more."""
     rows = survey(spark, sf_dir).withColumn("source_row", F.col("row_id").cast("string"))
     for k in files:
         columns = [*reversed(_FILE_COLUMNS), "vote_gender"] if k % 2 else _FILE_COLUMNS
-        one = rows.where(F.col("source_file") == f"file_{k}.csv").repartitionByRange(1, "row_id").sortWithinPartitions("row_id").select(*columns)
-        one.write.mode("append").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **options).csv(path)
+        one = rows.where(F.col("source_file") == f"file_{k}.csv")
+        sinks.write_file(one, f"{path}/file_{k}.csv{'.gz' if packed else ''}", columns, "row_id")
 
 
 def _move(spark, source: str, target: str) -> None:
@@ -649,7 +649,7 @@ def files_by_path(spark, sf_dir):
     """Files of one name in several folders, with other orders of columns, packed, empty, broken and missing; rows are counted per full path."""
     path = scratch_path(spark, "files")
     for k, name in enumerate(("data.csv", "data.csv", "data.CSV", "data.csv.gz")):
-        _put(spark, sf_dir, f"{path}-{k}", range(k, k + 1), **({"compression": "gzip"} if name.endswith("gz") else {}))
+        _put(spark, sf_dir, f"{path}-{k}", range(k, k + 1), packed=name.endswith("gz"))
         _move(spark, f"{path}-{k}", f"{path}/{k}/{name}")
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/4/data.csv")
     place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place).close()
@@ -707,7 +707,7 @@ def failed_batch_replayed(spark, sf_dir):
     _poll(spark, path, out, checkpoint)
     tries = folder.ledger(spark, out).collect()
     assert [(r["status"], r["attempts"]) for r in tries] == [("failed", 2)], tries
-    _put(spark, sf_dir, f"{path}-whole", range(3, 4), compression="gzip")
+    _put(spark, sf_dir, f"{path}-whole", range(3, 4), packed=True)
     _move(spark, f"{path}-whole", f"{path}/last.csv.gz")
     _poll(spark, path, out, checkpoint)
     assert [r["status"] for r in folder.ledger(spark, out).collect()] == ["success"]

@@ -77,7 +77,7 @@ def _open(path: str) -> BinaryIO:
     if urlsplit(path).scheme in ("", "file"):
         return open(plain_path(path), "rb")
     system, inner = file_system(path)
-    return system.open_input_stream(inner)
+    return system.open_input_stream(inner, compression=None)  # bytes as stored
 
 
 def _pieces(stream: BinaryIO, size: int = BUFFER) -> Iterator[bytes]:

@@ -1,6 +1,7 @@
 """Schema rules, export, sources."""
 
 import bz2
+import csv
 import gzip
 import hashlib
 import random
@@ -271,3 +272,18 @@ def test_many_files_stay_out_of_the_driver(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks, "has_client", lambda path: False)
     by_spark = sinks.write_texts(files.dropDuplicates(["file_name"]).limit(20), f"{tmp_path}/by-spark")
     assert by_spark.where("path LIKE '%/file\\_name=doc\\_%.csv/%'").count() == 20
+
+
+@pytest.mark.parametrize("ending", ["csv", "csv.gz"])
+def test_one_file_from_many_tasks(spark, tmp_path, ending):
+    """A file of any size is sorted and written by many tasks; one task once sorted it all."""
+    rows = [(i, "x,\"y\"" if i % 7 == 0 else f" v{i}", None if i % 5 == 0 else "é") for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, a string, b string").repartition(5)
+    path = sinks.write_file(df, f"file://{tmp_path}/in/data.{ending}", ["b", "a"], "k")
+    data = (tmp_path / "in" / f"data.{ending}").read_bytes()
+    lines = list(csv.reader((gzip.decompress(data) if ending.endswith("gz") else data).decode().splitlines()))
+    assert lines == [["b", "a"], *([b or "", a] for _, a, b in rows)]
+    sinks.write_file(df.where("k < 2"), path, ["a"], "k")
+    files = tables.read_file_set(spark, [path], ["a", "b"])
+    assert [r["status"] for r in files.outcomes.collect()] == ["success"]
+    assert sorted((r["a"], r["b"]) for r in files.rows.collect()) == [(" v1", None), ("x,\"y\"", None)]

@@ -16,7 +16,7 @@ from surveyloom.operators import audit, export, library
 from surveyloom.plans import batch, engines, learning, records
 from surveyloom.plans.context import Context
 from surveyloom.plans.survey import SurveyConfig, audit_tables, merged_table, review_table, run_summary, run_survey, write_run
-from surveyloom.session import scratch_path
+from surveyloom.session import scratch_path, stage
 from surveyloom.sources import manifest, sinks, tables
 from surveyloom.streaming import folder
 
@@ -392,7 +392,7 @@ _CELLS_CHANGED = " + ".join(f"count(*) FILTER ({c} IS DISTINCT FROM CASE WHEN {S
  + (SELECT count(*) FROM contact WHERE is_valid AND was_changed) + (SELECT count(*) FROM unique_rows WHERE NOT {_FILLED} AND {_QUICK['confidence']} >= 75) AS total_changes""",
 )
 def total_changes(spark, sf_dir):
-    return engines.total_changes(engines.run_engines(survey(spark, sf_dir), ENGINE).stats)
+    return engines.total_changes(engines.run_engines(stage(survey(spark, sf_dir), "survey"), ENGINE).stats)
 
 
 @check(

@@ -64,8 +64,8 @@ def is_blank(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """Strip and collapse every run of white space to one space."""
-    return strip(F.regexp_replace(c, _SPACES, " "))
+    """Strip and collapse every run of white space to one space, which leaves plain spaces alone to be trimmed."""
+    return F.trim(F.regexp_replace(c, _SPACES, " "))
 
 
 def tokens(c: Column) -> Column:
@@ -135,7 +135,8 @@ def _quick_word(word: Column) -> Column:
     def plain(p: Column) -> Column:
         return F.array_join(F.transform(F.split(p, "'"), lambda q: _scottish(q, letters_only=False)), "'")
 
-    return F.array_join(F.transform(F.split(word, "-"), plain), "-")
+    joined = word.contains("-") | word.contains("'")
+    return F.when(joined, F.array_join(F.transform(F.split(word, "-"), plain), "-")).otherwise(_scottish(word, letters_only=False))
 
 
 def proper_case(c: Column, quick: bool = False) -> Column:

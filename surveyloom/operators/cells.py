@@ -55,13 +55,14 @@ def clean_cell(c: Column, operations: Sequence[str] = CLEANING_OPERATIONS) -> Co
     """struct(cleaned, null_handled, trimmed, case_normalized)."""
     value, false = c, F.lit(False)
     null_handled = trimmed = cased = false
-    if "handle_nulls" in operations:
+    if "trim" in operations:
+        squeezed = squeeze(c)  # '' for a blank cell, so one pass over the text tells both
+        null_handled = (c.isNull() | (squeezed == "")) if "handle_nulls" in operations else false
+        trimmed = F.coalesce(~null_handled & (c != "") & (squeezed != c), false)
+        value = F.coalesce(squeezed, F.lit("")) if "handle_nulls" in operations else squeezed
+    elif "handle_nulls" in operations:
         null_handled = is_blank(c)
         value = F.when(null_handled, "").otherwise(c)
-    if "trim" in operations:
-        squeezed = squeeze(value)
-        trimmed = F.coalesce((value != "") & (squeezed != value), false)
-        value = F.when(value == "", value).otherwise(squeezed)
     if "normalize_case" in operations:
         low = F.lower(value)
         cased = F.coalesce(low != value, false)
@@ -112,13 +113,13 @@ def cleaning_stats(cells: DataFrame) -> DataFrame:
 # ---- names ---------------------------------------------------------------------------------
 
 
-def format_names(df: DataFrame, columns: Sequence[str], quick: bool = False) -> DataFrame:
-    """Proper-case the columns; blank and already proper cells keep their value."""
+def formatted_name(c: Column, quick: bool = False) -> Column:
+    return let(name_format(c, quick), lambda n: F.when(n["was_changed"], n["formatted"]).otherwise(c))
 
-    def formatted(c: str) -> Column:
-        return let(name_format(F.col(c), quick), lambda n: F.when(n["was_changed"], n["formatted"]).otherwise(F.col(c)))
 
-    return df.withColumns({c: formatted(c) for c in columns if c in df.columns})
+def format_names(df: DataFrame, columns: Sequence[str], quick: bool = False) -> DataFrame:
+    """Proper-case the columns; blank and already proper cells keep their value."""
+    return df.withColumns({c: formatted_name(F.col(c), quick) for c in columns if c in df.columns})
 
 
 def name_changes(df: DataFrame, row_id: str, columns: Sequence[str], quick: bool = False) -> DataFrame:

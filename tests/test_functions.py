@@ -189,3 +189,15 @@ def test_repairs_are_idempotent(spark):
     assert cells.correct_contacts(once, "v").corrections.count() == 0
     cards = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CARD_CASES)], "row_id int, v string")
     assert cells.correct_cards(cells.correct_cards(cards, "v").data, "v").corrections.count() == 0
+
+
+def test_cells_are_cleaned_in_one_pass(spark):
+    """Blank and squeezed are told by one rewrite of the cell; each was once a trim of its own by a set of 29 characters."""
+    values = [None, "", " ", "\u3000\x1f", "a", " a", "a\u00a0\u2009b ", "a b", "\ta  b\n", "o'c-d"]
+    build = lambda c: cells.clean_cell(c, ("trim", "handle_nulls"))
+    got = [(r["cleaned"], r["null_handled"], r["trimmed"]) for r in apply(spark, values, build)]
+    words = [" ".join((v or "").split()) for v in values]
+    assert got == [(w, w == "", w != "" and w != v) for v, w in zip(values, words)]
+    plan = spark.createDataFrame([("a",)], "v string").repartition(1).select(build(F.col("v"))["cleaned"].alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("regexp_replace("), plan.count("btrim(")) == (1, 0), plan
+    assert apply(spark, ["MCKAY o'MACx", "a-mcb", "mac"], lambda c: text.proper_case(c, quick=True)) == ["McKay O'MacX", "A-McB", "Mac"]

@@ -148,7 +148,7 @@ def _written_run(spark, sf_dir) -> dict[str, str]:
     """Output paths of one whole run, written once per application and input."""
     where = (spark.sparkContext.applicationId, sf_dir)
     if where not in _RUNS:
-        run = run_survey(survey(spark, sf_dir), CONFIG)
+        run = run_survey(stage(survey(spark, sf_dir), "survey"), CONFIG)
         _RUNS[where] = write_run(run, CONFIG, scratch_path(spark, "run"))
     return _RUNS[where]
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.operators import audit
-from surveyloom.operators.cells import format_names, union_all
+from surveyloom.operators.cells import formatted_name, union_all
 from surveyloom.operators.dedup import dedup_summary, deduplicate, merged, placeholder_log
 from surveyloom.operators.infer import (
     CHANGE_COLUMNS,
@@ -108,8 +108,8 @@ def _digest(columns: Sequence[str]) -> Column:
 def run_survey(df: DataFrame, config: SurveyConfig, context: Context = Context(), staged: bool = True) -> SurveyRun:
     """Plan the whole run. Steps whose column is missing or not allowed are left out of the plan.
 
-    With ``staged`` the resolved rows are written once to the scratch folder; the cleaned
-    table and every log are projections of that table.
+    With ``staged`` the resolved rows, with their formatted names, are written once to the scratch folder; the
+    cleaned table and every log are projections of that table.
     """
     c, lex = config, config.lexicons
     scope = list(c.scope)
@@ -164,6 +164,10 @@ def run_survey(df: DataFrame, config: SurveyConfig, context: Context = Context()
         )
         rows = rows.withColumn("_c", category_resolution(F.col(c.category), F.col("_guess"))).drop("_guess")
         resolved.append(("category", c.category, "_c"))
+    name_cols = [n for n in (c.name, c.guardian) if n in has and context.allow_column(n)]
+    formats = context.allow_rule("format_name") and name_cols and not context.dry_run
+    if formats:  # stored along, as several passes read the formatted names
+        rows = rows.withColumn("_named", F.struct(*[formatted_name(F.col(n)).alias(n) for n in name_cols]))
     if staged and resolved:
         rows = stage(rows, "resolved")
     logs = [
@@ -186,11 +190,9 @@ def run_survey(df: DataFrame, config: SurveyConfig, context: Context = Context()
                 rows = vote.data
                 votes.append(vote.changes.withColumn("field", F.lit(name)).select(*CHANGE_COLUMNS))
     logs += votes
-    before_names = rows
-
-    name_cols = [n for n in (c.name, c.guardian) if n in has and context.allow_column(n)]
-    if context.allow_rule("format_name") and name_cols and not context.dry_run:
-        rows = format_names(rows, name_cols)
+    before_names = rows.drop("_named")
+    if formats:
+        rows = rows.withColumns({n: F.col("_named")[n] for n in name_cols}).drop("_named")
 
     spelled, spelled_in = [], {}
     if c.spell_enabled and context.allow_rule("spell_check"):
@@ -232,6 +234,12 @@ def run_survey(df: DataFrame, config: SurveyConfig, context: Context = Context()
     )
 
 
+def with_stored_trail(run: SurveyRun) -> SurveyRun:
+    """The run with its trail stored, of which cleaned rows, review and summary are projections."""
+    trail = stage(run.trail, "trail")
+    return run._replace(trail=trail, data=trail.select(*run.data.columns))
+
+
 def merged_table(run: SurveyRun, config: SurveyConfig, context: Context = Context()) -> DataFrame:
     """One row per key; a dry run merges nothing."""
     if context.dry_run or config.key not in run.data.columns:
@@ -271,9 +279,9 @@ def run_summary(run: SurveyRun) -> DataFrame:
     )
 
 
-def audit_tables(run: SurveyRun) -> dict[str, DataFrame]:
-    """The nine audit tables."""
-    changes = stage(audit.numbered_changes(run.changes), "changes")
+def audit_tables(run: SurveyRun, stored: bool = False) -> dict[str, DataFrame]:
+    """The nine audit tables; ``stored`` tells that the run's changes are read from storage."""
+    changes = audit.numbered_changes(run.changes) if stored else stage(audit.numbered_changes(run.changes), "changes")
     return {
         "summary": run_summary(run),
         "all_changes": changes,
@@ -292,7 +300,7 @@ def write_run(
 ) -> dict[str, str]:
     """Write every output of a run below ``path``.
 
-    The cleaned table and the two logs are written first and read back, so the merged,
+    The trail is stored, the cleaned table and the two logs are written first and read back, so the merged,
     review and audit tables start from stored data.
     """
     spark = run.data.sparkSession
@@ -315,6 +323,7 @@ def write_run(
             put(label, table)
         return table
 
+    run = with_stored_trail(run)
     run = run._replace(
         data=stored("cleaned", run.data),
         changes=stored("changes", run.changes),
@@ -322,7 +331,7 @@ def write_run(
     )
     put("merged", merged_table(run, config, context))
     put("review", review_table(run, config))
-    for label, table in audit_tables(run).items():
+    for label, table in audit_tables(run, stored=True).items():
         put(f"report/{label}", table)
     put("suggestions/changes", run.changes, "json")
     put("suggestions/spell_changes", run.spell_changes, "json")

@@ -10,7 +10,8 @@ from surveyloom.operators import library
 from surveyloom.plans import batch, engines, learning, records
 from surveyloom.plans.context import Context
 from surveyloom.sources import sinks, versions
-from surveyloom.plans.survey import SurveyConfig, audit_tables, merged_table, review_table, run_summary, run_survey, write_run
+from surveyloom.plans import survey as survey_plan
+from surveyloom.plans.survey import SurveyConfig, audit_tables, merged_table, review_table, run_summary, run_survey, with_stored_trail, write_run
 
 COLUMNS = ["row_id", "Unique Key", "farmer_name", "father_spouse_name", "SubmissionDate", "date_of_survey", "district", "Village Name", "gender", "category", "contact_number", "mgnrega"]
 ROWS = [
@@ -280,3 +281,19 @@ def test_file_summary_lists_every_file(spark, df):
     }
     total = batch.batch_totals(summary).where("source_file = 'TOTAL'").first()
     assert (total["files"], total["original_records"]) == (1, 6)
+
+
+def test_outputs_are_projections_of_a_stored_trail(df, tmp_path, monkeypatch):
+    """Formatted names are stored with the resolved rows and a written run corrects the names once; each output once did both anew."""
+    staged = {}
+    monkeypatch.setattr(survey_plan, "stage", lambda d, label, real=survey_plan.stage: staged.setdefault(label, []).append(real(d, label)) or staged[label][-1])
+    run = run_survey(df, SurveyConfig())
+    assert "_named" in staged["resolved"][0].columns and "_named" not in run.data.columns + run.resolved.columns
+    kept = with_stored_trail(run)
+    assert "Join" not in kept.data._jdf.queryExecution().executedPlan().toString()
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(kept.data) == rows(run.data) and rows(review_table(kept, SurveyConfig())) == rows(review_table(run, SurveyConfig()))
+    staged.clear()
+    out = write_run(run, SurveyConfig(), str(tmp_path / "once"))
+    assert list(staged) == ["trail"]
+    assert rows(df.sparkSession.read.parquet(out["cleaned"]).select(*run.data.columns)) == rows(run.data)

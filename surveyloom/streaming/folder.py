@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from surveyloom.functions.temporal import parse_date
 from surveyloom.plans.context import Context
-from surveyloom.plans.survey import SurveyConfig, merged_table, review_table, run_survey
+from surveyloom.plans.survey import SurveyConfig, merged_table, review_table, run_survey, with_stored_trail
 from surveyloom.session import drop_staged, stage, staged_paths
 from surveyloom.sources.inspect import inspect_files, plain_path
 from surveyloom.sources.sinks import write_table
@@ -119,11 +119,10 @@ def process_folder(
         fresh = read_inspected(spark, new, wanted).select(*wanted, "source_file", "source_path")
         numbered = with_row_ids(fresh, each.row_id).withColumn(each.row_id, F.col(each.row_id) + F.lit(batch_id * (1 << ROW_BITS)))
         result = run_survey(stage(numbered, "numbered"), each, context)
-        data = stage(result.data, "cleaned")
-        kept = result._replace(data=data)
+        kept = with_stored_trail(result)
         tried = stage(_tried(states, ledger(spark, out, batch_id), retry_seconds), "tried")
         for name, table in (
-            ("cleaned", data), ("merged", merged_table(kept, each, context)), ("review", review_table(kept, each)),
+            ("cleaned", kept.data), ("merged", merged_table(kept, each, context)), ("review", review_table(kept, each)),
             ("changes", result.changes), ("spell_changes", result.spell_changes), ("date_issues", result.date_issues),
             ("placeholders", result.placeholders), ("outcomes", states), ("manifest", first),
         ):
